@@ -19,8 +19,8 @@ HOT_ROWS = 2_000_000
 _largest: dict[tuple, int] = {}
 
 
-def _largest_group(df: DataFrame, part: Sequence[str]) -> int:
-    """Size of the biggest group; remembered per plan and application."""
+def largest_group(df: DataFrame, part: Sequence[str]) -> int:
+    """Size of the biggest group; one narrow scan, remembered per plan and application."""
     spark: SparkSession = df.sparkSession
     key = (spark.sparkContext.applicationId, df.semanticHash(), tuple(part))
     if key not in _largest:
@@ -87,14 +87,17 @@ def running(
     order: Sequence[str],
     specs: dict[str, tuple],
     hot_rows: int = HOT_ROWS,
+    size: int | None = None,
 ) -> DataFrame:
     """Add running columns: ``specs[name] = (kind, column, inclusive)``.
 
     `kind` is sum, max, min or last (last non-null value). Exclusive columns see
-    only the rows before the current one. `order` must be a total order.
+    only the rows before the current one. `order` must be a total order. `size` is
+    a known bound on the group size, which saves the look-up.
     """
     part, order = list(part), list(order)
-    size = _largest_group(df, part)
+    if size is None or size > hot_rows:
+        size = largest_group(df, part)
 
     def frame(window, inclusive):
         return window.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
@@ -146,10 +149,10 @@ def running(
 
 
 def number_rows(
-    df: DataFrame, part: Sequence[str], order: Sequence[str], name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, part: Sequence[str], order: Sequence[str], name: str, hot_rows: int = HOT_ROWS, size: int | None = None
 ) -> DataFrame:
     """1-based row number inside each group of `part` (all rows when empty)."""
-    return running(df, part, order, {name: ("sum", F.lit(1).cast("bigint"), True)}, hot_rows)
+    return running(df, part, order, {name: ("sum", F.lit(1).cast("bigint"), True)}, hot_rows, size)
 
 
 def islands(
@@ -160,12 +163,15 @@ def islands(
     ties: Sequence[str],
     name: str,
     hot_rows: int = HOT_ROWS,
+    size: int | None = None,
 ) -> DataFrame:
     """Id of the island each interval ``[lo, hi]`` belongs to.
 
     Intervals are chained while the next one starts at or before the furthest end
     so far; the id is the start of the island's first interval.
     """
-    reach = running(df, part, [lo, *ties], {"_reach": ("max", F.col(hi), False)}, hot_rows)
+    if size is None:
+        size = largest_group(df, part)
+    reach = running(df, part, [lo, *ties], {"_reach": ("max", F.col(hi), False)}, hot_rows, size)
     starts = F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach")), F.col(lo))
-    return running(reach, part, [lo, *ties], {name: ("last", starts, True)}, hot_rows).drop("_reach")
+    return running(reach, part, [lo, *ties], {name: ("last", starts, True)}, hot_rows, size).drop("_reach")
