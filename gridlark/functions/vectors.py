@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it many times in ``body(v)``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bipolar(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)))
 
@@ -29,9 +34,10 @@ def fit(v: Column, dim: int) -> Column:
 
 
 def normalise(v: Column, dim: int) -> Column:
-    fitted = fit(v, dim)
-    norm = l2(fitted)
-    return F.transform(fitted, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    return let(
+        fit(v, dim),
+        lambda f: let(l2(f), lambda n: F.transform(f, lambda x: F.when(n > 0, x / n).otherwise(x))),
+    )
 
 
 def bind(a: Column, b: Column) -> Column:
@@ -42,22 +48,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (l2(a) * l2(b) + F.lit(1e-8))
 
 
-def sign_pattern(row: Column, col: Column) -> Column:
-    """An arithmetic projection entry of +1 or -1 for a (row, column) pair."""
-    return F.when((row * 31 + col * 17 + row * col) % 7 < 4, F.lit(1.0)).otherwise(F.lit(-1.0))
+def pattern_rows(feat_dim: int, dim: int) -> list[list[float]]:
+    """An arithmetic projection: +1 or -1 from the row and column number, unit rows."""
+    unit = float(feat_dim) ** -0.5
+    return [[unit if (r * 31 + c * 17 + r * c) % 7 < 4 else -unit for c in range(feat_dim)] for r in range(dim)]
 
 
 def encode_pattern(v: Column, feat_dim: int, dim: int) -> Column:
     """Sign of the arithmetic projection of the normalised vector."""
-    unit = normalise(v, feat_dim)
-    scale = F.lit(float(feat_dim) ** 0.5)
-
-    def one(row):
-        terms = F.transform(unit, lambda x, i: x * sign_pattern(row, i) / scale)
-        return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda r: F.when(one(r) < 0, F.lit(-1)).otherwise(F.lit(1))
+    rows = F.lit(pattern_rows(feat_dim, dim))
+    return let(
+        normalise(v, feat_dim),
+        lambda u: F.transform(rows, lambda p: F.when(dot(u, p) < 0, F.lit(-1)).otherwise(F.lit(1))),
     )
 
 

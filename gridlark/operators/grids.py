@@ -91,10 +91,11 @@ def stable_peaks(
     cells: DataFrame, sigmas: Sequence[float] = (1.0, 2.0, 4.0), min_rel: float = 0.35, coarse_rel: float = 0.2, k: int = 8
 ) -> DataFrame:
     """Peaks of the finest layer that are still strong on the coarsest; score is the layer mean."""
-    layers = smooth(cells, sigmas)
+    # nine digits make equal neighbours equal whatever the order of summation
+    layers = smooth(cells, sigmas).withColumn("_fine", F.round("s0", 9))
     last = f"s{len(sigmas) - 1}"
     coarse = layers.groupBy("map_id").agg(F.max(last).alias("_coarse"))
-    fine = local_maxima(layers, "s0", min_rel).join(coarse, "map_id")
+    fine = local_maxima(layers, "_fine", min_rel).join(coarse, "map_id")
     strong = fine.where(F.col(last) >= coarse_rel * F.col("_coarse"))
     mean = sum((F.col(f"s{i}") for i in range(1, len(sigmas))), F.col("s0")) / len(sigmas)
     return top_peaks(strong.withColumn("score", F.round(mean, 9)), "score", k).select("map_id", "r", "d", "score", "rank")
