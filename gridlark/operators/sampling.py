@@ -4,9 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridlark.operators.ordered import number_rows, running
+from gridlark.session import cut_lineage
+
+
+def every_nth(df: DataFrame, index: str, stride: int) -> DataFrame:
+    return df.where(F.col(index) % max(1, stride) == 0)
+
+
+def capped(df: DataFrame, order: Sequence[Column | str], most: int) -> DataFrame:
+    """The first `most` rows in order; Spark keeps at most that many per task."""
+    return df.orderBy(*order).limit(most)
+
 
 def split_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("images"))
@@ -16,3 +31,158 @@ def boxes_by_image(boxes: DataFrame, keys: Sequence[str], order: str, text: Colu
     """Boxes of an image in order, as one text; the text is the requested output row."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
     return boxes.groupBy(*keys).agg(F.count("*").alias("n_boxes"), F.array_join(rows.getField("t"), ";").alias("boxes"))
+
+
+def shuffle_split(df: DataFrame, key: str, train: float, val: float, test: float, seed: int = 42, **options) -> DataFrame:
+    """Exact int(n*train) / int(n*val) / rest split in the order of a seeded hash of the key."""
+    if abs(train + val + test - 1.0) > 1e-4:
+        raise ValueError("split ratios must sum to 1")
+    n = df.count()
+    n_train, n_val = int(n * train), int(n * val)
+    hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
+    ranked = number_rows(hashed, [], ["_h", key], "_n", **options)
+    split = F.when(F.col("_n") <= n_train, "train").when(F.col("_n") <= n_train + n_val, "val").otherwise("test")
+    return ranked.withColumn("split", split).drop("_h", "_n")
+
+
+def modulo_split(df: DataFrame, order: Sequence[str], every: int = 10, **options) -> DataFrame:
+    """The first of every `every` rows in order goes to val."""
+    ranked = number_rows(df, [], order, "_n", **options)
+    return ranked.withColumn("split", F.when((F.col("_n") - 1) % every == 0, "val").otherwise("train")).drop("_n")
+
+
+def val_fallback(df: DataFrame, order: Sequence[str], every: int = 10) -> DataFrame:
+    """If nothing is in val, every n-th train row moves there; rows are never in both."""
+    if df.where("split = 'val'").limit(1).count():
+        return df
+    train = modulo_split(df.where("split = 'train'").drop("split"), order, every)
+    return train.unionByName(df.where("split <> 'train'").select(train.columns))
+
+
+def require_rows(df: DataFrame, least: int, what: str) -> DataFrame:
+    """The table, failing at run time when it has fewer than `least` rows."""
+    short = F.raise_error(F.lit(f"not enough {what}")).cast("bigint")
+    return df.agg(F.count("*").alias("rows")).select(F.when(F.col("rows") >= least, F.col("rows")).otherwise(short).alias("rows"))
+
+
+def quota_sample(boxes: DataFrame, image: str, cls: str, caps: Sequence[tuple[int, int]]) -> DataFrame:
+    """Images per class, in priority order, until the class has its cap.
+
+    Every class of a taken image counts towards its own cap. One pass per class:
+    in the pass of c each taken image holds c, so the pass takes the first
+    ``cap - count`` remaining images. At most the sum of the caps is ever kept.
+    """
+    held = boxes.select(image, cls).distinct()
+    taken: DataFrame | None = None
+    for c, cap in caps:
+        have = 0 if taken is None else held.where(F.col(cls) == c).join(taken, image, "left_semi").count()
+        if have >= cap:
+            continue
+        left = held.where(F.col(cls) == c).select(image)
+        if taken is not None:
+            left = left.join(taken, image, "left_anti")
+        chosen = capped(left, [image], cap - have)
+        taken = cut_lineage(chosen if taken is None else taken.unionByName(chosen))
+    return taken if taken is not None else held.select(image).limit(0)
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """First row per key; a mergeable minimum, so a key with many copies shrinks before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def round_robin(rows: DataFrame, queue: DataFrame, order: Sequence[str], base: int = 0, **options) -> DataFrame:
+    """Hand out queue items in turn, starting at `base` and wrapping."""
+    n = queue.count()
+    slots = number_rows(queue, [], ["position"], "_q").select((F.col("_q") - 1).alias("slot"), "item")
+    ranked = number_rows(rows, [], order, "_n", **options).withColumn("slot", (F.lit(base) + F.col("_n") - 1) % n)
+    return ranked.join(slots, "slot").drop("_n")
+
+
+def staged_union(stages: Sequence[DataFrame], upto: int) -> DataFrame:
+    """Sources of all stages up to and including `upto`, tagged with their stage."""
+    out = None
+    for k, df in enumerate(stages[: upto + 1]):
+        tagged = df.withColumn("stage", F.lit(k))
+        out = tagged if out is None else out.unionByName(tagged)
+    return out
+
+
+def union_sources(sources: dict[str, DataFrame], stem: str) -> DataFrame:
+    """Merge sources, prefixing stems with the source name."""
+    out = None
+    for name, df in sources.items():
+        part = df.withColumn("source", F.lit(name)).withColumn(stem, F.concat_ws("_", F.lit(name), F.col(stem)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def chunk_by_size(
+    items: DataFrame, key: str, order: Sequence[str], size: str, limit: float, block_rows: int = 200_000, **options
+) -> DataFrame:
+    """Pack each group's items in order; a chunk closes with the item that reaches `limit`.
+
+    A chunk that starts after a running total B closes at the first total of at least
+    B + limit, so all that passes along the line is the next closing mark. The line is
+    cut into blocks. Each block lists, for every item that could close the first chunk
+    inside it, the mark it hands on; the short lists are chained; then each block marks
+    its closing items. A block's list covers one chunk's worth of items only.
+    """
+    stats = items.agg(F.avg(size), F.max(size)).first()
+    mean = float(stats[0] or 1.0) or 1.0
+    width = float(limit) * max(1, round(block_rows * mean / limit))
+    total = running(items, [key], order, {"_sum": ("sum", F.col(size).cast("double"), True), "_pos": ("sum", F.lit(1).cast("bigint"), True)}, **options)
+    placed = total.withColumn("_block", F.floor(F.col("_sum") / width).cast("bigint"))
+    kind = dict(items.dtypes)[key]
+    slim = placed.select(key, "_block", "_pos", "_sum")
+
+    def hand_over(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        totals = pdf["_sum"].to_numpy()
+        n = len(totals)
+        nxt = np.append(np.searchsorted(totals, totals + limit, side="left"), n)
+        last = np.arange(n + 1)
+        # double the reach until every start has arrived at its last closing item here
+        while True:
+            ahead = nxt[last]
+            if (ahead >= n).all():
+                break
+            last = np.where(ahead < n, last[np.minimum(ahead, n)], last)
+        starts = np.flatnonzero(totals < pdf["_block"].iloc[0] * width + limit)
+        starts = np.append(starts, starts[-1] + 1 if len(starts) else 0)
+        starts = starts[starts < n]
+        first = pdf.iloc[0]
+        return pd.DataFrame(
+            {key: first[key], "_block": first["_block"], "_at": totals[starts], "_mark": totals[last[starts]] + limit}
+        )
+
+    lists = slim.groupBy(key, "_block").applyInPandas(hand_over, f"{key} {kind}, _block bigint, _at double, _mark double")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        mark, out = float(limit), []
+        for block, rows in pdf.sort_values(["_block", "_at"]).groupby("_block", sort=True):
+            out.append((pdf[key].iloc[0], block, mark))
+            at = rows["_at"].to_numpy()
+            i = int(np.searchsorted(at, mark, side="left"))
+            if i < len(at):
+                mark = float(rows["_mark"].iloc[i])
+        return pd.DataFrame(out, columns=[key, "_block", "_enter"])
+
+    entries = lists.groupBy(key).applyInPandas(chain, f"{key} {kind}, _block bigint, _enter double")
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        totals = pdf["_sum"].to_numpy()
+        mark, hit = float(pdf["_enter"].iloc[0]), []
+        i = int(np.searchsorted(totals, mark, side="left"))
+        while i < len(totals):
+            hit.append(i)
+            i = int(np.searchsorted(totals, totals[i] + limit, side="left"))
+        return pdf.iloc[hit][[key, "_pos"]]
+
+    closing = slim.join(entries, [key, "_block"]).groupBy(key, "_block").applyInPandas(close, f"{key} {kind}, _pos bigint")
+    marked = placed.join(closing.withColumn("_end", F.lit(1).cast("bigint")), [key, "_pos"], "left")
+    numbered = running(marked, [key], ["_pos"], {"_c": ("sum", F.coalesce("_end", F.lit(0).cast("bigint")), False)}, **options)
+    return numbered.select(*items.columns, F.coalesce("_c", F.lit(0).cast("bigint")).alias("chunk"))
