@@ -134,8 +134,11 @@ def _(t):
 
 @check("source_status", """
 SELECT 'shop' AS source, 'OK' AS status, (SELECT count(*) FROM customer) AS images UNION ALL SELECT 'mill', 'OK', (SELECT count(*) FROM supplier)
-UNION ALL SELECT 'attic', 'UNKNOWN_SOURCE', NULL UNION ALL SELECT 'broken', 'FAILED AnalysisException', NULL
+UNION ALL SELECT 'attic', 'UNKNOWN_SOURCE', NULL UNION ALL SELECT 'broken', 'FAILED OSError', NULL
 """)
 def _(t):
-    loaders = {"shop": lambda: t.customer, "mill": lambda: t.supplier, "broken": lambda: t.customer.select("no_such_column")}
+    def broken():
+        raise OSError("folder is gone")
+
+    loaders = {"shop": lambda: t.customer, "mill": lambda: t.supplier, "broken": broken}
     return state.source_status(t.spark, ["shop", "mill", "attic", "broken"], loaders)[0]
