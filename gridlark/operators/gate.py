@@ -6,42 +6,49 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridlark.functions import boxes as B
 from gridlark.operators.components import components
+from gridlark.operators.ordered import largest_group
 
 KEYS = ["stream_id", "frame_index"]
 
 
 def ema_background(cells: DataFrame, keys: Sequence[str], index: str, value: str, keep: float = 0.85) -> DataFrame:
-    """Difference of each value to the running background just before it.
+    """Running background just before each value, and the distance to it.
 
     The background starts at the first value and then moves by (1 - keep). `index`
-    counts each series from 1 without gaps. Series are cut into blocks long enough
-    that whatever came two blocks earlier weighs less than rounding error; each block
-    is a plain window sum and takes the ends of the blocks before it through joins.
+    counts each series from 1 without gaps. Series are cut into blocks, each warmed up
+    on a block before it that is long enough for anything older to weigh less than
+    rounding error, so a long series spreads over many tasks and a short one is the
+    plain recursion.
     """
     keys = list(keys)
-    block = max(32, math.ceil(math.log(1e-18) / math.log(keep)))
-    i0 = F.col(index) - 1
-    placed = cells.withColumns({"_b": F.floor(i0 / block).cast("bigint"), "_j": (i0 % block).cast("double")})
-    weight = F.when(F.col(index) == 1, F.lit(1.0)).otherwise(F.lit(1.0 - keep))
-    inside = W.partitionBy(*keys, "_b").orderBy("_j")
-    grown = F.sum(weight * F.col(value) * F.pow(F.lit(keep), -F.col("_j"))).over(inside.rowsBetween(W.unboundedPreceding, 0))
-    local = placed.withColumn("_own", grown * F.pow(F.lit(keep), F.col("_j")))
-    ends = local.where(F.col("_j") == block - 1).select(*keys, "_b", F.col("_own").alias("_end"))
-    near = ends.select(*keys, (F.col("_b") + 1).alias("_b"), F.col("_end").alias("_e1"))
-    far = ends.select(*keys, (F.col("_b") + 2).alias("_b"), F.col("_end").alias("_e2"))
-    carried = near.join(far, [*keys, "_b"], "left").select(
-        *keys, "_b", (F.col("_e1") + F.coalesce("_e2", F.lit(0.0)) * keep**block).alias("_in")
+    block = max(64, math.ceil(math.log(1e-18) / math.log(keep)))
+    own = F.floor((F.col(index) - 1) / block).cast("bigint")
+    kind = dict(cells.dtypes)[index]
+    slim = cells.select(*keys, index, F.col(value).cast("double").alias("_v"), own.alias("_own"))
+    if largest_group(cells, keys) <= block:
+        spread = slim.withColumn("_b", F.lit(0).cast("bigint"))
+    else:
+        spread = slim.withColumn("_b", F.explode(F.sequence(F.col("_own"), F.col("_own") + 1)))
+    row = F.struct(F.col(index).alias("i"), F.col("_v").alias("v"), (F.col("_own") < F.col("_b")).alias("warm"))
+    lists = spread.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    zero = F.struct(
+        F.lit(None).cast("double").alias("s"), F.array().cast(f"array<struct<i:{kind},v:double,s:double>>").alias("out")
+    )
+
+    def step(a, r):
+        moved = F.when(a["s"].isNull(), r["v"]).otherwise(keep * a["s"] + (1.0 - keep) * r["v"])
+        entry = F.struct(r["i"].alias("i"), r["v"].alias("v"), a["s"].alias("s"))
+        return F.struct(moved.alias("s"), F.when(r["warm"], a["out"]).otherwise(F.concat(a["out"], F.array(entry))).alias("out"))
+
+    out = lists.select(*keys, F.explode(F.aggregate("_rows", zero, step)["out"]).alias("_o"))
+    return out.select(
+        *keys, F.col("_o.i").alias(index), F.col("_o.v").alias(value), F.col("_o.s").alias("background"),
+        F.abs(F.col("_o.v") - F.col("_o.s")).alias("diff"),
     )
-    own_before = F.lag("_own").over(inside)
-    met = local.join(carried, [*keys, "_b"], "left")
-    before = F.coalesce(F.col("_prev"), F.lit(0.0)) + F.coalesce(F.col("_in"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_j"))
-    out = met.withColumn("_prev", own_before).withColumn("background", F.when(F.col(index) > 1, before))
-    return out.withColumn("diff", F.abs(F.col(value) - F.col("background"))).drop("_b", "_j", "_own", "_in", "_prev")
 
 
 def motion(diffs: DataFrame, floor: float = 16.0) -> DataFrame:
