@@ -31,7 +31,7 @@ def _(t):
     left = F.when(F.col("det_no") % 5 == 0, F.lit("n/a")).otherwise((F.col("x1") / 100).cast("string"))
     line = F.concat_ws(",", "frame_id", F.concat(F.lit("/m/"), "class_id"), left, F.col("x2") / 100, F.col("y1") / 75, bottom)
     names = ["ImageID", "LabelName", "XMin", "XMax", "YMin", "YMax"]
-    boxes = readers.typed_csv_boxes(t.det.select(line.alias("line")).select(*readers.split_csv_line(F.col("line"), names)))
+    boxes = readers.typed_csv_boxes(readers.csv_columns(t.det.select(line.alias("line")), "line", names))
     return boxes.select("image_id", "mid", *[F.round(c, 9).alias(c) for c in ("xc", "yc", "w", "h")])
 
 

@@ -16,6 +16,11 @@ def r6(c, name=None, digits=6):
     return F.round(F.col(c) if isinstance(c, str) else c, digits).alias(name or c)
 
 
+def _shifted(c):
+    """Rounded after a small shift that keeps exact halves of the last digit from rounding two ways."""
+    return r6(F.col(c) + F.lit(3.1234e-8), c)
+
+
 _EMA = """WITH RECURSIVE bg AS (SELECT stream_id, frame_index, cell_x, cell_y, value, CAST(NULL AS DOUBLE) AS before, value AS after FROM box_cells WHERE frame_index = 1
   UNION ALL SELECT c.stream_id, c.frame_index, c.cell_x, c.cell_y, c.value, b.after, 0.85 * b.after + (1 - 0.85::DOUBLE) * c.value
   FROM bg b JOIN box_cells c ON c.stream_id = b.stream_id AND c.cell_x = b.cell_x AND c.cell_y = b.cell_y AND c.frame_index = b.frame_index + 1)"""
@@ -27,18 +32,16 @@ def _diffs(t):
 
 @check("win_ema_background", _EMA + " SELECT stream_id, frame_index, cell_x, cell_y, round(before + 3.1234e-8, 6) AS background, round(abs(value - before) + 3.1234e-8, 6) AS diff FROM bg")
 def _(t):
-    # the small shift keeps exact halves of the last digit from rounding two ways
-    shifted = lambda c: r6(F.col(c) + F.lit(3.1234e-8), c)
-    return _diffs(t).select(*SF, "cell_x", "cell_y", shifted("background"), shifted("diff"))
+    return _diffs(t).select(*SF, "cell_x", "cell_y", _shifted("background"), _shifted("diff"))
 
 
 _MOTION = _EMA + """, mo AS (SELECT stream_id, frame_index, avg(CASE WHEN abs(value - before) > 16 THEN 1.0::DOUBLE ELSE 0 END) AS frac, avg(abs(value - before)) AS m FROM bg GROUP BY 1, 2),
 en AS (SELECT stream_id, frame_index, frac, CASE WHEN m IS NULL THEN 0 ELSE m + 1000 * frac END AS energy FROM mo)"""
 
 
-@check("agg_motion", _MOTION + " SELECT stream_id, frame_index, frac AS motion_frac, round(energy, 6) AS energy FROM en")
+@check("agg_motion", _MOTION + " SELECT stream_id, frame_index, frac AS motion_frac, round(energy + 3.1234e-8, 6) AS energy FROM en")
 def _(t):
-    return gate.motion(_diffs(t)).select(*SF, "motion_frac", r6("energy"))
+    return gate.motion(_diffs(t)).select(*SF, "motion_frac", _shifted("energy"))
 
 
 _ROIS = _MOTION + """, hot AS (SELECT stream_id, frame_index, cell_x AS x, cell_y AS y, cell_y * 4 + cell_x AS c FROM bg WHERE abs(value - before) > 16),
@@ -61,13 +64,13 @@ def _(t):
 
 
 @check("gate_decide", _ROIS + """, k AS (SELECT stream_id, frame_index, count(*) AS n FROM boxes GROUP BY 1, 2)
-SELECT e.stream_id, e.frame_index, round(energy, 6) AS energy, CASE WHEN e.frame_index > 1 AND energy >= 300 THEN coalesce(n, 0) ELSE 0 END AS n_rois,
+SELECT e.stream_id, e.frame_index, round(energy + 3.1234e-8, 6) AS energy, CASE WHEN e.frame_index > 1 AND energy >= 300 THEN coalesce(n, 0) ELSE 0 END AS n_rois,
   e.frame_index > 1 AND energy >= 300 AND coalesce(n, 0) > 0 AS triggered, NOT (e.frame_index > 1 AND energy >= 300 AND coalesce(n, 0) > 0) AS skipped
 FROM en e LEFT JOIN k ON e.stream_id = k.stream_id AND e.frame_index = k.frame_index
 """)
 def _(t):
     out = gate.gate(gate.motion(_diffs(t)), _rois(t), 300.0)
-    return out.select(*SF, r6("energy"), "n_rois", "triggered", "skipped")
+    return out.select(*SF, _shifted("energy"), "n_rois", "triggered", "skipped")
 
 
 @check("agg_duty_frac", """

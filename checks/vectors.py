@@ -16,7 +16,8 @@ def _flat(df, keys, column):
 
 
 def _codes(t):
-    return t.embeddings.select("vec_id", "label", V.encode_pattern(F.col("embedding"), 64, DIM).alias("code"))
+    encode = V.encoder(64, DIM, V.pattern_projection)
+    return t.embeddings.select("vec_id", "label", encode("embedding").alias("code"))
 
 
 _UNNEST = "SELECT vec_id, label, unnest(range(0, len(embedding)))::INT AS pos, unnest(embedding) AS x FROM embeddings"
@@ -67,7 +68,7 @@ def _(t):
 
 @check("vec_encode_gaussian")
 def _(t):
-    encode = V.gaussian_encoder(64, 1024)
+    encode = V.encoder(64, 1024)
     return t.embeddings.select("vec_id", encode("embedding").alias("code"))
 
 
@@ -83,8 +84,10 @@ def _(t):
     k = F.col("vec_id")
     aux = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((k * 7 + i * 5) % 9 - 4).cast("double"))
     aux = F.when(k % 3 == 1, aux).when(k % 3 == 2, aux).when(k % 6 == 0, F.array().cast("array<double>"))
-    bound = V.bind_aux(F.col("code"), F.col("aux"), 64, DIM)
-    rows = _codes(t).withColumn("aux", aux).select("vec_id", bound.alias("b"))
+    encode = V.encoder(64, DIM, V.pattern_projection)
+    bound = V.bind_aux(F.col("code"), F.col("aux_code"), F.col("aux"), DIM)
+    coded = _codes(t).withColumn("aux", aux).withColumn("aux_code", encode("aux"))
+    rows = coded.select("vec_id", bound.alias("b"))
     return _flat(rows, ["vec_id"], "b")
 
 

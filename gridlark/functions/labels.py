@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridlark.functions.vectors import let
+
 
 def tokens(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
@@ -48,66 +50,79 @@ def parse_box_text(
     """
     class_map = class_map or {}
     text_map = {k.lower(): v for k, v in (text_map or {}).items()}
-    parts = tokens(line)
-    fields = F.split(F.trim(line), ",")
     w = F.greatest(F.lit(1), width)
     h = F.greatest(F.lit(1), height)
     at = lambda arr, i: F.get(arr, F.lit(i))
 
     def row(kind, cls, xc, yc, bw, bh):
-        values = F.struct(
+        return F.struct(
             F.lit(kind).alias("kind"), cls.alias("cls"), xc.alias("xc"), yc.alias("yc"), bw.alias("bw"), bh.alias("bh")
         )
-        present = cls.isNotNull() & xc.isNotNull() & yc.isNotNull() & bw.isNotNull() & bh.isNotNull()
-        return F.when(present, values)
-
-    raw = _whole(at(parts, 0))
-    centre = row("centre", _lookup(class_map, raw, raw), *[_num(at(parts, i)) for i in range(1, 5)])
 
-    left, top, bw, bh = (_num(at(fields, i)) for i in range(4))
-    code = _whole(at(fields, 5))
-    pixel = row(
-        "pixel", _lookup(class_map, code, F.lit(None).cast("int")),
-        (left + bw / 2.0) / w, (top + bh / 2.0) / h, bw / w, bh / h,
-    )
-
-    xs = F.array(*[_num(at(parts, i)) for i in range(0, 8, 2)])
-    ys = F.array(*[_num(at(parts, i)) for i in range(1, 8, 2)])
-    complete = ~F.exists(F.concat(xs, ys), lambda v: v.isNull())
-    x_lo, x_hi, y_lo, y_hi = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
-    name = F.lower(at(parts, 8))
-    if csv:
-        number = F.when(name.rlike("^[0-9]+$"), name.try_cast("int"))
-        fallback = F.when(
-            number.isNotNull(), _lookup(class_map, number, F.lit(numeric_default).cast("int"))
+    def centre(parts):
+        raw = _whole(at(parts, 0))
+        return row("centre", _lookup(class_map, raw, raw), *[_num(at(parts, i)) for i in range(1, 5)])
+
+    def pixel(fields):
+        left, top, bw, bh = (_num(at(fields, i)) for i in range(4))
+        cls = _lookup(class_map, _whole(at(fields, 5)), F.lit(None).cast("int"))
+        return row("pixel", cls, (left + bw / 2.0) / w, (top + bh / 2.0) / h, bw / w, bh / h)
+
+    def outline(parts):
+        name = F.lower(at(parts, 8))
+        if csv:
+            number = F.when(name.rlike("^[0-9]+$"), name.try_cast("int"))
+            fallback = F.when(number.isNotNull(), _lookup(class_map, number, F.lit(numeric_default).cast("int")))
+            cls = _lookup(text_map, name, fallback)
+        else:
+            cls = _lookup(text_map, name, F.lit(unknown_default).cast("int"))
+            cls = _lookup(class_map, cls, cls)
+        corners = F.transform(F.slice(parts, 1, 8), _num)
+        axis = lambda odd: F.filter(corners, lambda v, i: i % 2 == odd)
+        ends = F.struct(
+            F.array_min(axis(0)).alias("x1"), F.array_max(axis(0)).alias("x2"),
+            F.array_min(axis(1)).alias("y1"), F.array_max(axis(1)).alias("y2"),
+            F.exists(corners, lambda v: v.isNull()).alias("bad"),
+        )
+        return let(
+            ends,
+            lambda e: F.when(
+                ~e["bad"],
+                row(
+                    "outline", cls, (e["x1"] + e["x2"]) / (w * 2.0), (e["y1"] + e["y2"]) / (h * 2.0),
+                    (e["x2"] - e["x1"]) / w, (e["y2"] - e["y1"]) / h,
+                ),
+            ),
         )
-        cls = _lookup(text_map, name, fallback)
-    else:
-        cls = _lookup(text_map, name, F.lit(unknown_default).cast("int"))
-        cls = _lookup(class_map, cls, cls)
-    outline = F.when(
-        complete,
-        row(
-            "outline", cls,
-            (x_lo + x_hi) / (w * 2.0), (y_lo + y_hi) / (h * 2.0), (x_hi - x_lo) / w, (y_hi - y_lo) / h,
-        ),
+
+    def parse(p):
+        parts, fields = p["parts"], p["fields"]
+        n = F.size(parts)
+        chain = F.when(n == 5, centre(parts))
+        if csv:
+            chain = chain.when(F.size(fields) >= 6, pixel(fields))
+        return chain.when(n >= 9, outline(parts))
+
+    # split the line once and bind the pieces
+    pieces = F.struct(tokens(line).alias("parts"), F.split(F.trim(line), ",").alias("fields"))
+    whole = lambda r: F.when(
+        r["cls"].isNotNull() & r["xc"].isNotNull() & r["yc"].isNotNull() & r["bw"].isNotNull() & r["bh"].isNotNull(), r
     )
-    n = F.size(parts)
-    chain = F.when(n == 5, centre)
-    if csv:
-        chain = chain.when(F.size(fields) >= 6, pixel)
-    return chain.when(n >= 9, outline)
+    return let(let(pieces, parse), whole)
 
 
 def rewrite_label(line: Column, class_map: dict[int, int], default_cls: int | None = None) -> Column:
     """Replace the class token and keep the others word for word; NULL when dropped."""
-    parts = tokens(line)
-    raw = _num(F.get(parts, F.lit(0))).try_cast("int")
-    cls = _lookup(class_map, raw, F.lit(default_cls).cast("int"))
-    text = F.array_join(
-        F.concat(F.array(cls.cast("string")), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))), " "
-    )
-    return F.when((F.size(parts) >= 5) & raw.isNotNull() & cls.isNotNull(), text)
+
+    def rewrite(parts):
+        raw = _num(F.get(parts, F.lit(0))).try_cast("int")
+        cls = _lookup(class_map, raw, F.lit(default_cls).cast("int"))
+        text = F.array_join(
+            F.concat(F.array(cls.cast("string")), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))), " "
+        )
+        return F.when((F.size(parts) >= 5) & raw.isNotNull() & cls.isNotNull(), text)
+
+    return let(tokens(line), rewrite)
 
 
 def format_box(cls, xc, yc, bw, bh) -> Column:

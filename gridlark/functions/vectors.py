@@ -48,50 +48,50 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (l2(a) * l2(b) + F.lit(1e-8))
 
 
-def pattern_rows(feat_dim: int, dim: int) -> list[list[float]]:
-    """An arithmetic projection: +1 or -1 from the row and column number, unit rows."""
-    unit = float(feat_dim) ** -0.5
-    return [[unit if (r * 31 + c * 17 + r * c) % 7 < 4 else -unit for c in range(feat_dim)] for r in range(dim)]
-
-
-def encode_pattern(v: Column, feat_dim: int, dim: int) -> Column:
-    """Sign of the arithmetic projection of the normalised vector."""
-    rows = F.lit(pattern_rows(feat_dim, dim))
-    return let(
-        normalise(v, feat_dim),
-        lambda u: F.transform(rows, lambda p: F.when(dot(u, p) < 0, F.lit(-1)).otherwise(F.lit(1))),
-    )
-
-
 def role_pattern(dim: int) -> Column:
     return F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when((i * 13 + 5) % 11 < 5, F.lit(-1)).otherwise(F.lit(1))
     )
 
 
-def bind_aux(visual: Column, aux: Column, feat_dim: int, dim: int) -> Column:
-    """Tie a second feature vector to the visual code; no change when it is absent."""
-    mixed = bind(encode_pattern(aux, feat_dim, dim), role_pattern(dim))
+def bind_aux(visual: Column, aux_code: Column, aux: Column, dim: int) -> Column:
+    """Tie the code of a second feature vector to the visual code; no change when `aux` is absent."""
+    mixed = bind(aux_code, role_pattern(dim))
     return F.when(aux.isNull() | (F.size(aux) == 0), visual).otherwise(bind(visual, mixed))
 
 
-def gaussian_encoder(feat_dim: int, dim: int, seed: int = 7):
-    """Arrow UDF for the seeded random projection; the matrix is rebuilt in each task."""
+def gaussian_projection(feat_dim: int, dim: int, seed: int = 7) -> np.ndarray:
+    """Seeded random projection with unit rows."""
+    rows = np.random.default_rng(seed).standard_normal((dim, feat_dim))
+    return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-8)
+
+
+def pattern_projection(feat_dim: int, dim: int) -> np.ndarray:
+    """Projection whose signs follow from the row and column number alone."""
+    r, c = np.arange(dim)[:, None], np.arange(feat_dim)[None, :]
+    return np.where((r * 31 + c * 17 + r * c) % 7 < 4, 1.0, -1.0) / feat_dim**0.5
+
+
+def encoder(feat_dim: int, dim: int, projection=gaussian_projection):
+    """Column function: sign (0 counts as +1) of the projection of the normalised vector.
+
+    A code is thousands of entries wide, so the product is one matrix multiply per
+    Arrow batch. The matrix is rebuilt from its rule in each task, not shipped.
+    """
 
-    @F.pandas_udf("array<tinyint>")
+    @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rng = np.random.default_rng(seed)
-        proj = rng.standard_normal((dim, feat_dim)).astype(np.float32)
-        proj /= np.linalg.norm(proj, axis=1, keepdims=True) + 1e-8
+        proj = projection(feat_dim, dim).T
         for batch in batches:
-            x = np.zeros((len(batch), feat_dim), dtype=np.float32)
+            x = np.zeros((len(batch), feat_dim))
             for i, v in enumerate(batch):
                 if v is not None:
-                    part = np.asarray(v, dtype=np.float32)[:feat_dim]
+                    part = np.asarray(v, dtype=float)[:feat_dim]
                     x[i, : part.size] = part
             norms = np.linalg.norm(x, axis=1, keepdims=True)
             x = np.divide(x, norms, out=x, where=norms > 0)
-            codes = np.where(x @ proj.T < 0, -1, 1).astype(np.int8)
+            # an exact zero may come out as rounding noise of either sign
+            codes = np.where(x @ proj < -1e-12, -1, 1).astype(np.int32)
             yield pd.Series(list(codes))
 
     return encode

@@ -14,6 +14,7 @@ from gridlark.functions import boxes as B
 from gridlark.functions import vectors as V
 from gridlark.operators.ordered import HOT_ROWS, islands, largest_group
 from gridlark.operators.overlap import overlap_pairs
+from gridlark.session import cut_lineage
 
 
 def squared_distance(dx: Column, dy: Column, p00: Column, noise: float) -> Column:
@@ -247,7 +248,8 @@ def assign_two_stage(
     """
     strong = det.where(F.col("conf") >= high)
     weak = det.where((F.col("conf") >= low) & (F.col("conf") < high))
-    first = assign_optimal(tracks, strong, keys, track, number, **options)
+    # the first stage feeds three joins
+    first = cut_lineage(assign_optimal(tracks, strong, keys, track, number, **options))
     rest = tracks.join(first.select(*keys, track), [*keys, track], "left_anti")
     second = assign_optimal(rest, weak, keys, track, number, **options)
     births = strong.join(first.select(*keys, number), [*keys, number], "left_anti")

@@ -11,6 +11,7 @@ from gridlark.functions import boxes as B
 from gridlark.operators import overlap
 from gridlark.operators.ordered import largest_group, running
 from gridlark.operators.windows import crop_plan
+from gridlark.session import cut_lineage
 
 BLOCK = 256
 
@@ -101,6 +102,8 @@ def decide(
         names = ("legacy-gate", "legacy-idle") if not enabled else ("predict-no-track", "quiet-scene")
         decided = flags.withColumns({"run": trig, "reason": F.when(trig, names[0]).otherwise(names[1])})
     else:
+        # one narrow row per frame, read by the fold, the replay and the result
+        flags = cut_lineage(flags)
         forced = F.col("unexplained") | (F.col("pending") & trig) | (live & F.col("stale")) | (~live & trig)
         kind = F.when(forced, 2).when(live, 1).otherwise(0)
         placed = running(flags, keys, [order], {"_pos": ("sum", F.lit(1).cast("bigint"), True)}, **options).withColumn("_kind", kind)
@@ -145,7 +148,7 @@ def run_regions(
     Frames carry `width` and `height`.
     """
     keys = list(keys)
-    runs = decided.where("run").select(*keys, "reason", "width", "height", "confirmed", "has_rois")
+    runs = cut_lineage(decided.where("run").select(*keys, "reason", "width", "height", "confirmed", "has_rois"))
     known = track_box(tracks.where("confirmed"))
     whole = [F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]
     loose = overlap.unexplained(rois, known, keys, ["roi_no"], cover_iou).select(*keys, *whole)

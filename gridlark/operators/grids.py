@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridlark.functions.vectors import let
 from gridlark.operators.components import fold_components
 
 
@@ -35,17 +36,22 @@ def kernel(sigma: float) -> list[tuple[int, float]]:
 
 def _smooth_line(line: Column, sigma: float) -> Column:
     """Weighted sums along one array; indices beyond an end are mirrored back."""
-    taps = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in kernel(sigma)])
+    weights = [w for _, w in kernel(sigma)]
+    radius = len(weights) // 2
+    taps = F.lit(weights)
     n = F.size(line)
 
-    def at(i):
+    def mirrored(i):
         m = F.pmod(i, 2 * n)
         return F.get(line, F.when(m < n, m).otherwise(2 * n - 1 - m))
 
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.aggregate(taps, F.lit(0.0), lambda s, t: s + t["w"] * at(i + t["o"])),
-    )
+    padded = F.transform(F.sequence(F.lit(-radius), n - 1 + radius), mirrored)
+
+    def weighted(p):
+        near = lambda i: F.zip_with(taps, F.slice(p, i + 1, F.lit(2 * radius + 1)), lambda w, v: w * v)
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(near(i), F.lit(0.0), lambda s, x: s + x))
+
+    return let(padded, weighted)
 
 
 def smooth(cells: DataFrame, sigmas: Sequence[float] = (1.0, 2.0, 4.0)) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridlark.operators.assign import best_matching
 from gridlark.operators.ordered import running
+from gridlark.session import cut_lineage
 
 
 @dataclass
@@ -259,7 +260,8 @@ def track_multi(
             finish(out)
             yield pd.DataFrame(out, columns=[*group, "frame_index", *OUT_COLUMNS, "_born"])
 
-    states = slim.mapInPandas(run, ddl)
+    # used twice below; the tracker itself must run once
+    states = cut_lineage(slim.mapInPandas(run, ddl))
     totals = states.groupBy(*group).agg(F.max("_born").alias("_n"))
     base = running(totals, keys, ["_piece"], {"_base": ("sum", F.col("_n"), False)}, **ordered)
     renumbered = states.join(base.select(*group, "_base"), group)

@@ -14,6 +14,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .appName("gridlark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # small local tables still spread their heavy rows over all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
@@ -52,9 +52,10 @@ def typed_csv_boxes(raw: DataFrame) -> DataFrame:
     return boxes.where(F.col("_ok") & (F.col("w") > 0) & (F.col("h") > 0)).drop("_ok")
 
 
-def split_csv_line(line: Column, names: Sequence[str]) -> list[Column]:
-    parsed = F.from_csv(line, ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"})
-    return [parsed.getField(n).alias(n) for n in names]
+def csv_columns(lines: DataFrame, line: str, names: Sequence[str]) -> DataFrame:
+    """Lines of CSV text to text columns, parsed once per line."""
+    parsed = F.from_csv(F.col(line), ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"})
+    return lines.select(F.explode(F.array(parsed)).alias("_r")).select("_r.*")
 
 
 def read_class_csv(spark: SparkSession, path: str) -> DataFrame:
