@@ -35,19 +35,22 @@ class TrackerOptions:
 
 # columns of the live-track matrix
 X, Y, VX, VY, P00, P01, P11, WID, HEI, HITS, AGE, TSU, ID = range(13)
-OUT_COLUMNS = ["track_id", "x", "y", "vx", "vy", "w", "h", "name", "hits", "age", "time_since_update", "confirmed"]
+OUT_COLUMNS = ["track_id", "x", "y", "vx", "vy", "w", "h", "class_name", "name", "hits", "age", "time_since_update", "confirmed"]
 OUT_DDL = (
-    "track_id bigint, x double, y double, vx double, vy double, w double, h double, name string, "
+    "track_id bigint, x double, y double, vx double, vy double, w double, h double, class_name string, name string, "
     "hits bigint, age bigint, time_since_update bigint, confirmed boolean"
 )
 
 
 @dataclass
 class Stream:
-    """Live tracks of one stream: one row of numbers and one name each."""
+    """Live tracks of one stream: one row of numbers and one look each.
+
+    A look is [class name, gallery name or None, appearance vector or None].
+    """
 
     rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 13)))
-    names: list = field(default_factory=list)
+    looks: list = field(default_factory=list)
     born: int = 0
 
     def predict(self, o: TrackerOptions) -> None:
@@ -72,7 +75,7 @@ class Stream:
         s[P00] *= 1 - k0
         s[P01] *= 1 - k0
 
-    def associate(self, tracks: np.ndarray, boxes: np.ndarray, names: list, o: TrackerOptions) -> list[tuple[int, int]]:
+    def associate(self, tracks: np.ndarray, boxes: np.ndarray, looks: list, o: TrackerOptions) -> list[tuple[int, int]]:
         if len(tracks) == 0 or len(boxes) == 0:
             return []
         s = self.rows[tracks]
@@ -92,16 +95,17 @@ class Stream:
         pairs = {}
         for i, j in zip(rows.tolist(), cols.tolist()):
             space = 0.5 * min(maha[i, j] / max(wide[i, 0], 1e-6), 2.0)
-            mine, other = self.names[tracks[i]], names[j]
-            if mine and other:
-                look = 0.1 if mine == other else 0.8
-                cost = o.w_iou * (1 - iou[i, j]) + o.w_space * space + o.w_look * look
-            else:
+            look = look_distance(self.looks[tracks[i]], looks[j])
+            if look is None:
                 cost = (o.w_iou * (1 - iou[i, j]) + o.w_space * space) / both
+            elif look > 0.85:
+                continue
+            else:
+                cost = o.w_iou * (1 - iou[i, j]) + o.w_space * space + o.w_look * look
             pairs[i, j] = float(cost)
         return [(int(tracks[i]), j) for i, j in contested(pairs)]
 
-    def advance(self, boxes: np.ndarray, conf: np.ndarray, names: list, points: np.ndarray, o: TrackerOptions) -> None:
+    def advance(self, boxes: np.ndarray, conf: np.ndarray, looks: list, points: np.ndarray, o: TrackerOptions) -> None:
         """One frame: predict, match, correct, start, take points in, retire."""
         self.predict(o)
         everyone = np.arange(len(self.rows))
@@ -109,13 +113,13 @@ class Stream:
         matches = []
         if len(boxes) and o.two_stage:
             strong, weak = np.flatnonzero(conf >= o.high), np.flatnonzero((conf >= o.low) & (conf < o.high))
-            first = [(t, int(strong[j])) for t, j in self.associate(everyone, boxes[strong], [names[j] for j in strong], o)]
+            first = [(t, int(strong[j])) for t, j in self.associate(everyone, boxes[strong], [looks[j] for j in strong], o)]
             rest = np.setdiff1d(everyone, [t for t, _ in first])
-            second = self.associate(rest, boxes[weak], [names[j] for j in weak], o)
+            second = self.associate(rest, boxes[weak], [looks[j] for j in weak], o)
             matches = first + [(t, int(weak[j])) for t, j in second]
             births = np.setdiff1d(strong, [j for _, j in first])
         elif len(boxes):
-            matches = self.associate(everyone, boxes, names, o)
+            matches = self.associate(everyone, boxes, looks, o)
             births = np.setdiff1d(births, [j for _, j in matches])
         for t, j in matches:
             x1, y1, x2, y2 = boxes[j]
@@ -125,17 +129,17 @@ class Stream:
             s[HEI] = 0.8 * s[HEI] + 0.2 * max(4.0, y2 - y1)
             s[HITS] += 1
             s[TSU] = 0
-            self.names[t] = names[j] or self.names[t]
+            self.looks[t] = blend(self.looks[t], looks[j])
         for j in births.tolist():
             x1, y1, x2, y2 = boxes[j]
             self.born += 1
             new = [(x1 + x2) / 2, (y1 + y2) / 2, 0, 0, o.meas_var, 0, 100.0, max(4.0, x2 - x1), max(4.0, y2 - y1), 1, 0, 0, self.born]
             self.rows = np.vstack([self.rows, new])
-            self.names.append(names[j])
+            self.looks.append(list(looks[j]))
         self.absorb(points, o)
         alive = self.rows[:, TSU] <= o.max_age
         if not alive.all():
-            self.names = [n for n, a in zip(self.names, alive) if a]
+            self.looks = [v for v, a in zip(self.looks, alive) if a]
             self.rows = self.rows[alive]
 
     def absorb(self, points: np.ndarray, o: TrackerOptions) -> None:
@@ -150,11 +154,32 @@ class Stream:
 
     def states(self, o: TrackerOptions) -> list[tuple]:
         return [
-            (int(s[ID]), s[X], s[Y], s[VX], s[VY], s[WID], s[HEI], n, int(s[HITS]), int(s[AGE]), int(s[TSU]), bool(s[HITS] >= o.min_hits))
-            for s, n in zip(self.rows, self.names)
+            (int(s[ID]), *s[[X, Y, VX, VY, WID, HEI]].tolist(), v[0], v[1], int(s[HITS]), int(s[AGE]), int(s[TSU]), bool(s[HITS] >= o.min_hits))
+            for s, v in zip(self.rows, self.looks)
         ]
 
 
+def look_distance(a: list, b: list) -> float | None:
+    """Appearance distance from vectors if both have one, else from gallery names."""
+    if a[2] is not None and b[2] is not None:
+        cos = float(a[2] @ b[2] / (np.linalg.norm(a[2]) * np.linalg.norm(b[2]) + 1e-8))
+        return min(max(1.0 - cos, 0.0), 1.0)
+    if a[1] and b[1]:
+        return 0.1 if a[1] == b[1] else 0.8
+    return None
+
+
+def blend(old: list, new: list) -> list:
+    """The newest class, the newest known gallery name, and a slowly moving vector."""
+    vector = old[2]
+    if new[2] is not None:
+        vector = new[2] if vector is None else 0.8 * vector + 0.2 * new[2]
+        norm = float(np.linalg.norm(vector))
+        if old[2] is not None and norm > 1e-6:
+            vector = vector / norm
+    return [new[0], new[1] or old[1], vector]
+
+
 def contested(pairs: dict) -> list[tuple[int, int]]:
     """Best matching, solved separately for groups of pairs that share a row or column."""
     left = dict(pairs)
@@ -176,11 +201,14 @@ def contested(pairs: dict) -> list[tuple[int, int]]:
 
 
 def frame_arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-    """Arrays of a frame's rows ``(is_point, x1, y1, x2, y2, conf, name)``."""
+    """Arrays of a frame's rows ``(is_point, x1, y1, x2, y2, conf, class_name, name, vector)``."""
     det = [r for r in rows if r[0] == 0]
     boxes = np.array([r[1:5] for r in det], dtype=float).reshape(-1, 4)
     points = np.array([r[1:3] for r in rows if r[0] == 1], dtype=float).reshape(-1, 2)
-    return boxes, np.array([r[5] for r in det], dtype=float), [r[6] if isinstance(r[6], str) else None for r in det], points
+    text = lambda v: v if isinstance(v, str) else None
+    vector = lambda v: None if v is None or isinstance(v, float) else np.asarray(v, dtype=float)
+    looks = [[text(r[6]), text(r[7]), vector(r[8])] for r in det]
+    return boxes, np.array([r[5] for r in det], dtype=float), looks, points
 
 
 def track_multi(
@@ -194,27 +222,30 @@ def track_multi(
     """Track states after every frame of every stream.
 
     `frames` lists each stream's frames (``keys, frame_index``), `detections` adds
-    ``det_no, x1, y1, x2, y2, conf, name`` and `points` adds ``point_no, x, y``. A stream
+    ``det_no, x1, y1, x2, y2, conf`` and optionally `class_name`, `name` (gallery class) and `vector`, and `points` adds ``point_no, x, y``. A stream
     is cut wherever it has been quiet long enough for every track to have retired, and
     the pieces are tracked apart; numbering is then continued across the pieces. Rows
     reach the helper frame by frame in Arrow batches, so a stream is never held whole.
     """
     o = options or TrackerOptions()
     keys = list(keys)
-    columns = ["kind", "no", "x1", "y1", "x2", "y2", "conf", "name"]
+    columns = ["kind", "no", "x1", "y1", "x2", "y2", "conf", "class_name", "name", "vector"]
     none = lambda ty: F.lit(None).cast(ty)
-    every = frames.select(*keys, "frame_index", F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("no"), *[none("double").alias(c) for c in columns[2:7]], none("string").alias("name"))
+    looks = {"class_name": "string", "name": "string", "vector": "array<double>"}
+    blank = [none(ty).alias(c) for c, ty in looks.items()]
+    every = frames.select(*keys, "frame_index", F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("no"), *[none("double").alias(c) for c in columns[2:7]], *blank)
     rows = every.unionByName(
         detections.select(
             *keys, "frame_index", F.lit(0).alias("kind"), F.col("det_no").cast("bigint").alias("no"),
-            *[F.col(c).cast("double").alias(c) for c in columns[2:7]], F.col("name").cast("string").alias("name"),
+            *[F.col(c).cast("double").alias(c) for c in columns[2:7]],
+            *[(F.col(c) if c in detections.columns else F.lit(None)).cast(ty).alias(c) for c, ty in looks.items()],
         )
     )
     if points is not None:
         rows = rows.unionByName(
             points.select(
                 *keys, "frame_index", F.lit(1).alias("kind"), F.col("point_no").cast("bigint").alias("no"), F.col("x").cast("double").alias("x1"),
-                F.col("y").cast("double").alias("y1"), *[none("double").alias(c) for c in columns[4:7]], none("string").alias("name"),
+                F.col("y").cast("double").alias("y1"), *[none("double").alias(c) for c in columns[4:7]], *blank,
             )
         )
     order = ["frame_index", "kind", "no"]

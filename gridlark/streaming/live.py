@@ -123,17 +123,19 @@ class TrackProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.buffer = handle.getListState(
-            "buffer", "at bigint, frame bigint, kind int, no bigint, x1 double, y1 double, x2 double, y2 double, conf double, name string"
+            "buffer", "at bigint, frame bigint, kind int, no bigint, x1 double, y1 double, x2 double, y2 double, conf double, class_name string, name string, vector array<double>"
         )
         self.tracks = handle.getValueState("tracks", "body string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = ["at", "frame", "kind", "no", "x1", "y1", "x2", "y2", "conf", "name"]
+        names = ["at", "frame", "kind", "no", "x1", "y1", "x2", "y2", "conf", "class_name", "name", "vector"]
         added = []
         for pdf in rows:
             for r in pdf[names].itertuples(index=False, name=None):
                 floats = [None if v is None or v != v else float(v) for v in r[4:9]]
-                added.append((int(r[0]), int(r[1]), int(r[2]), int(r[3]), *floats, r[9] if isinstance(r[9], str) else None))
+                texts = [v if isinstance(v, str) else None for v in r[9:11]]
+                vector = None if r[11] is None else [float(v) for v in r[11]]
+                added.append((*(int(v) for v in r[:4]), *floats, *texts, vector))
         if added:
             self.buffer.appendList(added)
             for at in (min(a[0] for a in added), max(a[0] for a in added)):
@@ -148,13 +150,15 @@ class TrackProcessor(StatefulProcessor):
         stream = Stream()
         if self.tracks.exists():
             body = json.loads(self.tracks.get()[0])
-            stream = Stream(np.array(body["rows"], dtype=float).reshape(-1, 13), body["names"], body["born"])
+            looks = [[c, n, None if v is None else np.array(v)] for c, n, v in body["looks"]]
+            stream = Stream(np.array(body["rows"], dtype=float).reshape(-1, 13), looks, body["born"])
         out = []
         for frame in sorted({r[1] for r in ready}):
             rows = [(r[2], *r[4:]) for r in ready if r[1] == frame and r[2] >= 0]
             stream.advance(*frame_arrays(rows), self.o)
             out.extend((key[0], frame, *s) for s in stream.states(self.o))
-        self.tracks.update((json.dumps({"rows": stream.rows.tolist(), "names": stream.names, "born": stream.born}),))
+        looks = [[c, n, None if v is None else v.tolist()] for c, n, v in stream.looks]
+        self.tracks.update((json.dumps({"rows": stream.rows.tolist(), "looks": looks, "born": stream.born}),))
         self.buffer.put(later) if later else self.buffer.clear()
         if later:
             self.handle.registerTimer(later[0][0] // 1000 + 1)
@@ -165,7 +169,13 @@ class TrackProcessor(StatefulProcessor):
 
 
 def live_tracks(rows: DataFrame, delay: str, options: TrackerOptions | None = None) -> DataFrame:
-    """`rows` has ``stream_id, ts, frame, kind, no, x1..y2, conf, name``; kind -1 marks a frame."""
+    """`rows` has ``stream_id, ts, frame, kind, no, x1..y2, conf``; kind -1 marks a frame.
+
+    `class_name`, `name` (gallery class) and `vector` are optional.
+    """
+    for c, ty in (("class_name", "string"), ("name", "string"), ("vector", "array<double>")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(ty))
     timed = rows.withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay)
     return timed.groupBy("stream_id").transformWithStateInPandas(
         TrackProcessor(options or TrackerOptions()), "stream_id bigint, frame_index bigint, " + OUT_DDL, "append", "EventTime"
