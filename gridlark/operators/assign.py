@@ -27,13 +27,13 @@ def coast_gate(tsu: Column, gate: float = 9.21, slope: float = 0.35, ceiling: fl
 
 
 def axis_islands(
-    df: DataFrame, keys: Sequence[str], tag: str, size: int | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], tags: Sequence[str], size: int | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Split rows with extents ``_xlo.._yhi`` into groups that cannot touch each other."""
     if size is None or size > hot_rows:
         size = largest_group(df, keys)
-    ix = islands(df, keys, "_xlo", "_xhi", ["_xhi", tag], "_ix", hot_rows, size)
-    return islands(ix, [*keys, "_ix"], "_ylo", "_yhi", ["_yhi", tag], "_iy", hot_rows, size)
+    ix = islands(df, keys, "_xlo", "_xhi", ["_xhi", *tags], "_ix", hot_rows, size)
+    return islands(ix, [*keys, "_ix"], "_ylo", "_yhi", ["_yhi", *tags], "_iy", hot_rows, size)
 
 
 def _pair_bound(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> int:
@@ -61,8 +61,8 @@ def nearest_greedy(
     # a track's reach is one disc, so pairs of different clusters never share a point
     reach = pairs.withColumns(
         {"_xlo": F.col("x") - radius, "_xhi": F.col("x") + radius, "_ylo": F.col("y") - radius, "_yhi": F.col("y") + radius}
-    ).withColumn("_tag", F.struct(track, point))
-    split = axis_islands(reach, keys, "_tag", _pair_bound(tracks, points, keys))
+    )
+    split = axis_islands(reach, keys, [track, point], _pair_bound(tracks, points, keys))
     rows = F.array_sort(F.collect_list(F.struct(F.col(track).alias("t"), "d2", F.col(point).alias("p"))))
     state = "array<struct<t:{0},p:{1},d2:double>>".format(dict(tracks.dtypes)[track], dict(points.dtypes)[point])
 
@@ -205,8 +205,8 @@ def assign_optimal(
     the matching helper, streamed through Arrow batches in group order.
     """
     keys = list(keys)
-    pairs = candidate_costs(tracks, det, keys, track, number, **options).withColumn("_tag", F.struct(track, number))
-    split = axis_islands(pairs, keys, "_tag", _pair_bound(tracks, det, keys))
+    pairs = candidate_costs(tracks, det, keys, track, number, **options)
+    split = axis_islands(pairs, keys, [track, number], _pair_bound(tracks, det, keys))
     group = [*keys, "_ix", "_iy"]
     slim = split.withColumn("_n", F.count("*").over(W.partitionBy(*group))).select(*group, track, number, "cost", "_n")
     types = dict(slim.dtypes)

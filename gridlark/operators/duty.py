@@ -111,7 +111,9 @@ def decide(
         rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_kind").alias("k"))))
         lists = blocks.groupBy(*keys, "idx").agg(rows.alias("_rows"))
         maps = lists.select(*keys, "idx", _fold_map(F.col("_rows.k"), detect_every).alias("map"))
-        count = -(-largest_group(flags, keys) // BLOCK)
+        longest = largest_group(flags, keys)
+        options = {**options, "size": longest}
+        count = -(-longest // BLOCK)
         starts = _starts(maps, keys, detect_every, max(1, count))
         order_type = dict(flags.dtypes)[order]
         zero = F.struct(F.col("start").alias("s"), F.array().cast(f"array<struct<o:{order_type},run:boolean>>").alias("out"))

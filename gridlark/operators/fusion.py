@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlark.functions import boxes as B
 from gridlark.operators.assign import axis_islands
-from gridlark.operators.ordered import largest_group
+from gridlark.operators.ordered import HOT_ROWS, largest_group
 
 _STATE = "array<struct<n:bigint,sw:double,top:double,a:double,b:double,c:double,d:double>>"
 
@@ -62,6 +62,7 @@ def fuse_boxes(
     allow_overflow: bool = False,
     cls: str = "class_id",
     source: str = "source_idx",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per fused box of each (frame, class). Boxes are shares of the frame.
 
@@ -81,9 +82,9 @@ def fuse_boxes(
     kept = scored.where("x2 > x1 AND y2 > y1")
     copies = kept.groupBy(*keys, "x1", "y1", "x2", "y2", "s").agg(F.count("*").alias("n"))
     spans = copies.withColumns(
-        {"_xlo": F.col("x1"), "_xhi": F.col("x2"), "_ylo": F.col("y1"), "_yhi": F.col("y2"), "_tag": F.struct("s", "x1", "y1", "x2", "y2")}
+        {"_xlo": F.col("x1"), "_xhi": F.col("x2"), "_ylo": F.col("y1"), "_yhi": F.col("y2")}
     )
-    groups = axis_islands(spans, keys, "_tag", largest_group(boxes, keys))
+    groups = axis_islands(spans, keys, ["s", "x1", "y1", "x2", "y2"], largest_group(boxes, keys), hot_rows)
     row = F.struct((-F.col("s")).alias("k"), "x1", "y1", "x2", "y2", "s", "n")
     folded = groups.groupBy(*keys, "_ix", "_iy").agg(
         F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(_STATE), _step(iou_thr)).alias("_c")

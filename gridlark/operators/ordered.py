@@ -32,38 +32,43 @@ def largest_group(df: DataFrame, part: Sequence[str]) -> int:
     return _largest[key]
 
 
+def _sortable(df: DataFrame, name: str) -> tuple[Column, str]:
+    """The column, or text in the same order where a literal would depend on the zone."""
+    kind = dict(df.dtypes)[name]
+    if kind.startswith(("timestamp", "date")):
+        return F.col(name).cast("string"), "string"
+    return F.col(name), kind
+
+
 def slice_bounds(df: DataFrame, order: Sequence[str], pieces: int, total: int) -> list:
     """At most `pieces` ordered boundary tuples from a bounded sample."""
-    keys = df.select(*order)
+    names = [f"k{i}" for i in range(len(order))]
+    keys = df.select(*[_sortable(df, c)[0].alias(n) for c, n in zip(order, names)])
     wanted = 50 * pieces
     if total > wanted:
         keys = keys.sample(min(1.0, 1.2 * wanted / total), seed=17)
-    rows = keys.orderBy(*order).limit(4 * wanted).collect()
-    if not rows:
-        return []
+    rows = [tuple(r) for r in keys.orderBy(*names).limit(4 * wanted).collect()]
     step = max(1, len(rows) // pieces)
-    return sorted({tuple(r) for r in rows[step::step]})
+    return list(dict.fromkeys(rows[step::step]))
 
 
 def slice_index(df: DataFrame, order: Sequence[str], bounds: list) -> Column:
     """Number of boundaries at or below the row's order key: a monotone slice id."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    probe = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    if not bounds:
+        return F.lit(0)
+    cols = [_sortable(df, c) for c in order]
+    probe = F.struct(*[c.alias(f"k{i}") for i, (c, _) in enumerate(cols)])
 
     def literal(bound: tuple) -> Column:
-        return F.struct(
-            *[F.lit(v).cast(types[c]).alias(f"k{i}") for i, (c, v) in enumerate(zip(order, bound))]
-        )
+        return F.struct(*[F.lit(v).cast(kind).alias(f"k{i}") for i, ((_, kind), v) in enumerate(zip(cols, bound))])
 
-    if not bounds:
-        return F.lit(0)
     # two levels keep the cost per row near twice the root of the slice count
     width = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
     expr = F.lit(0)
-    for g, group in enumerate(groups):
-        inside = F.size(F.filter(F.array(*[literal(b) for b in group]), lambda b: b <= probe))
-        expr = F.when(probe >= literal(group[0]), F.lit(g * width) + inside).otherwise(expr) if g else inside
+    for start in range(0, len(bounds), width):
+        group = bounds[start : start + width]
+        inside = F.lit(start) + F.size(F.filter(F.array(*[literal(b) for b in group]), lambda b: b <= probe))
+        expr = F.when(probe >= literal(group[0]), inside).otherwise(expr)
     return expr.cast("int")
 
 
@@ -118,8 +123,9 @@ def running(
         hot_part = marked
     total = hot_part.count()
     pieces = max(2, min(2000, 4 * (total // hot_rows + 1)))
-    bounds = slice_bounds(hot_part, order, pieces, total)
-    marked = marked.withColumn("_slice", F.when(F.col("_hot"), slice_index(df, order, bounds)).otherwise(F.lit(-1)))
+    line = [*part, *order]
+    bounds = slice_bounds(hot_part, line, pieces, total)
+    marked = marked.withColumn("_slice", F.when(F.col("_hot"), slice_index(df, line, bounds)).otherwise(F.lit(-1)))
 
     order_key = F.struct(*order)
     totals = marked.where(F.col("_hot")).groupBy(*part, "_slice").agg(
@@ -132,7 +138,7 @@ def running(
             for n, (kind, expr, _) in specs.items()
         ]
     )
-    # one row per slice of a hot group: bounded by the number of slices
+    # slices run through the groups in order, so there are at most pieces + hot groups of these
     before = (W.partitionBy(*part) if part else W.partitionBy()).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
         *part, "_slice", *[_WINDOW[kind](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (kind, _, _) in specs.items()]

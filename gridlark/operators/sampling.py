@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridlark.operators.ordered import number_rows, running
+from gridlark.operators.ordered import largest_group, number_rows, running
 from gridlark.session import cut_lineage
 
 
@@ -135,6 +135,7 @@ def chunk_by_size(
     width = float(limit) * max(1, round(block_rows * mean / limit))
     total = running(items, [key], order, {"_sum": ("sum", F.col(size).cast("double"), True), "_pos": ("sum", F.lit(1).cast("bigint"), True)}, **options)
     placed = total.withColumn("_block", F.floor(F.col("_sum") / width).cast("bigint"))
+    options = {**options, "size": largest_group(items, [key])}
     kind = dict(items.dtypes)[key]
     slim = placed.select(key, "_block", "_pos", "_sum")
 

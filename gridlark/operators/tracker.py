@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.operators.assign import best_matching
-from gridlark.operators.ordered import running
+from gridlark.operators.ordered import largest_group, running
 from gridlark.session import cut_lineage
 
 
@@ -250,6 +250,7 @@ def track_multi(
         )
     order = ["frame_index", "kind", "no"]
     active = F.when(F.col("kind") == 0, F.col("frame_index"))
+    ordered = {**ordered, "size": largest_group(rows, keys)}
     seen = running(rows, keys, order, {"_last": ("last", active, False)}, **ordered)
     # tracks retire at the end of frame last + max_age + 1
     fresh = (F.col("kind") == 0) & (F.col("_last").isNull() | (F.col("frame_index") - F.col("_last") >= o.max_age + 2))

@@ -30,15 +30,10 @@ def confirm(tracks: DataFrame, min_hits: int = 2) -> DataFrame:
 
 def since_last(frames: DataFrame, keys, order: str, event: str, every: int = 5, **options) -> DataFrame:
     """Frames since the last row with `event`, and whether a refresh is due."""
-    from gridlark.operators.ordered import running
+    from gridlark.operators.ordered import largest_group, running
 
-    run = running(
-        frames, keys, [order],
-        {
-            "_pos": ("sum", F.lit(1).cast("bigint"), True),
-        },
-        **options,
-    )
+    options = {"size": largest_group(frames, keys), **options}
+    run = running(frames, keys, [order], {"_pos": ("sum", F.lit(1).cast("bigint"), True)}, **options)
     run = running(run, keys, [order], {"_hit": ("last", F.when(F.col(event), F.col("_pos")), True)}, **options)
     gap = F.col("_pos") - F.col("_hit")
     due = gap.isNull() | (gap >= every)

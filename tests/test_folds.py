@@ -137,6 +137,18 @@ def test_fusion_of_three_sources(spark):
     assert fusion.fuse_boxes(df, ["frame_id"], [1.0, 1.2, 1.1], skip_thr=0.95).count() == 0
 
 
+def test_fusion_in_slices_equals_whole(spark):
+    rng = random.Random(21)
+    data = []
+    for _ in range(150):
+        x, y = rng.random() * 0.8, rng.random() * 0.8
+        data.append(("f", rng.randrange(3), rng.randrange(2), x, y, x + 0.1, y + 0.1, rng.random()))
+    df = spark.createDataFrame(data, "frame_id string, source_idx int, class_id int, x1 double, y1 double, x2 double, y2 double, conf double")
+    key = lambda d: sorted((r.class_id, r.n_members, round(r.confidence, 9), round(r.x1, 9), round(r.y2, 9)) for r in d.collect())
+    whole = fusion.fuse_boxes(df, ["frame_id"], [1.0, 1.2, 1.1], 0.3)
+    assert key(fusion.fuse_boxes(df, ["frame_id"], [1.0, 1.2, 1.1], 0.3, hot_rows=20)) == key(whole)
+
+
 def test_copies_count_as_members(spark):
     one = [("f", 0, 1, 0.1, 0.1, 0.4, 0.4, 0.8)] * 40 + [("f", 1, 1, 0.12, 0.1, 0.4, 0.4, 0.6)]
     df = spark.createDataFrame(one, "frame_id string, source_idx int, class_id int, x1 double, y1 double, x2 double, y2 double, conf double")

@@ -39,6 +39,17 @@ def test_hot_group_is_spread(rows):
     assert sorted(r.n for r in got) == list(range(1, len(got) + 1))
 
 
+def test_slices_by_time(spark):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    data = [("k", start + dt.timedelta(milliseconds=777 * ((i * 37) % 200)), i) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, t timestamp_ntz, i int")
+    order = ["t", "i"]
+    plain = ordered.number_rows(df, ["k"], order, "n").collect()
+    assert sorted(map(str, plain)) == sorted(map(str, ordered.number_rows(df, ["k"], order, "n", hot_rows=15).collect()))
+
+
 def test_islands(spark):
     df = spark.createDataFrame([(1, 0, 3), (2, 2, 9), (3, 5, 6), (4, 10, 11), (5, 11, 12)], "id int, lo int, hi int")
     for hot in (100, 2):
