@@ -85,6 +85,21 @@ def _(t):
     return fused_boxes(t).agg(F.count("*").alias("boxes"))
 
 
+@check("consensus_labels", _FUSE.replace("FROM det WHERE conf >= 0.35", "FROM det WHERE conf >= 0.35 AND (source_idx, class_id) <> (1, 2)") + """,
+n AS (SELECT frame_id, count(*) AS n FROM fused GROUP BY 1)
+SELECT image_id, coalesce(n, 0) AS n_labels, CASE WHEN k <= floor(c * 0.8::DOUBLE) THEN 'train' WHEN k <= floor(c * 0.8::DOUBLE) + floor(c * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT o_orderkey AS image_id, row_number() OVER (ORDER BY md5(o_orderkey || ':42'), o_orderkey) AS k, count(*) OVER () AS c FROM orders) i LEFT JOIN n ON image_id = frame_id
+""")
+def _(t):
+    from gridlark.plans.labelling import consensus_labels
+
+    images = t.orders.select(F.col("o_orderkey").alias("image_id"), F.lit(100).alias("width"), F.lit(75).alias("height"))
+    rows = [(s, str(c), None if (s, c) == (1, 2) else c + 10) for s in range(3) for c in range(3)]
+    class_map = t.spark.createDataFrame(rows, "source_idx int, raw string, target int")
+    boxes = t.det.withColumnRenamed("frame_id", "image_id")
+    return consensus_labels(images, boxes, class_map, [1.0, 1.2, 1.1]).select("image_id", "n_labels", "split")
+
+
 @check("agg_boxes_by_image", """
 SELECT frame_id, count(*) AS n_boxes, string_agg(class_id || ':' || CAST(CAST(x1 AS BIGINT) AS VARCHAR), ';' ORDER BY det_no) AS boxes FROM det GROUP BY 1
 """)

@@ -112,3 +112,18 @@ def test_live_equals_batch(spark, tmp_path):
     done = max(r.frame_index for r in got)
     assert done >= 15
     assert sorted(map(str, map(key, got))) == sorted(str(key(r)) for r in batch if r.frame_index <= done)
+
+
+def test_frame_log(spark, tmp_path):
+    import json
+
+    from gridlark.plans.tracking import track_log
+    from gridlark.sources.sinks import write_frame_log
+
+    frames = frames_of(spark, 6).withColumn("gate", F.struct((F.col("frame_index") > 0).alias("triggered")))
+    log = track_log(frames, spark.createDataFrame(scene(range(5)), DET))
+    write_frame_log(log, str(tmp_path / "log"))
+    rows = sorted((json.loads(s) for f in (tmp_path / "log").glob("*.json") for s in f.read_text().splitlines()), key=lambda r: r["frame_index"])
+    assert len(rows) == 6 and rows[0]["tracks"] == [] and rows[1]["tracks"][0]["track_id"] == 1
+    assert rows[5]["detections"] == [] and len(rows[5]["tracks"]) == 1
+    assert rows[3]["timestamp"] == pytest.approx(0.1) and rows[3]["gate"] == {"triggered": True}
