@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import check
+from checks.joins import PAIR_WALK
 from checks.views import micros
 from gridlark.operators import duty, filters, gate, tracker, tracks
+from gridlark.operators.ordered import largest_group
 from gridlark.streaming import live
 
 SF = ["stream_id", "frame_index"]
@@ -55,7 +57,8 @@ boxes AS (SELECT stream_id, frame_index, component, n_cells, CAST(least(greatest
 
 
 def _rois(t):
-    return gate.regions(_diffs(t), min_cells=3, scale=0.1, pad=4, width=40, height=40)
+    cells = largest_group(t.box_cells, SF)
+    return gate.regions(_diffs(t), min_cells=3, scale=0.1, pad=4, width=40, height=40, cells_per_frame=cells)
 
 
 @check("gate_rois", _ROIS + " SELECT stream_id, frame_index, n_cells, x1, y1, x2, y2 FROM boxes")
@@ -244,6 +247,9 @@ def _(t):
     return live.run_stalls(t.spark, t.dir, "events.parquet")
 
 
-@check("stream_pair")
+@check("stream_pair", PAIR_WALK + """,
+full_pairs AS (SELECT p.a_seq, p.b_seq, epoch_us(x.ts) AS a_us, epoch_us(y.ts) AS b_us FROM pairs p JOIN events x ON p.a_seq = x.event_id JOIN events y ON p.b_seq = y.event_id)
+SELECT * FROM full_pairs WHERE greatest(a_us, b_us) <= (SELECT max(timestamp_ns) // 1000000 - 600000 FROM sensor_events) * 1000
+""")
 def _(t):
     return live.run_pairs(t.spark, t.dir, "events.parquet", tol_us=120_000_000)

@@ -29,17 +29,19 @@ def fold_components(points: Column, eps: float) -> Column:
 
 
 def components(
-    points: DataFrame, keys: Sequence[str], point: str, eps: float, small: int = 64, max_rounds: int = 100
+    points: DataFrame, keys: Sequence[str], point: str, eps: float, small: int = 64, max_rounds: int = 100, size: int | None = None
 ) -> DataFrame:
     """Add `component`, the least point id reachable by steps of at most `eps`.
 
     Groups proven small are folded in the JVM, one array each. Otherwise points are
     linked through grid cells and labels are lowered over the links until they settle,
-    so no group is gathered.
+    so no group is gathered. `size` is a known bound on the group size.
     """
     keys = list(keys)
+    if size is None or size > small:
+        size = largest_group(points.select(*keys), keys)
     pts = points.select(*keys, F.col(point).cast("bigint").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    if largest_group(points.select(*keys), keys) <= small:
+    if size <= small:
         rows = F.sort_array(F.collect_list(F.struct("x", "y", "id")))
         clusters = pts.groupBy(*keys).agg(fold_components(rows, eps).alias("_c"))
         each = clusters.select(*keys, F.explode("_c").alias("_c"))

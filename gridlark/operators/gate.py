@@ -60,14 +60,18 @@ def motion(diffs: DataFrame, floor: float = 16.0) -> DataFrame:
 
 
 def regions(
-    diffs: DataFrame, floor: float = 16.0, min_cells: int = 2, scale: float = 1.0, pad: int = 16, width: int = 640, height: int = 480
+    diffs: DataFrame, floor: float = 16.0, min_cells: int = 2, scale: float = 1.0, pad: int = 16, width: int = 640, height: int = 480,
+    cells_per_frame: int | None = None,
 ) -> DataFrame:
-    """Blobs of changed cells as padded boxes; cells touching at a corner belong together."""
+    """Blobs of changed cells as padded boxes; cells touching at a corner belong together.
+
+    `cells_per_frame` is a known bound on the grid size and saves looking it up.
+    """
     hot = diffs.where(F.col("diff") > floor).select(
         *KEYS, F.col("cell_x").cast("double").alias("x"), F.col("cell_y").cast("double").alias("y"),
         (F.col("cell_y").cast("bigint") * (1 << 20) + F.col("cell_x")).alias("cell"),
     )
-    blobs = components(hot, KEYS, "cell", 1.5).groupBy(*KEYS, "component").agg(
+    blobs = components(hot, KEYS, "cell", 1.5, size=cells_per_frame).groupBy(*KEYS, "component").agg(
         F.count("*").alias("n_cells"), F.min("x").alias("x1"), F.min("y").alias("y1"),
         (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"),
     )
