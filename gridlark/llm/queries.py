@@ -1,4 +1,4 @@
 """Import every operator module, so that its query is registered."""
 
-from gridlark.llm import quality  # noqa: F401
+from gridlark.llm import hilbert, mixing, quality  # noqa: F401
 from gridlark.llm.registry import ORACLES, QUERIES  # noqa: F401
