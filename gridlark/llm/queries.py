@@ -1,4 +1,4 @@
 """Import every operator module, so that its query is registered."""
 
-from gridlark.llm import bpe, chat, hilbert, mixing, quality, simhash  # noqa: F401
+from gridlark.llm import bpe, chat, forest, hilbert, mixing, quality, simhash, suffixes  # noqa: F401
 from gridlark.llm.registry import ORACLES, QUERIES  # noqa: F401
