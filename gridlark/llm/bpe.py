@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2 as spm
 
 from gridlark.llm.columns import free_name
@@ -38,7 +39,7 @@ LATER = """
 #: Byte b is this plus b: letters without a meaning of their own to the model.
 FIRST_CHAR = 0x4E00
 _KNOWN = 200_000  # pre-tokens a worker remembers; beyond it starts afresh
-_SLICE_CHARS = 8_000_000  # text of one output batch
+_SLICE_BYTES = 2_000_000  # text of one output batch
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -136,16 +137,17 @@ class _Shared:
         return _codec(self.key, self.model, self.pattern)
 
 
-def _slices(batch: pa.RecordBatch, sizes: list[int]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts stay near the output bound."""
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if held and held + n > _SLICE_CHARS:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
+def _slices(batches, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Runs of rows with the values of `column`, whose bytes stay near the bound."""
+    for batch in batches:
+        values = batch.column(batch.schema.get_field_index(column))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + _SLICE_BYTES, side="right")))
+            yield batch.slice(start, stop - start), values.slice(start, stop - start).to_pylist()
+            start = stop
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
@@ -161,15 +163,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
     def run(batches):
         codec = shared.codec()
-        for whole in batches:
-            column = whole.column(whole.schema.get_field_index(text))
-            sizes = [len(t) if t else 0 for t in column.to_pylist()]
-            for batch in _slices(whole, sizes):
-                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                coded = [codec.encode(t or "") for t in texts]
-                counts = pa.array([len(c) for c in coded], pa.int64())
-                packed = pa.array([c.tobytes() for c in coded], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, counts, packed], names=[*batch.schema.names, n, ids])
+        for batch, texts in _slices(batches, text):
+            coded = [codec.encode(t or "") for t in texts]
+            counts = pa.array([len(c) for c in coded], pa.int64())
+            packed = pa.array([c.tobytes() for c in coded], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts, packed], names=[*batch.schema.names, n, ids])
 
     fields = [StructField(n, LongType()), StructField(ids, BinaryType())]
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
@@ -182,24 +180,38 @@ def decode(coded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "
 
     def run(batches):
         codec = shared.codec()
-        for whole in batches:
-            sizes = [len(b) if b else 0 for b in whole.column(whole.schema.get_field_index(ids)).to_pylist()]
-            for batch in _slices(whole, sizes):
-                got = [codec.decode(b or b"") for b in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*batch.schema.names, name])
+        for batch, packed in _slices(batches, ids):
+            got = pa.array([codec.decode(b or b"") for b in packed], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, name])
 
     return coded.mapInArrow(run, StructType([*coded.schema.fields, StructField(name, BinaryType())]))
 
 
-def with_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Encode and decode again, and keep counts and digests in place of the ids."""
-    back = decode(encode(docs, ranks, pattern), ranks, pattern)
-    return back.select(
-        *docs.columns,
-        F.col(back.columns[-3]).alias("n_tokens"),
-        F.sha2(back.columns[-2], 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+    """Encode, decode the ids again, and put counts and digests in place of the text.
+
+    Gives the other columns of `docs` with `n_tokens`, `ids_sha256` and `decoded_sha256`
+    (lowercase hex), as `encode` and `decode` would, in one pass.
+    """
+    others = docs.drop(text)
+    names = [free_name(others, c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    shared = _Shared(docs.sparkSession, model_bytes(ranks), pattern)
+
+    def run(batches):
+        codec = shared.codec()
+        for batch, texts in _slices(batches, text):
+            counts, coded, back = [], [], []
+            for t in texts:
+                ids = codec.encode(t or "")
+                packed = ids.tobytes()
+                counts.append(len(ids))
+                coded.append(hashlib.sha256(packed).hexdigest())
+                back.append(hashlib.sha256(codec.decode(packed)).hexdigest())
+            rest = batch.drop_columns([text])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(counts, pa.int64()), pa.array(coded), pa.array(back)], names=[*rest.schema.names, *names])
+
+    kinds = (LongType(), StringType(), StringType())
+    return docs.mapInArrow(run, StructType([*others.schema.fields, *[StructField(n, k) for n, k in zip(names, kinds)]]))
 
 
 def public_vocabulary() -> tuple[dict[bytes, int], str]:
@@ -211,4 +223,4 @@ def public_vocabulary() -> tuple[dict[bytes, int], str]:
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_digests(docs, *public_vocabulary()).drop("text")
+    return round_trip(docs, *public_vocabulary())

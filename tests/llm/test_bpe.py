@@ -6,7 +6,7 @@ import random
 import numpy as np
 import tiktoken
 
-from gridlark.llm.bpe import Codec, decode, encode, model_bytes, public_vocabulary, with_digests
+from gridlark.llm.bpe import Codec, decode, encode, model_bytes, public_vocabulary, round_trip
 from gridlark.llm.registry import table
 
 RANKS, PATTERN = public_vocabulary()
@@ -35,11 +35,13 @@ def test_every_token_alone():
 
 def test_documents_round_trip(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
-    for r in with_digests(docs, RANKS, PATTERN).collect():
-        ids = THEIRS.encode_ordinary(r["text"])
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in round_trip(docs, RANKS, PATTERN).collect():
+        t = texts[r["doc_id"]]
+        ids = THEIRS.encode_ordinary(t)
         raw = np.array(ids, "<u4").tobytes()
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(raw).hexdigest())
-        assert r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
 def test_nulls_repeats_clashes_and_empty(spark):
@@ -50,4 +52,4 @@ def test_nulls_repeats_clashes_and_empty(spark):
     got = decode(out, RANKS, PATTERN, "_ids").collect()
     assert [r["decoded"].decode() for r in got] == [t or "" for _, t, _ in rows]
     assert [r["n_tokens"] for r in got] == [len(THEIRS.encode_ordinary(t or "")) for _, t, _ in rows]
-    assert with_digests(docs.limit(0), RANKS, PATTERN).count() == 0
+    assert round_trip(docs.limit(0), RANKS, PATTERN).count() == 0
