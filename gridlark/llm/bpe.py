@@ -187,31 +187,35 @@ def decode(coded: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "
     return coded.mapInArrow(run, StructType([*coded.schema.fields, StructField(name, BinaryType())]))
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode, decode the ids again, and put counts and digests in place of the text.
 
     Gives the other columns of `docs` with `n_tokens`, `ids_sha256` and `decoded_sha256`
-    (lowercase hex), as `encode` and `decode` would, in one pass.
+    (lowercase hex), and with `ids` if they are to be kept, as `encode` and `decode`
+    would, in one pass.
     """
     others = docs.drop(text)
-    names = [free_name(others, c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    kinds = {"n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()} | ({"ids": BinaryType()} if keep_ids else {})
+    names = [free_name(others, c) for c in kinds]
     shared = _Shared(docs.sparkSession, model_bytes(ranks), pattern)
 
     def run(batches):
         codec = shared.codec()
         for batch, texts in _slices(batches, text):
-            counts, coded, back = [], [], []
+            counts, coded, back, kept = [], [], [], []
             for t in texts:
                 ids = codec.encode(t or "")
                 packed = ids.tobytes()
                 counts.append(len(ids))
                 coded.append(hashlib.sha256(packed).hexdigest())
                 back.append(hashlib.sha256(codec.decode(packed)).hexdigest())
+                if keep_ids:
+                    kept.append(packed)
             rest = batch.drop_columns([text])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(counts, pa.int64()), pa.array(coded), pa.array(back)], names=[*rest.schema.names, *names])
+            made = [pa.array(counts, pa.int64()), pa.array(coded), pa.array(back)] + [pa.array(kept, pa.binary())] * keep_ids
+            yield pa.RecordBatch.from_arrays([*rest.columns, *made], names=[*rest.schema.names, *names])
 
-    kinds = (LongType(), StringType(), StringType())
-    return docs.mapInArrow(run, StructType([*others.schema.fields, *[StructField(n, k) for n, k in zip(names, kinds)]]))
+    return docs.mapInArrow(run, StructType([*others.schema.fields, *[StructField(n, k) for n, k in zip(names, kinds.values())]]))
 
 
 def public_vocabulary() -> tuple[dict[bytes, int], str]:

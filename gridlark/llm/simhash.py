@@ -62,15 +62,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` of every row; `fp` holds the 64 bits as a signed number."""
+    """``(doc_id, text_hash, fp)`` of every row; `fp` holds the 64 bits as a signed number."""
 
     def run(batches):
         for b in batches:
             got = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(got.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash bigint, fp bigint")
 
 
 #: Generator of the [23, 12, 7] code and the place and width of the segments.
@@ -247,7 +247,7 @@ def _exact_balls(fps: DataFrame, most: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, dense: int = DENSE) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of `docs`.
+    """``(doc_id, text_hash, fp, component_id)`` for every row of `docs`.
 
     The component is the smallest doc_id reachable over fingerprints that differ in at
     most `most` bits. Equal fingerprints collapse before anything is compared, so a group
@@ -265,7 +265,23 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS,
     roots = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut_lineage(roots.join(names, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that stay: of every group the document with the smallest doc_id.
+
+    A group without any id keeps all its rows. Rows that repeat id and text are one
+    document, of which one row stays; rows that share an id but not the text are judged
+    apart. Texts move once, for the join with what stays.
+    """
+    groups = near_groups(docs, **options).where("doc_id <=> component_id")
+    stay = cut_lineage(groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")))
+    repeats = not stay.where("n > 1").isEmpty()
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    kept = docs.join(broadcast_if_small(stay), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
 
 
 @query("op3_simhash_golay")
