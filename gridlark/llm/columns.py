@@ -32,3 +32,8 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+def broadcast_if_small(stored: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A stored narrow table, marked for broadcast if a count proves it small."""
+    return F.broadcast(stored) if stored.count() <= most_rows else stored
