@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.operators.connected import connected
 from gridlark.operators.ordered import largest_group
-from gridlark.session import cut_lineage
 
 _POINT = "struct<x:double,y:double,id:bigint>"
 
@@ -29,13 +29,13 @@ def fold_components(points: Column, eps: float) -> Column:
 
 
 def components(
-    points: DataFrame, keys: Sequence[str], point: str, eps: float, small: int = 64, max_rounds: int = 100, size: int | None = None
+    points: DataFrame, keys: Sequence[str], point: str, eps: float, small: int = 64, size: int | None = None
 ) -> DataFrame:
     """Add `component`, the least point id reachable by steps of at most `eps`.
 
-    Groups proven small are folded in the JVM, one array each. Otherwise points are
-    linked through grid cells and labels are lowered over the links until they settle,
-    so no group is gathered. `size` is a known bound on the group size.
+    Groups that are small are folded in the JVM, one array each. Otherwise points are
+    linked through grid cells and the links joined to components, so no group is
+    gathered. `size` is a known bound on the group size; both ways label alike.
     """
     keys = list(keys)
     if size is None or size > small:
@@ -58,25 +58,10 @@ def components(
     right = right.withColumn("_cy", F.explode(F.transform(near, lambda o: F.col("_cy") + o)))
     dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
     links = left.join(right, [*keys, "_cx", "_cy"]).where((F.col("id") != F.col("id2")) & (dx * dx + dy * dy <= eps * eps))
-    links = cut_lineage(links.select(*keys, "id", "id2"))
-    labels = cut_lineage(spots.select(*keys, "id", F.col("id").alias("label")))
-    for _ in range(max_rounds):
-        other = labels.select(*keys, F.col("id").alias("id2"), F.col("label").alias("_l"))
-        lowest = links.join(other, [*keys, "id2"]).groupBy(*keys, "id").agg(F.min("_l").alias("_low"))
-        step = labels.join(lowest, [*keys, "id"], "left").select(
-            *keys, "id", "label", F.least("label", F.coalesce("_low", "label")).alias("_new")
-        )
-        # follow the new label once more, which halves the remaining distance
-        ahead = step.select(*keys, F.col("id").alias("_new"), F.col("_new").alias("_jump"))
-        step = cut_lineage(
-            step.join(ahead, [*keys, "_new"], "left").select(*keys, "id", "label", F.least("_new", F.coalesce("_jump", "_new")).alias("_new"))
-        )
-        moved = step.where("_new < label").limit(1).count()
-        labels = step.select(*keys, "id", F.col("_new").alias("label"))
-        if not moved:
-            break
-    else:
-        raise RuntimeError("component labels did not settle")
+    node = lambda c: F.struct(*keys, F.col(c).alias("id"))
+    roots = connected(links.select(node("id").alias("a"), node("id2").alias("b")))
+    roots = roots.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.id").alias("id"), F.col("root.id").alias("label"))
+    labels = spots.select(*keys, "id").join(roots, [*keys, "id"], "left").withColumn("label", F.coalesce("label", "id"))
     home = spots.withColumnRenamed("id", "_spot").join(labels.withColumnRenamed("id", "_spot"), [*keys, "_spot"])
     return pts.join(home.select(*keys, "x", "y", "label"), [*keys, "x", "y"]).select(
         *keys, F.col("id").alias(point), "x", "y", F.col("label").alias("component")

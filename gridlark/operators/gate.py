@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,41 +9,71 @@ from pyspark.sql import functions as F
 
 from gridlark.functions import boxes as B
 from gridlark.operators.components import components
-from gridlark.operators.ordered import largest_group
+from gridlark.operators.ordered import number_rows
 
 KEYS = ["stream_id", "frame_index"]
 
 
-def ema_background(cells: DataFrame, keys: Sequence[str], index: str, value: str, keep: float = 0.85) -> DataFrame:
+def _starts(blocks: DataFrame, keys: list[str], fan: int) -> DataFrame:
+    """Add `_s`, the value before each block `_b`, where a block maps s to ``_a * s + _c``.
+
+    Maps of `fan` blocks compose to one of the level above, up to a level with few.
+    """
+    row = F.struct("_b", "_a", "_c")
+    walk = lambda rows, start: F.aggregate(
+        rows,
+        F.struct(start.alias("s"), F.array().cast("array<struct<b:bigint,s:double>>").alias("out")),
+        lambda t, r: F.struct(
+            (r["_a"] * t["s"] + r["_c"]).alias("s"), F.concat(t["out"], F.array(F.struct(r["_b"].alias("b"), t["s"].alias("s")))).alias("out")
+        ),
+    )["out"]
+    grouped = blocks.withColumn("_g", F.floor(F.col("_b") / fan).cast("bigint")).groupBy(*keys, "_g").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    if (blocks.agg(F.max("_b")).first()[0] or 0) < fan:
+        placed = grouped.withColumn("_s", F.lit(0.0))
+    else:
+        both = F.aggregate(
+            "_rows",
+            F.struct(F.lit(1.0).alias("_a"), F.lit(0.0).alias("_c")),
+            lambda t, r: F.struct((r["_a"] * t["_a"]).alias("_a"), (r["_a"] * t["_c"] + r["_c"]).alias("_c")),
+        )
+        above = grouped.select(*keys, F.col("_g").alias("_b"), both.alias("_m")).select(*keys, "_b", "_m._a", "_m._c")
+        placed = grouped.join(_starts(above, keys, fan).withColumnRenamed("_b", "_g").select(*keys, "_g", "_s"), [*keys, "_g"])
+    each = placed.select(*keys, F.explode(walk(F.col("_rows"), F.col("_s"))).alias("_o"))
+    return each.select(*keys, F.col("_o.b").alias("_b"), F.col("_o.s").alias("_s"))
+
+
+def ema_background(
+    cells: DataFrame, keys: Sequence[str], index: str, value: str, keep: float = 0.85, block: int = 256, fan: int = 256, size: int | None = None
+) -> DataFrame:
     """Running background just before each value, and the distance to it.
 
-    The background starts at the first value and then moves by (1 - keep). `index`
-    counts each series from 1 without gaps. Series are cut into blocks, each warmed up
-    on a block before it that is long enough for anything older to weigh less than
-    rounding error, so a long series spreads over many tasks and a short one is the
-    plain recursion.
+    The background starts at the first value and then moves by (1 - keep). Rows follow
+    `index`, which may have gaps. A series is cut into blocks of `block` rows; each block
+    moves the background by a linear map, the maps give the background at every block's
+    start, and the blocks are walked from there. So a long series spreads over many tasks
+    and a series of any length gives what a plain walk gives. `size` is a known bound on
+    the length of a series, for the row numbers.
     """
     keys = list(keys)
-    block = max(64, math.ceil(math.log(1e-18) / math.log(keep)))
-    own = F.floor((F.col(index) - 1) / block).cast("bigint")
     kind = dict(cells.dtypes)[index]
-    slim = cells.select(*keys, index, F.col(value).cast("double").alias("_v"), own.alias("_own"))
-    if largest_group(cells, keys) <= block:
-        spread = slim.withColumn("_b", F.lit(0).cast("bigint"))
-    else:
-        spread = slim.withColumn("_b", F.explode(F.sequence(F.col("_own"), F.col("_own") + 1)))
-    row = F.struct(F.col(index).alias("i"), F.col("_v").alias("v"), (F.col("_own") < F.col("_b")).alias("warm"))
-    lists = spread.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    slim = cells.select(*keys, index, F.col(value).cast("double").alias("_v"))
+    placed = number_rows(slim, keys, [index, "_v"], "_pos", size=size)
+    row = F.struct(F.col(index).alias("i"), F.col("_v").alias("v"))
+    lists = placed.groupBy(*keys, F.floor((F.col("_pos") - 1) / block).cast("bigint").alias("_b")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    move = lambda s, r: F.when(s.isNull(), r["v"]).otherwise(keep * s + (1.0 - keep) * r["v"])
+    first = F.when(F.col("_b") == 0, F.lit(None).cast("double")).otherwise(F.lit(0.0))
+    end = F.aggregate("_rows", first, move)
+    scale = F.when(F.col("_b") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(keep), F.size("_rows")))
+    starts = _starts(lists.select(*keys, "_b", scale.alias("_a"), end.alias("_c")), keys, fan)
     zero = F.struct(
-        F.lit(None).cast("double").alias("s"), F.array().cast(f"array<struct<i:{kind},v:double,s:double>>").alias("out")
+        F.when(F.col("_b") > 0, F.col("_s")).alias("s"), F.array().cast(f"array<struct<i:{kind},v:double,s:double>>").alias("out")
     )
 
     def step(a, r):
-        moved = F.when(a["s"].isNull(), r["v"]).otherwise(keep * a["s"] + (1.0 - keep) * r["v"])
         entry = F.struct(r["i"].alias("i"), r["v"].alias("v"), a["s"].alias("s"))
-        return F.struct(moved.alias("s"), F.when(r["warm"], a["out"]).otherwise(F.concat(a["out"], F.array(entry))).alias("out"))
+        return F.struct(move(a["s"], r).alias("s"), F.concat(a["out"], F.array(entry)).alias("out"))
 
-    out = lists.select(*keys, F.explode(F.aggregate("_rows", zero, step)["out"]).alias("_o"))
+    out = lists.join(starts, [*keys, "_b"]).select(*keys, F.explode(F.aggregate("_rows", zero, step)["out"]).alias("_o"))
     return out.select(
         *keys, F.col("_o.i").alias(index), F.col("_o.v").alias(value), F.col("_o.s").alias("background"),
         F.abs(F.col("_o.v") - F.col("_o.s")).alias("diff"),

@@ -10,26 +10,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
 
-_largest: dict[tuple, int] = {}
-
-
 def largest_group(df: DataFrame, part: Sequence[str]) -> int:
-    """Size of the biggest group; one narrow scan, remembered per plan and application."""
-    spark: SparkSession = df.sparkSession
-    key = (spark.sparkContext.applicationId, df.semanticHash(), tuple(part))
-    if key not in _largest:
-        if part:
-            row = df.groupBy(*part).count().agg(F.max("count")).first()
-            _largest[key] = int(row[0] or 0)
-        else:
-            _largest[key] = df.count()
-    return _largest[key]
+    """Size of the biggest group now; one narrow scan.
+
+    It only chooses between plans that give the same rows: a table may have grown by the
+    time the plan runs.
+    """
+    if not part:
+        return df.count()
+    row = df.groupBy(*part).count().agg(F.max("count")).first()
+    return int(row[0] or 0)
 
 
 def _sortable(df: DataFrame, name: str) -> tuple[Column, str]:
@@ -41,13 +37,13 @@ def _sortable(df: DataFrame, name: str) -> tuple[Column, str]:
 
 
 def slice_bounds(df: DataFrame, order: Sequence[str], pieces: int, total: int) -> list:
-    """At most `pieces` ordered boundary tuples from a bounded sample."""
+    """About `pieces` ordered boundary tuples from a sample of 50 rows each."""
     names = [f"k{i}" for i in range(len(order))]
     keys = df.select(*[_sortable(df, c)[0].alias(n) for c, n in zip(order, names)])
     wanted = 50 * pieces
     if total > wanted:
         keys = keys.sample(min(1.0, 1.2 * wanted / total), seed=17)
-    rows = [tuple(r) for r in keys.orderBy(*names).limit(4 * wanted).collect()]
+    rows = sorted((tuple(r) for r in keys.collect()), key=lambda r: tuple((v is not None, v) for v in r))
     step = max(1, len(rows) // pieces)
     return list(dict.fromkeys(rows[step::step]))
 
@@ -122,7 +118,7 @@ def running(
         marked = df.withColumn("_hot", F.lit(True))
         hot_part = marked
     total = hot_part.count()
-    pieces = max(2, min(2000, 4 * (total // hot_rows + 1)))
+    pieces = max(2, 4 * (total // hot_rows + 1))
     line = [*part, *order]
     bounds = slice_bounds(hot_part, line, pieces, total)
     marked = marked.withColumn("_slice", F.when(F.col("_hot"), slice_index(df, line, bounds)).otherwise(F.lit(-1)))

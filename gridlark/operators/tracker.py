@@ -249,11 +249,15 @@ def track_multi(
             )
         )
     order = ["frame_index", "kind", "no"]
-    active = F.when(F.col("kind") == 0, F.col("frame_index"))
     ordered = {**ordered, "size": largest_group(rows, keys)}
-    seen = running(rows, keys, order, {"_last": ("last", active, False)}, **ordered)
-    # tracks retire at the end of frame last + max_age + 1
-    fresh = (F.col("kind") == 0) & (F.col("_last").isNull() | (F.col("frame_index") - F.col("_last") >= o.max_age + 2))
+    # tracks age by frames that are there, not by what their indices say
+    before = running(rows, keys, order, {"_prev": ("last", F.col("frame_index"), False)}, **ordered)
+    opens = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("frame_index")), 1).otherwise(0)
+    counted = running(before, keys, order, {"_frame": ("sum", opens.cast("bigint"), True)}, **ordered)
+    active = F.when(F.col("kind") == 0, F.col("_frame"))
+    seen = running(counted, keys, order, {"_last": ("last", active, False)}, **ordered)
+    # tracks retire at the end of the frame max_age + 1 frames after their last one
+    fresh = (F.col("kind") == 0) & (F.col("_last").isNull() | (F.col("_frame") - F.col("_last") >= o.max_age + 2))
     cut = running(seen, keys, order, {"_piece": ("last", F.when(fresh, F.col("frame_index")), True)}, **ordered)
     # a frame's own marker row sorts before its detections; give it the piece of its frame
     start = F.when(fresh, F.col("frame_index"))
