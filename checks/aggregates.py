@@ -244,9 +244,21 @@ def _(t):
     return components.components(t.points, ["map_id"], "point_id", 5.0).select("map_id", "point_id", "component")
 
 
-@check("persistence")
+@check("persistence", """
+WITH o AS (SELECT map_id, i, v, row_number() OVER (PARTITION BY map_id ORDER BY v, i) AS k FROM
+  (SELECT map_id, mag AS v, row_number() OVER (PARTITION BY map_id ORDER BY r, d) AS i FROM grid_cells)),
+l AS (SELECT a.map_id, a.i, a.v, a.k, max(b.i) FILTER (b.i < a.i) AS lj, min(b.i) FILTER (b.i > a.i) AS rj
+  FROM o a LEFT JOIN o b ON a.map_id = b.map_id AND b.k < a.k GROUP BY ALL),
+w AS (SELECT l.*, max(c.k) FILTER (c.i > lj AND c.i < l.i) AS lk, max(c.k) FILTER (c.i > l.i AND c.i < rj) AS rk FROM l JOIN o c USING (map_id) GROUP BY ALL),
+top AS (SELECT map_id, max(v) AS top FROM o GROUP BY 1),
+p AS (SELECT w.map_id, w.k, w.v AS birth, 1 AS kind, least(lk, rk) AS ev, coalesce(o.v, top) AS death
+  FROM w LEFT JOIN o ON o.map_id = w.map_id AND o.k = least(lk, rk) JOIN top ON top.map_id = w.map_id
+  WHERE coalesce(lj <> w.i - 1, true) AND coalesce(rj <> w.i + 1, true)
+  UNION ALL SELECT map_id, k, v, 0, k, v FROM w WHERE NOT (coalesce(lj <> i - 1, true) AND coalesce(rj <> i + 1, true)))
+SELECT map_id, CAST(n - 1 AS INT) AS pos, round(birth, 6) AS birth, round(death, 6) AS death FROM
+  (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY birth - death, ev NULLS LAST, kind, k) AS n FROM p) WHERE n <= 8
+""")
 def _(t):
-    peaks = grids.top_peaks(t.grid_cells, "mag")
-    lines = peaks.groupBy("map_id").agg(F.sort_array(F.collect_list(F.struct("rank", "mag"))).alias("_l"))
+    lines = t.grid_cells.groupBy("map_id").agg(F.sort_array(F.collect_list(F.struct("r", "d", "mag"))).alias("_l"))
     pairs = lines.select("map_id", F.posexplode(components.persistence(F.col("_l.mag"))).alias("pos", "p"))
     return pairs.select("map_id", "pos", r6("p.birth", "birth"), r6("p.death", "death"))

@@ -173,21 +173,17 @@ def _frames(t):
 
 def _frame_rois(t):
     k = F.col("frame_id")
-    return t.rois.where(k % 3 != 0).select((k % 50).alias("stream_id"), k.alias("frame_index"), "roi_no", "x1", "y1", "x2", "y2")
-
-
-def _quiet_tracks(t):
-    return t.tracks.where("frame_index % 4 <> 1")
+    return t.rois.select((k % 50).alias("stream_id"), k.alias("frame_index"), "roi_no", "x1", "y1", "x2", "y2")
 
 
 def _decided(t):
-    flags = duty.frame_flags(_frames(t), _frame_rois(t), _quiet_tracks(t), SF)
+    flags = duty.frame_flags(_frames(t), _frame_rois(t), t.tracks, SF)
     return duty.decide(flags, ["stream_id"], "frame_index")
 
 
 _DUTY = """WITH RECURSIVE fr AS (SELECT o_orderkey % 50 AS stream_id, o_orderkey AS frame_index, o_orderkey % 3 <> 0 AS trig FROM orders),
-tk AS (SELECT * FROM tracks WHERE frame_index % 4 <> 1),
-ro AS (SELECT * FROM rois WHERE frame_id % 3 <> 0),
+tk AS (SELECT * FROM tracks),
+ro AS (SELECT * FROM rois),
 x AS (SELECT r.frame_id, r.roi_no, greatest(0, least(k.x + k.w / 2, r.x2) - greatest(k.x - k.w / 2, r.x1)) * greatest(0, least(k.y + k.h / 2, r.y2) - greatest(k.y - k.h / 2, r.y1)) AS inter,
   CAST((r.x2 - r.x1) * (r.y2 - r.y1) AS DOUBLE) AS ra, k.w * k.h AS ta FROM ro r JOIN tk k ON r.frame_id = k.frame_index WHERE k.confirmed),
 e AS (SELECT DISTINCT frame_id, roi_no FROM x WHERE inter / (ra + ta - inter) >= 0.25 OR inter / ra >= 0.5 OR inter / ta >= 0.5),
@@ -212,21 +208,23 @@ def _(t):
 
 @check("duty_regions")
 def _(t):
-    return duty.run_regions(_decided(t), _frame_rois(t), _quiet_tracks(t), SF, min_side=32, pad=4)
+    return duty.run_regions(_decided(t), _frame_rois(t), t.tracks, SF, min_side=32, pad=4)
 
 
 def _track_frames(t):
     k = F.col("o_orderkey")
-    at = lambda c: [(c % 50).alias("stream_id"), F.floor(c / 50).cast("bigint").alias("frame_index")]
+    # after every burst of 40 frame numbers come as many quiet ones
+    number = lambda c: F.floor(c / 50) + 40 * F.floor(c / 2000)
+    at = lambda c: [(c % 50).alias("stream_id"), number(c).cast("bigint").alias("frame_index")]
     frames = t.orders.select(*at(k))
+    frames = frames.union(frames.withColumn("frame_index", F.col("frame_index") + 40))
     f = F.col("frame_id")
-    # every other burst of frames is quiet
-    det = t.det.where(F.floor(f / 2000) % 2 == 0).select(
+    det = t.det.select(
         *at(f), "det_no", (F.col("x1") * 8).alias("x1"), (F.col("y1") * 8).alias("y1"),
         (F.col("x1") * 8 + F.col("bw")).alias("x2"), (F.col("y1") * 8 + F.col("bh")).alias("y2"), "conf",
         F.when(F.col("class_id") > 0, F.concat(F.lit("c"), "class_id")).alias("name"),
     )
-    points = t.rois.where("roi_no = 0").select(*at(f), F.col("roi_no").alias("point_no"), (F.col("x1") * 8.0).alias("x"), (F.col("y1") * 8.0).alias("y"))
+    points = t.rois.select(*at(f), F.col("roi_no").alias("point_no"), (F.col("x1") * 8.0).alias("x"), (F.col("y1") * 8.0).alias("y"))
     return frames, det, points
 
 

@@ -99,7 +99,7 @@ class Tables:
 
     @cached_property
     def sensor_events(self) -> DataFrame:
-        return self.events.where(F.col("event_type").isin("view", "click")).select(
+        return self.events.select(
             F.when(F.col("event_type") == "view", "a").otherwise("b").alias("sensor_id"),
             F.col("event_id").alias("seq"),
             (micros("ts") * 1000).alias("timestamp_ns"),
@@ -202,7 +202,7 @@ SELECT CAST(floor(c_custkey / 10) AS BIGINT) AS map_id, c_custkey AS point_id,
     "latencies": ("SELECT event_type AS run, event_id, value AS latency_ms FROM events", ()),
     "sensor_events": ("""
 SELECT CASE event_type WHEN 'view' THEN 'a' ELSE 'b' END AS sensor_id, event_id AS seq,
-  epoch_us(ts) * 1000 AS timestamp_ns, value FROM events WHERE event_type IN ('view', 'click')""", ()),
+  epoch_us(ts) * 1000 AS timestamp_ns, value FROM events""", ()),
     "series": ("""
 SELECT user_id AS stream_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS frame_index,
   epoch_us(ts) AS ts_us, value AS z FROM events""", ()),

@@ -182,22 +182,20 @@ def blend(old: list, new: list) -> list:
 
 def contested(pairs: dict) -> list[tuple[int, int]]:
     """Best matching, solved separately for groups of pairs that share a row or column."""
-    left = dict(pairs)
-    out = []
-    while left:
-        rows, cols = set(), set()
-        todo = [next(iter(left))]
-        group = {}
-        while todo:
-            p = todo.pop()
-            if p not in left:
-                continue
-            group[p] = left.pop(p)
-            rows.add(p[0])
-            cols.add(p[1])
-            todo.extend(k for k in left if k[0] in rows or k[1] in cols)
-        out.extend(group if len(group) == 1 else best_matching(group))
-    return sorted(out)
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for r, c in pairs:
+        up[top((0, r))] = top((1, c))
+    groups: dict = {}
+    for p, cost in pairs.items():
+        groups.setdefault(top((0, p[0])), {})[p] = cost
+    return sorted(m for g in groups.values() for m in (g if len(g) == 1 else best_matching(g)))
 
 
 def frame_arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,19 +86,19 @@ class PairProcessor(StatefulProcessor):
         waiting = sorted(((s, a, q) for s, a, q in self.buffer.get()), key=lambda r: (r[1], r[0], r[2]))
         ready = [r for r in waiting if r[1] <= upto]
         later = [r for r in waiting if r[1] > upto]
-        queue = [tuple(r) for r in self.queue.get()] if self.queue.exists() else []
+        queue = deque(tuple(r) for r in self.queue.get()) if self.queue.exists() else deque()
         out = []
         for side, at, seq in ready:
             while queue and queue[0][1] < at - self.tol:
-                queue.pop(0)
+                queue.popleft()
             if queue and queue[0][0] != side:
-                other = queue.pop(0)
+                other = queue.popleft()
                 a, b = ((at, seq), other[1:]) if side == "a" else (other[1:], (at, seq))
                 out.append((int(a[1]), int(b[1]), int(a[0]), int(b[0])))
             else:
                 queue.append((side, at, seq))
         self.buffer.put(later) if later else self.buffer.clear()
-        self.queue.put(queue) if queue else self.queue.clear()
+        self.queue.put(list(queue)) if queue else self.queue.clear()
         if later:
             self.handle.registerTimer(later[0][1] // 1000 + 1)
         yield pd.DataFrame(out, columns=["a_seq", "b_seq", "a_us", "b_us"])
@@ -199,7 +200,7 @@ def run_stalls(spark: SparkSession, folder: str, pattern: str, gap: str = "6 hou
 
 def run_pairs(spark: SparkSession, folder: str, pattern: str, tol_us: int, delay: str = "10 minutes") -> DataFrame:
     use_state_store(spark)
-    events = _utc(read_stream(spark, folder, pattern)).where(F.col("event_type").isin("view", "click"))
+    events = _utc(read_stream(spark, folder, pattern))
     sides = events.select(
         F.lit(0).alias("pair"), "ts", F.when(F.col("event_type") == "view", "a").otherwise("b").alias("side"), F.col("event_id").alias("seq")
     )
