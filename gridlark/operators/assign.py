@@ -140,7 +140,6 @@ def candidate_costs(
     w_iou: float = 0.55,
     w_space: float = 0.30,
     w_look: float = 0.30,
-    cell: float = 128.0,
 ) -> DataFrame:
     """Valid track/detection pairs of each frame with their cost, all in JVM expressions.
 
@@ -165,7 +164,7 @@ def candidate_costs(
         (F.col("x1") - 1e-6).alias("x1"), (F.col("y1") - 1e-6).alias("y1"), (F.col("x2") + 1e-6).alias("x2"), (F.col("y2") + 1e-6).alias("y2"),
         *[F.col(c).alias("b" + c) for c in ("x1", "y1", "x2", "y2")],
     )
-    met = overlap_pairs(t, d, keys, "r_", cell)
+    met = overlap_pairs(t, d, keys, "r_")
     own = (F.col("x") - half_w, F.col("y") - half_h, F.col("x") + half_w, F.col("y") + half_h)
     other = tuple(F.col("r_b" + c) for c in ("x1", "y1", "x2", "y2"))
     cx, cy = B.center(other)

@@ -2,8 +2,11 @@
 
 Boxes are assigned to the square grid cells they touch and joined on
 (frame, cell). A crowded frame is thereby spread over many keys and only boxes
-that lie near each other are compared. A pair is kept in one cell only, the one
-holding the near corner of the intersection, so no duplicate removal is needed.
+that lie near each other are compared. There are grids of growing cell size: a box
+belongs to the finest one whose cells are as long as the box, so it touches four
+cells at most, and a pair meets on the coarser grid of its two boxes. A pair is kept
+in one cell only, the one holding the near corner of the intersection, so no
+duplicate removal is needed.
 """
 
 from __future__ import annotations
@@ -21,14 +24,26 @@ def confidence_bands(det: DataFrame, low: float, high: float) -> DataFrame:
     return kept.withColumn("band", F.when(F.col("conf") >= high, "high").otherwise("low"))
 
 
-def _cells(lo: Column, hi: Column, side: float) -> Column:
-    return F.sequence(F.floor(lo / side).cast("bigint"), F.floor(hi / side).cast("bigint"))
+def _level(b) -> Column:
+    """Number of the finest grid, of cell side ``4 ** level``, for the box."""
+    side = F.greatest(b[2] - b[0], b[3] - b[1])
+    return F.when(side > 0, F.ceil(F.log(4.0, side.cast("double"))).cast("int"))
 
 
-def on_cells(df: DataFrame, b, side: float, cx: str = "_cx", cy: str = "_cy") -> DataFrame:
-    """One row per grid cell the box touches."""
-    wide = df.withColumn(cx, F.explode(_cells(b[0], b[2], side)))
-    return wide.withColumn(cy, F.explode(_cells(b[1], b[3], side)))
+def levels_of(df: DataFrame, prefix: str = "") -> list[int]:
+    """Grids that some box belongs to: a few numbers, whatever the input."""
+    return sorted(r[0] for r in df.select(_level(B.box(prefix)).alias("l")).distinct().collect() if r[0] is not None)
+
+
+def on_cells(df: DataFrame, b, others: Sequence[int], prefix: str = "") -> DataFrame:
+    """One row per cell the box touches, on its own grid and on the coarser `others`."""
+    own, level, cx, cy = (prefix + c for c in ("_own", "_level", "_cx", "_cy"))
+    df = df.withColumn(own, _level(b))
+    coarser = F.filter(F.array(*[F.lit(v) for v in others]).cast("array<int>"), lambda v: v > F.col(own))
+    df = df.where(F.col(own).isNotNull()).withColumn(level, F.explode(F.concat(F.array(own), coarser)))
+    side = F.pow(F.lit(4.0), F.col(level))
+    cells = lambda lo, hi: F.sequence(F.floor(lo / side).cast("bigint"), F.floor(hi / side).cast("bigint"))
+    return df.withColumn(cx, F.explode(cells(b[0], b[2]))).withColumn(cy, F.explode(cells(b[1], b[3])))
 
 
 def overlap_pairs(
@@ -36,36 +51,37 @@ def overlap_pairs(
     right: DataFrame,
     frame_keys: Sequence[str],
     right_prefix: str = "r_",
-    cell: float = 64.0,
     where: Column | None = None,
+    levels: tuple[Sequence[int], Sequence[int]] | None = None,
 ) -> DataFrame:
     """All pairs whose boxes share positive area. Right columns get a prefix.
 
-    `where` may name both sides and is applied inside the join.
+    `where` may name both sides and is applied inside the join. `levels` are the grids of
+    both sides if `levels_of` has found them already.
     """
     p = right_prefix
     named = right.select(*[F.col(c).alias(p + c) for c in right.columns])
     a, b = B.box(), B.box(p)
-    lhs = on_cells(left, a, cell)
-    rhs = on_cells(named, b, cell, p + "_cx", p + "_cy")
-    same = [F.col(k) == F.col(p + k) for k in frame_keys]
-    same += [F.col("_cx") == F.col(p + "_cx"), F.col("_cy") == F.col(p + "_cy")]
-    home = (F.floor(F.greatest(a[0], b[0]) / cell) == F.col("_cx")) & (
-        F.floor(F.greatest(a[1], b[1]) / cell) == F.col("_cy")
-    )
-    cond = B.overlaps(a, b) & home
+    mine, theirs = levels or (levels_of(left), levels_of(named, p))
+    lhs = on_cells(left, a, theirs)
+    rhs = on_cells(named, b, mine, p)
+    same = [F.col(k) == F.col(p + k) for k in (*frame_keys, "_level", "_cx", "_cy")]
+    side = F.pow(F.lit(4.0), F.col("_level"))
+    home = (F.floor(F.greatest(a[0], b[0]) / side) == F.col("_cx")) & (F.floor(F.greatest(a[1], b[1]) / side) == F.col("_cy"))
+    cond = B.overlaps(a, b) & home & (F.col("_level") == F.greatest("_own", p + "_own"))
     if where is not None:
         cond = cond & where
     for s in same:
         cond = s & cond
     joined = lhs.join(rhs, cond)
-    return joined.drop("_cx", "_cy", p + "_cx", p + "_cy", *[p + k for k in frame_keys])
+    return joined.drop(*[x + c for x in ("", p) for c in ("_own", "_level", "_cx", "_cy")], *[p + k for k in frame_keys])
 
 
-def self_pairs(det: DataFrame, frame_keys: Sequence[str], ordinal: str, cell: float = 64.0) -> DataFrame:
+def self_pairs(det: DataFrame, frame_keys: Sequence[str], ordinal: str) -> DataFrame:
     """Overlapping pairs of boxes of one frame, each pair once, with their IoU."""
     ordered = F.col(ordinal) < F.col("r_" + ordinal)
-    pairs = overlap_pairs(det, det, frame_keys, "r_", cell, ordered)
+    own = levels_of(det)
+    pairs = overlap_pairs(det, det, frame_keys, "r_", ordered, (own, own))
     return pairs.withColumn("iou", B.iou(B.box(), B.box("r_")))
 
 
@@ -75,12 +91,11 @@ def touching(
     frame_keys: Sequence[str],
     row_keys: Sequence[str],
     rule: Column,
-    cell: float = 64.0,
 ) -> DataFrame:
     """Keys of the boxes for which `rule` holds with any overlapping region (prefix r_)."""
     slim = boxes.select(*dict.fromkeys([*frame_keys, *row_keys, "x1", "y1", "x2", "y2"]))
     other = rois.select(*frame_keys, "x1", "y1", "x2", "y2")
-    hits = overlap_pairs(slim, other, frame_keys, "r_", cell, rule)
+    hits = overlap_pairs(slim, other, frame_keys, "r_", rule)
     return hits.select(*dict.fromkeys([*frame_keys, *row_keys])).distinct()
 
 
@@ -90,11 +105,10 @@ def semi_overlap(
     frame_keys: Sequence[str],
     row_keys: Sequence[str],
     min_share: float = 0.05,
-    cell: float = 64.0,
 ) -> DataFrame:
     """Boxes with at least `min_share` of their area inside some region."""
     rule = B.cover(B.box(), B.box("r_")) >= min_share
-    keys = touching(det, rois, frame_keys, row_keys, rule, cell)
+    keys = touching(det, rois, frame_keys, row_keys, rule)
     return det.join(keys, list(dict.fromkeys([*frame_keys, *row_keys])), "left_semi")
 
 
@@ -104,11 +118,10 @@ def unexplained(
     frame_keys: Sequence[str],
     row_keys: Sequence[str],
     iou_min: float = 0.25,
-    cell: float = 64.0,
 ) -> DataFrame:
     """Regions that no track box accounts for."""
     rule = B.explained(B.box(), B.box("r_"), iou_min)
-    keys = touching(rois, tracks, frame_keys, row_keys, rule, cell)
+    keys = touching(rois, tracks, frame_keys, row_keys, rule)
     return rois.join(keys, list(dict.fromkeys([*frame_keys, *row_keys])), "left_anti")
 
 

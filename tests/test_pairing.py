@@ -114,7 +114,7 @@ def test_assign_optimal_equals_brute_force(spark):
             dt.append((f, j, x - 10, y - 10, x + 10, y + 10, rng.choice(["p", "q", None])))
     t = spark.createDataFrame(tr, "f int, t bigint, x double, y double, w double, h double, p00 double, tsu int, name string")
     d = spark.createDataFrame(dt, "f int, d bigint, x1 double, y1 double, x2 double, y2 double, name string")
-    got = assign.assign_optimal(t, d, ["f"], "t", "d", cell=16.0).collect()
+    got = assign.assign_optimal(t, d, ["f"], "t", "d").collect()
     for f in range(12):
         pairs = {}
         for _, ti, x, y, w, h, p00, tsu, tn in (r for r in tr if r[0] == f):
@@ -160,13 +160,16 @@ def test_two_stage_births_only_from_strong(spark):
     assert [r.d for r in births.collect()] == [3]
 
 
-def test_overlap_pairs_do_not_depend_on_the_cell(spark):
+@pytest.mark.parametrize("scale", [2.0**-20, 1.0, 3.7, 2.0**20])
+def test_overlap_pairs_at_any_box_size(spark, scale):
     from gridlark.operators import overlap
 
     rng = np.random.default_rng(2)
-    rows = [(1, i, *(float(v) for v in (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(rng.uniform(0, 50, (60, 4)))]
+    sizes = rng.uniform(0, 50, (60, 4)) * np.array([1, 1, 1, 1]) * rng.choice([0.01, 1, 30], (60, 1))
+    rows = [(1, i, *(float(v * scale) for v in (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(sizes)]
+    rows += [(1, 60, 0.0, 0.0, 0.0, 5.0 * scale), (1, 61, None, 0.0, 1.0, 1.0), (2, 62, *rows[0][2:])]
     df = spark.createDataFrame(rows, "f int, n int, x1 double, y1 double, x2 double, y2 double")
-    sets = [
-        {(r.n, r.r_n) for r in overlap.self_pairs(df, ["f"], "n", cell=c).collect()} for c in (7.0, 33.0, 1000.0)
-    ]
-    assert sets[0] == sets[1] == sets[2] and len(sets[0]) > 100
+    got = [(r.n, r.r_n) for r in overlap.self_pairs(df, ["f"], "n").collect()]
+    meet = lambda a, b: min(a[4], b[4]) > max(a[2], b[2]) and min(a[5], b[5]) > max(a[3], b[3])
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and None not in a and None not in b and meet(a, b)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
