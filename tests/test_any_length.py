@@ -56,3 +56,43 @@ def test_long_chain_of_points_settles(spark):
     points = spark.createDataFrame([(1, i, float(x), 0.0) for x, i in enumerate(ids)], "k int, p bigint, x double, y double")
     got = {r.component for r in components(points, ["k"], "p", 1.0).collect()}
     assert got == {min(ids)}
+
+
+def plain_filter(rows, q, meas_var=4.0):
+    """States after each row (dt, noise, zx, zy, zw), walked one by one."""
+    out = []
+    x = y = vx = vy = p00 = p01 = p11 = w = 0.0
+    for i, (dt, noise, zx, zy, zw) in enumerate(rows):
+        if i == 0:
+            x, y, vx, vy, p00, p01, p11, w = zx, zy, 0.0, 0.0, meas_var, 0.0, 100.0, max(4.0, zw)
+        else:
+            x, y = x + vx * dt, y + vy * dt
+            p00, p01, p11 = p00 + 2 * dt * p01 + dt * dt * p11 + q * dt * dt, p01 + dt * p11 + q * dt, p11 + q
+            if zx is not None:
+                k0, k1, dx, dy = p00 / (p00 + noise), p01 / (p00 + noise), zx - x, zy - y
+                x, y, vx, vy = x + k0 * dx, y + k0 * dy, vx + k1 * dx, vy + k1 * dy
+                p11, p00, p01 = p11 - k1 * p01, p00 * (1 - k0), p01 * (1 - k0)
+                w = w if zw is None else 0.8 * w + 0.2 * max(4.0, zw)
+        out.append((x, y, vx, vy, p00, p01, p11, w))
+    return out
+
+
+@pytest.mark.parametrize("q, n, block, fan", [(0.0, 5000, 512, 512), (25.0, 1300, 64, 4), (1e-6, 900, 16, 2), (0.5, 513, 512, 512), (3.0, 64, 64, 4)])
+def test_filter_equals_a_plain_walk(spark, q, n, block, fan):
+    from pyspark.sql import functions as F
+
+    from gridlark.operators.filters import track_filter
+
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):
+        gone = i > 0 and (rng.random() < 0.2 or 100 < i < 180)
+        z = (None, None) if gone else (0.3 * i + rng.gauss(0, 2), -0.1 * i + rng.gauss(0, 2))
+        rows.append((rng.choice([0.0, 0.03, 0.5]), rng.choice([4.0, 16.0]), *z, None if i and rng.random() < 0.3 else rng.uniform(0, 30)))
+    df = spark.createDataFrame([(7, 3 * i, *r) for i, r in enumerate(rows)], "k int, o long, dt double, noise double, zx double, zy double, zw double").repartition(7)
+    got = sorted(track_filter(df, ["k"], "o", F.col("dt"), F.col("noise"), q=q, zw="zw", block=block, fan=fan).collect(), key=lambda r: r.o)
+    want = plain_filter(rows, q)
+    assert [r.o for r in got] == [3 * i for i in range(n)]
+    for r, w in zip(got, want):
+        for a, b in zip((r.x, r.y, r.vx, r.vy, r.p00, r.p01, r.p11, r.w), w):
+            assert abs(a - b) <= 1e-7 * (1 + abs(b))
