@@ -245,5 +245,6 @@ SELECT CASE WHEN image_id % 6 IN (1, 2, 3, 4) THEN 'val' ELSE 'train' END AS spl
 FROM paths p LEFT JOIN g ON p.image_id = g.frame_id
 """)
 def _(t):
-    lines = t.label_lines.select(F.concat(F.lit("img_"), "frame_id").alias("stem"), F.col("det_no").alias("line_no"), "line")
+    files = _paths(t).select(F.col("image_id").alias("frame_id"), F.regexp_replace(F.regexp_replace("path", "images", "labels"), "jpg$", "txt").alias("path"))
+    lines = t.label_lines.join(files, "frame_id").select("path", F.col("det_no").alias("line_no"), "line")
     return dataset.prepare(_paths(t).select("path"), lines, "set", {0: 9, 1: 3}).select("split", "stem", "kept", "text")

@@ -81,7 +81,7 @@ def _(t):
         F.col("frame_id").alias("image_id"), "det_no", "class_id", ((x1 + x2) / 200).alias("xc"), ((y1 + y2) / 200).alias("yc"),
         (F.col("bw") / 100).alias("bw"), (F.col("bh") / 100).alias("bh"),
     )
-    return sinks.label_files(t.images.select("image_id"), boxes, "image_id", "det_no")
+    return sinks.label_files(t.images.select("image_id"), boxes, "image_id", "det_no").select("image_id", "text")
 
 
 @check("sink_manifest", """

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import check
-from checks.joins import PAIR_WALK
 from checks.views import micros
 from gridlark.operators import duty, filters, gate, tracker, tracks
 from gridlark.operators.ordered import largest_group
@@ -245,9 +244,18 @@ def _(t):
     return live.run_stalls(t.spark, t.dir, "events.parquet")
 
 
-@check("stream_pair", PAIR_WALK + """,
-full_pairs AS (SELECT p.a_seq, p.b_seq, epoch_us(x.ts) AS a_us, epoch_us(y.ts) AS b_us FROM pairs p JOIN events x ON p.a_seq = x.event_id JOIN events y ON p.b_seq = y.event_id)
-SELECT * FROM full_pairs WHERE greatest(a_us, b_us) <= (SELECT max(timestamp_ns) // 1000000 - 600000 FROM sensor_events) * 1000
+_LIVE_TOL = 6 * 3_600_000_000
+
+
+@check("stream_pair", f"""
+WITH RECURSIVE e AS (SELECT user_id, event_type = 'view' AS a, epoch_us(ts) AS us, event_id AS seq FROM events),
+la AS (SELECT user_id, list(us ORDER BY us, seq) AS ts, list(seq ORDER BY us, seq) AS id FROM e WHERE a GROUP BY 1),
+lb AS (SELECT user_id, list(us ORDER BY us, seq) AS ts, list(seq ORDER BY us, seq) AS id FROM e WHERE NOT a GROUP BY 1),
+walk AS (SELECT user_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, false AS took FROM la JOIN lb USING (user_id) UNION ALL
+  SELECT user_id, CASE WHEN d <= {_LIVE_TOL} THEN i + 1 ELSE i END, CASE WHEN d >= -{_LIVE_TOL} THEN j + 1 ELSE j END, d BETWEEN -{_LIVE_TOL} AND {_LIVE_TOL}
+  FROM (SELECT w.user_id, i, j, la.ts[i] - lb.ts[j] AS d FROM walk w JOIN la USING (user_id) JOIN lb USING (user_id) WHERE i <= len(la.ts) AND j <= len(lb.ts)) s)
+SELECT la.id[i - 1] AS a_seq, lb.id[j - 1] AS b_seq, la.ts[i - 1] AS a_us, lb.ts[j - 1] AS b_us FROM walk w JOIN la USING (user_id) JOIN lb USING (user_id)
+WHERE took AND greatest(la.ts[i - 1], lb.ts[j - 1]) <= (SELECT max(us) // 1000 - 600000 FROM e) * 1000
 """)
 def _(t):
-    return live.run_pairs(t.spark, t.dir, "events.parquet", tol_us=120_000_000)
+    return live.run_pairs(t.spark, t.dir, "events.parquet", tol_us=_LIVE_TOL)

@@ -38,7 +38,4 @@ def consensus_labels(
     ranked = fused.withColumn("_order", F.struct((-F.col("confidence")).alias("k"), "class_id", "x1", "y1"))
     split = shuffle_split(images.select("image_id"), "image_id", *ratios, seed=seed)
     files = label_files(split, ranked, "image_id", "_order")
-    counts = fused.groupBy("image_id").agg(F.count("*").alias("n_labels"))
-    return files.join(counts, "image_id", "left").select(
-        "image_id", "split", F.coalesce("n_labels", F.lit(0).cast("bigint")).alias("n_labels"), "text"
-    )
+    return files.select("image_id", "split", F.col("kept").alias("n_labels"), "text")

@@ -37,16 +37,20 @@ def write_frame_log(log: DataFrame, path: str) -> None:
 
 
 def label_files(images: DataFrame, boxes: DataFrame, image: str, order: str) -> DataFrame:
-    """``image, text`` for every image; images without boxes get an empty text."""
+    """``image, kept, text`` for every image: its number of lines and the lines; none gives an empty text."""
     line = L.format_box(F.col("class_id"), F.col("xc"), F.col("yc"), F.col("bw"), F.col("bh"))
     texts = label_text(boxes.withColumn("line", line), [image], order, "line")
-    return images.join(texts, image, "left").withColumn("text", F.coalesce("text", F.lit(""))).drop("kept")
+    none = {"text": F.coalesce("text", F.lit("")), "kept": F.coalesce("kept", F.lit(0).cast("bigint"))}
+    return images.join(texts, image, "left").withColumns(none)
 
 
 def write_label_files(files: DataFrame, path: str, image: str) -> None:
-    """Label lines by split and image folder, as Spark writes text."""
-    lines = files.select("split", image, F.regexp_replace("text", "\n$", "").alias("value"))
-    lines.write.mode("overwrite").partitionBy("split", image).text(path)
+    """Label texts as rows ``(image, text)`` in one folder per split.
+
+    A folder or file per image does not scale to many millions of images; an empty text
+    stays a row with an empty text.
+    """
+    files.select("split", image, "text").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def manifest(names: DataFrame, path: str, splits: Sequence[str]) -> DataFrame:

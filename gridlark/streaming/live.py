@@ -202,6 +202,6 @@ def run_pairs(spark: SparkSession, folder: str, pattern: str, tol_us: int, delay
     use_state_store(spark)
     events = _utc(read_stream(spark, folder, pattern))
     sides = events.select(
-        F.lit(0).alias("pair"), "ts", F.when(F.col("event_type") == "view", "a").otherwise("b").alias("side"), F.col("event_id").alias("seq")
+        "user_id", "ts", F.when(F.col("event_type") == "view", "a").otherwise("b").alias("side"), F.col("event_id").alias("seq")
     )
-    return drain(live_pairs(sides, "pair", tol_us, delay))
+    return drain(live_pairs(sides, "user_id", tol_us, delay))

@@ -162,7 +162,8 @@ def test_files_in_and_out(spark, tmp_path):
     files = sinks.label_files(images, boxes, "image", "n")
     assert {r.image: r.text for r in files.collect()} == {"p": "1 0.500000 0.500000 0.200000 0.200000\n", "q": ""}
     sinks.write_label_files(files, str(tmp_path / "labels"), "image")
-    assert (tmp_path / "labels" / "split=train" / "image=p").is_dir()
+    back = spark.read.parquet(str(tmp_path / "labels")).collect()
+    assert {(r.split, r.image, r.text) for r in back} == {("train", "p", "1 0.500000 0.500000 0.200000 0.200000\n"), ("val", "q", "")}
     names = spark.createDataFrame([(1, "b"), (0, "a")], "id int, name string")
     sinks.write_manifest(sinks.manifest(names, "x", ["train", "val"]), str(tmp_path / "manifest"))
     row = json.loads(next((tmp_path / "manifest").glob("*.json")).read_text())
@@ -183,3 +184,18 @@ def test_state_tables(spark, tmp_path):
 def test_first_per_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 9, "z")], "k string, n int, v string")
     assert sorted((r.k, r.v) for r in sampling.first_per_key(df, ["k"], ["n"]).collect()) == [("a", "y"), ("b", "z")]
+
+
+def test_equal_names_in_two_folders_keep_their_lines(spark):
+    from gridlark.plans.dataset import prepare
+
+    images = spark.createDataFrame([(f"d/{s}/images/a.jpg",) for s in ("train", "val")] + [("e/images/train/a.jpg",), ("e/images/b.jpg",)], "path string")
+    lines = spark.createDataFrame(
+        [("d/train/labels/a.txt", 1, "0 0.1 0.1 0.1 0.1"), ("d/val/labels/a.txt", 1, "1 0.2 0.2 0.2 0.2"), ("e/labels/train/a.txt", 1, "2 0.3 0.3 0.3 0.3")],
+        "path string, line_no int, line string",
+    )
+    got = {(r.split, r.stem): r.text for r in prepare(images, lines, "p", {0: 5, 1: 6, 2: 7}).collect()}
+    assert got == {
+        ("train", "p_a"): "5 0.1 0.1 0.1 0.1\n", ("val", "p_a"): "6 0.2 0.2 0.2 0.2\n",
+        ("train", "p_a_2"): "7 0.3 0.3 0.3 0.3\n", ("train", "p_b"): "",
+    }
