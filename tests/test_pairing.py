@@ -42,7 +42,7 @@ def test_coincidence_equals_walk(spark, spread, chunk, hot):
         for p, q in pairs:
             want[key, "a", p], want[key, "b", q] = ("matched", q), ("matched", p)
     df = spark.createDataFrame(rows, "k string, side string, ts bigint, seq bigint").repartition(5)
-    got = pairing.coincidence(df, "side", "ts", "seq", 10, ["k"], chunk_rows=chunk, hot_rows=hot).collect()
+    got = pairing.coincidence(df, "side", "ts", "seq", 10, ["k"], chunk_rows=chunk, hot_rows=hot, fan=3).collect()
     assert {(r.k, r.side, r.seq): (r.status, r.partner_seq) for r in got} == want
 
 
@@ -56,10 +56,13 @@ def test_stated_pairs(spark):
 
 
 def test_counts_on_given_events(spark):
-    import checks
+    from checks.joins import _TOL
+    from checks.views import Tables
 
-    checks.load_all()
-    out = checks.QUERIES["join_coincidence"](spark, "/root/testdata/sf0.01").groupBy("sensor_id", "status").count().collect()
+    t = Tables(spark, "/root/testdata/sf0.01")
+    two = t.events.where("event_type IN ('view', 'click')").select(F.col("event_id").alias("seq"))
+    out = pairing.coincidence(t.sensor_events.join(two, "seq"), "sensor_id", "timestamp_ns", "seq", _TOL)
+    out = out.groupBy("sensor_id", "status").count().collect()
     got = {(r.sensor_id, r.status): r["count"] for r in out}
     assert got["a", "matched"] == got["b", "matched"] == 310
     assert got["a", "dropped"] == 1670 and got["b", "dropped"] == 1696
@@ -67,12 +70,17 @@ def test_counts_on_given_events(spark):
 
 def test_live_pairs_equal_batch(spark):
     import checks
+    from checks.streams import _LIVE_TOL
+    from checks.views import Tables
 
     checks.load_all()
     sf = "/root/testdata/sf0.01"
     live = {(r.a_seq, r.b_seq) for r in checks.QUERIES["stream_pair"](spark, sf).collect()}
-    batch = checks.QUERIES["join_coincidence"](spark, sf).where("sensor_id = 'a' AND status = 'matched'").collect()
-    assert live <= {(r.seq, r.partner_seq) for r in batch}
+    t = Tables(spark, sf)
+    users = t.events.select(F.col("event_id").alias("seq"), "user_id")
+    batch = pairing.coincidence(t.sensor_events.join(users, "seq"), "sensor_id", "timestamp_ns", "seq", 1000 * _LIVE_TOL, ["user_id"])
+    batch = batch.where("sensor_id = 'a' AND status = 'matched'").collect()
+    assert live and live <= {(r.seq, r.partner_seq) for r in batch}
     # only pairs within the delay of the end may still wait
     assert len(batch) - len(live) <= 1
 
