@@ -205,7 +205,33 @@ def _(t):
     return _decided(t).select(*SF, "run", "reason", "duty_frac")
 
 
-@check("duty_regions")
+def _clipped(b, near, w=60, h=45):
+    """SQL of an integer box kept inside the frame; `near` gives each edge."""
+    x1, y1, x2, y2 = (near(c) for c in b)
+    edge = lambda v, lo, hi, n: f"CAST(least(greatest({v}, {lo}), {hi}) AS INT) AS {n}"
+    return ", ".join((edge(x1, 0, w - 1, "x1"), edge(y1, 0, h - 1, "y1"), edge(x2, 1, w, "x2"), edge(y2, 1, h, "y2")))
+
+
+def _square(a, z, limit, far):
+    """SQL of one edge of a square window around a box, pushed back inside the frame."""
+    begin = f"greatest(floor(({a} + {z}) / 2.0) - floor(side / 2.0), 0)"
+    begin = f"({begin} - greatest({begin} + side - {limit}, 0))"
+    return f"least({begin} + side, {limit})" if far else f"greatest(0, {begin})"
+
+
+@check("duty_regions", _DUTY + f""",
+rn AS (SELECT w.stream_id, w.frame_index, w.reason, fl.conf, fl.hr FROM w JOIN fl ON fl.stream_id = w.stream_id AND fl.pos = w.pos WHERE w.run),
+tb AS (SELECT k.frame_index, k.confirmed AS sure, hits, {_clipped(("k.x - k.w * 0.5", "k.y - k.h * 0.5", "k.x + k.w * 0.5", "k.y + k.h * 0.5"), lambda c: f"trunc({c}) {'-' if ' - ' in c else '+'} 4")} FROM tk k),
+lk AS (SELECT rn.frame_index, ro.x1, ro.y1, ro.x2, ro.y2 FROM rn JOIN ro ON ro.frame_id = rn.frame_index LEFT JOIN e ON e.frame_id = ro.frame_id AND e.roi_no = ro.roi_no
+    WHERE (rn.reason = 'unexplained-motion' AND e.roi_no IS NULL) OR rn.reason = 'confirm-pending'
+  UNION ALL SELECT rn.frame_index, x1, y1, x2, y2 FROM rn JOIN tb ON tb.frame_index = rn.frame_index
+    WHERE (rn.reason = 'confirm-pending' AND NOT hr AND NOT sure AND hits >= 1) OR (rn.reason = 'keyframe-refresh' AND (sure OR (NOT conf AND hits >= 1)))),
+cl AS (SELECT frame_index, {_clipped(("x1", "y1", "x2", "y2"), str)} FROM lk),
+sz AS (SELECT *, greatest(0, x2 - x1) * greatest(0, y2 - y1) < 0.035::DOUBLE * 60 * 45 AS tiny, greatest(32, x2 - x1 + 8, y2 - y1 + 8) AS side FROM cl),
+pl AS (SELECT frame_index, CASE WHEN bool_or(tiny) OVER (PARTITION BY frame_index) THEN 'tile' ELSE 'crop' END AS mode,
+  {_clipped(("x1", "y1", "x2", "y2"), lambda c: f"CASE WHEN tiny THEN {_square(c[0] + '1', c[0] + '2', 60 if c[0] == 'x' else 45, c[1] == '2')} ELSE {c} END")} FROM sz)
+SELECT rn.stream_id, rn.frame_index, rn.reason, coalesce(mode, 'full') AS mode, x1, y1, x2, y2 FROM rn LEFT JOIN pl ON pl.frame_index = rn.frame_index
+""")
 def _(t):
     return duty.run_regions(_decided(t), _frame_rois(t), t.tracks, SF, min_side=32, pad=4)
 

@@ -17,9 +17,17 @@ def every_nth(df: DataFrame, index: str, stride: int) -> DataFrame:
     return df.where(F.col(index) % max(1, stride) == 0)
 
 
-def capped(df: DataFrame, order: Sequence[Column | str], most: int) -> DataFrame:
-    """The first `most` rows in order; Spark keeps at most that many per task."""
-    return df.orderBy(*order).limit(most)
+def capped(df: DataFrame, order: Sequence[Column | str], most: int, few: int = 10_000) -> DataFrame:
+    """The first `most` rows in order.
+
+    Up to `few` rows are kept per task and merged; more are found by their row number, so
+    that they never meet in one task.
+    """
+    if most <= few:
+        return df.orderBy(*order).limit(most)
+    keys = [f"_k{i}" for i in range(len(order))]
+    keyed = df.withColumns({k: F.col(c) if isinstance(c, str) else c for k, c in zip(keys, order)})
+    return number_rows(keyed, [], keys, "_n").where(F.col("_n") <= most).drop("_n", *keys)
 
 
 def split_counts(df: DataFrame) -> DataFrame:
@@ -71,7 +79,7 @@ def quota_sample(boxes: DataFrame, image: str, cls: str, caps: Sequence[tuple[in
     in the pass of c each taken image holds c, so the pass takes the first
     ``cap - count`` remaining images. At most the sum of the caps is ever kept.
     """
-    held = boxes.select(image, cls).distinct()
+    held = cut_lineage(boxes.select(image, cls).distinct())  # read two or three times per class
     taken: DataFrame | None = None
     for c, cap in caps:
         have = 0 if taken is None else held.where(F.col(cls) == c).join(taken, image, "left_semi").count()

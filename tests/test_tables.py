@@ -199,3 +199,12 @@ def test_equal_names_in_two_folders_keep_their_lines(spark):
         ("train", "p_a"): "5 0.1 0.1 0.1 0.1\n", ("val", "p_a"): "6 0.2 0.2 0.2 0.2\n",
         ("train", "p_a_2"): "7 0.3 0.3 0.3 0.3\n", ("train", "p_b"): "",
     }
+
+
+def test_cap_by_row_number_equals_cap_by_merging(spark):
+    from gridlark.operators.sampling import capped
+
+    df = spark.createDataFrame([(i, i * 7 % 50, None if i % 9 == 0 else f"p{i % 4}") for i in range(50)], "i int, a int, p string")
+    for most in (0, 1, 17, 49, 80):
+        one, two = (capped(df, ["p", df["a"]], most, few).collect() for few in (100, -1))
+        assert {r.i for r in one} == {r.i for r in two} and len(two) == min(most, 50)
