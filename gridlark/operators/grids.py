@@ -55,13 +55,17 @@ def _smooth_line(line: Column, sigma: float) -> Column:
 
 
 def smooth(cells: DataFrame, sigmas: Sequence[float] = (1.0, 2.0, 4.0)) -> DataFrame:
-    """Gaussian-smoothed layers ``s0, s1, ..`` of every full grid.
+    """Gaussian-smoothed layers ``s0, s1, ..`` of every full grid; one with holes fails the run.
 
     The filter is applied line by line along d, then along r, so the widest row ever
     built is one grid line, and each pass moves every cell once.
     """
     names = [f"s{i}" for i in range(len(sigmas))]
     lines = magnitudes(cells).groupBy("map_id", "r").agg(F.sort_array(F.collect_list(F.struct("d", "mag"))).alias("_l"))
+    extent = lambda c: F.max(c) - F.min(c) + 1
+    whole = cells.groupBy("map_id").agg((extent("r").cast("bigint") * extent("d") == F.count("*")).alias("_whole"))
+    holes = F.raise_error(F.lit("a grid has holes or repeated cells")).cast(dict(lines.dtypes)["_l"])
+    lines = lines.join(whole, "map_id").withColumn("_l", F.when(F.col("_whole"), F.col("_l")).otherwise(holes))
     across = lines.select(
         "map_id", "r", F.col("_l.d").alias("d"), *[_smooth_line(F.col("_l.mag"), s).alias(n) for n, s in zip(names, sigmas)]
     )

@@ -208,3 +208,14 @@ def test_cap_by_row_number_equals_cap_by_merging(spark):
     for most in (0, 1, 17, 49, 80):
         one, two = (capped(df, ["p", df["a"]], most, few).collect() for few in (100, -1))
         assert {r.i for r in one} == {r.i for r in two} and len(two) == min(most, 50)
+
+
+def test_smoothing_refuses_a_grid_with_holes(spark):
+    from gridlark.operators.grids import smooth
+
+    cells = [(1, r, d, float(r + d)) for r in range(4) for d in range(5)]
+    full = spark.createDataFrame(cells, "map_id int, r int, d int, mag double")
+    assert smooth(full).count() == 20
+    for gone in (7, 19):
+        with pytest.raises(Exception, match="holes"):
+            smooth(full.where(f"r * 5 + d <> {gone}")).collect()
