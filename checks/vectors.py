@@ -66,10 +66,16 @@ def _(t):
     return _flat(_codes(t), ["vec_id"], "code")
 
 
-@check("vec_encode_gaussian")
+_GAUSS = ", ".join(f"{w:.17e}" for w in V.gaussian_projection(64, DIM).ravel())
+
+
+@check("vec_encode_gaussian", f"""
+WITH e AS ({_UNNEST}), n AS (SELECT vec_id, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS norm FROM e GROUP BY 1),
+g AS (SELECT (i // 64)::INT AS r, (i % 64)::INT AS pos, w FROM (SELECT unnest([{_GAUSS}]) AS w, unnest(range({DIM} * 64)) AS i))
+SELECT e.vec_id, g.r AS pos, CAST(CASE WHEN sum(e.x::DOUBLE / n.norm * g.w) < -1e-12::DOUBLE THEN -1 ELSE 1 END AS INT) AS v FROM e JOIN n USING (vec_id) JOIN g ON g.pos = e.pos GROUP BY 1, 2
+""")
 def _(t):
-    encode = V.encoder(64, 1024)
-    return t.embeddings.select("vec_id", encode("embedding").alias("code"))
+    return _flat(t.embeddings.select("vec_id", V.encoder(64, DIM)("embedding").alias("code")), ["vec_id"], "code")
 
 
 @check("vec_bind_aux", f"""
