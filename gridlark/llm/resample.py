@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.columns import free_name
+from gridlark.llm.columns import broadcast_if_small, free_name
 from gridlark.llm.registry import query, table
 from gridlark.session import cut_lineage
 
@@ -39,38 +39,30 @@ def buckets(text: str | None, n: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def _counts(docs: DataFrame, target: Column, n: int) -> DataFrame:
-    """``(model, bucket, n)``: exact counts over all texts (0) and those of the target (1).
-
-    Each task sums before anything moves.
-    """
+def _counts(docs: DataFrame, n: int) -> np.ndarray:
+    """Exact counts per bucket over all texts; each task sums before anything moves."""
 
     def run(stream):
-        sums = np.zeros((2, n), np.int64)
+        sums = np.zeros(n, np.int64)
         for batch in stream:
-            for target, t in zip(batch.column("target").to_pylist(), batch.column("text").to_pylist()):
-                got = buckets(t, n)
-                sums[0] += got
-                if target:
-                    sums[1] += got
-        for m, s in enumerate(sums):
-            some = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), m, np.int32)), pa.array(some.astype(np.int32)), pa.array(s[some])], names=["model", "bucket", "n"])
+            for t in batch.column("text").to_pylist():
+                sums += buckets(t, n)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], names=["bucket", "n"])
 
-    part = docs.select(target.alias("target"), "text").mapInArrow(run, "model int, bucket int, n bigint")
-    return part.groupBy("model", "bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(n, np.int64)
+    for r in docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out
 
 
-def log_ratios(docs: DataFrame, target: Column, n: int = BUCKETS, smooth: float = SMOOTH) -> np.ndarray:
-    """Per bucket, the log of its share in target texts over its share in raw texts.
+def log_ratios(raw: DataFrame, target: DataFrame, n: int = BUCKETS, smooth: float = SMOOTH) -> np.ndarray:
+    """Per bucket, the log of its share in the target's texts over its share in the raw texts.
 
-    `target` is true for target rows; the raw texts are all rows. What comes to the driver is two numbers per bucket, whatever the input.
+    What comes to the driver is one number per bucket and model, whatever the input.
     """
-    rows = _counts(docs, target, n).collect()
-    seen = np.full((2, n), smooth)
-    for r in rows:
-        seen[r["model"], r["bucket"]] += r["n"]
-    share = seen / seen.sum(axis=1, keepdims=True)
+    of = [_counts(d, n) + smooth for d in (raw, target)]
+    share = [c / c.sum() for c in of]
     return np.log(share[1]) - np.log(share[0])
 
 
@@ -137,7 +129,7 @@ def take_greatest(rows: DataFrame, value: str, k: int, tie: str, name: str) -> D
 
 
 def importance_resample(
-    docs: DataFrame, target: Column, share: float = 0.5, n: int = BUCKETS, temperature: float = TEMPERATURE, seed: int = 0
+    docs: DataFrame, target: DataFrame, share: float = 0.5, n: int = BUCKETS, temperature: float = TEMPERATURE, seed: int = 0
 ) -> DataFrame:
     """Rows of `docs`, without the text, with `n_grams`, `log_weight`, `score` and `kept`.
 
@@ -145,11 +137,11 @@ def importance_resample(
     text looks more like the target than the raw texts do. `kept` marks
     ``round(share * rows)`` rows, drawn without replacement with weights
     ``exp(score / temperature)``: a low temperature draws nearly the best, a high one
-    nearly evenly. `target` is true for rows of the target; the raw model counts all rows,
-    the target's too. Texts without words and null texts have no score and are never
-    drawn. Repeated rows draw the same noise and stay or go together, unless the bound
-    falls among them, when they stay or go by it. Without target rows the target is even
-    over all strings. New names that clash get a leading underscore.
+    nearly evenly. The target model counts the column `text` of `target`, the raw model all
+    of `docs`; only the counts leave the tasks that read the texts. Texts without words
+    and null texts have no score and are never drawn. Repeated rows draw the same noise
+    and stay or go together. An empty target is even over all strings. New names that
+    clash get a leading underscore.
     """
     names = {c: free_name(docs, c) for c in ("log_weight", "n_grams", "score", "kept", "draw")}
     scored = with_scores(docs, log_ratios(docs, target, n))
@@ -164,7 +156,8 @@ def importance_resample(
 def op5_importance_resampling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    labels = cut_lineage(labels)
     good = labels.agg(F.avg("quality")).first()[0]
-    marked = docs.join(labels, "doc_id", "left")
-    out = importance_resample(marked, F.col("quality") == 1, share=1.0 if good is None else good)
+    target = docs.join(broadcast_if_small(labels.where("quality = 1").select("doc_id")), "doc_id", "left_semi")
+    out = importance_resample(docs, target, share=1.0 if good is None else good)
     return out.select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("score", 9).alias("score"), "kept")

@@ -30,7 +30,7 @@ def test_scores_and_draw(spark):
     texts = [f"good words w{i % 7} here" for i in range(60)] + [f"bad ## w{i % 5} &&" for i in range(40)] + [None, " ", "good words"]
     rows = [(i, t, i < 40, "mine") for i, t in enumerate(texts)] + [(None, "bad bad", None, "mine"), (3, texts[3], True, "mine")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    out = importance_resample(docs, F.col("good"), share=0.5, n=256)
+    out = importance_resample(docs, docs.where("good"), share=0.5, n=256)
     got = out.withColumn("noise", gumbel("doc_id")).collect()
     raw, target = np.ones(256), np.ones(256)
     for _, t, good, _ in rows:
@@ -49,7 +49,7 @@ def test_scores_and_draw(spark):
     k = round(0.5 * len(rows) + 1e-9)
     bound = draws[k - 1]
     assert all(r["kept"] == (r["_score"] is not None and r["_score"] / 0.005 + r["noise"] >= bound - 1e-9) for r in got)
-    assert importance_resample(docs.limit(0), F.col("good")).count() == 0
+    assert importance_resample(docs.limit(0), docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 14_999, 15_000, 29_990, 30_000, 40_000])
@@ -69,7 +69,7 @@ def test_noise_is_gumbel(spark):
 def test_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    out = importance_resample(docs, (F.col("quality") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), share=0.85)
+    out = importance_resample(docs, docs.where("quality = 1 AND pmod(xxhash64(doc_id), 2) = 0"), share=0.85)
     held = out.where("quality IS NOT NULL AND pmod(xxhash64(doc_id), 2) = 1").collect()
     right = sum(r["kept"] == (r["quality"] == 1) for r in held)
     clean = [r["kept"] for r in held if r["quality"] == 1]
