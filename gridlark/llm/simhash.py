@@ -263,7 +263,8 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS,
     distinct = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected(linked_fingerprints(distinct.select("fp"), most, dense)).withColumnRenamed("node", "fp")
     roots = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = cut_lineage(roots)
+    names = cut_lineage(roots.groupBy("root").agg(F.min("least").alias("component_id")))
     named = cut_lineage(roots.join(names, "root").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
@@ -280,7 +281,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     repeats = not stay.where("n > 1").isEmpty()
     stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    kept = docs.join(broadcast_if_small(stay), same, "left_semi")
+    kept = docs.join(stay, same, "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
 
 
