@@ -36,6 +36,7 @@ LATER = """
 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED
 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
 """
+_FIRST_LATER = chr(min(int(r.split("-")[0], 16) for r in LATER.split()))
 #: Byte b is this plus b: letters without a meaning of their own to the model.
 FIRST_CHAR = 0x4E00
 _KNOWN = 200_000  # pre-tokens a worker remembers; beyond it starts afresh
@@ -91,7 +92,8 @@ class Codec:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def split(self, text: str) -> list[str]:
-        if self.later.search(text) is None:
+        # no character before these is one of them
+        if text.isascii() or max(text) < _FIRST_LATER or self.later.search(text) is None:
             return self.pattern.findall(text)
         plain = self.later.sub("\ue000", text)  # a private character: no letter, number or space
         return [text[m.start() : m.end()] for m in self.pattern.finditer(plain)]
