@@ -246,6 +246,15 @@ def _exact_balls(fps: DataFrame, most: int) -> DataFrame:
     return fps.mapInArrow(points, "a bigint, b bigint").join(fps.withColumnRenamed("fp", "b"), "b").where("a <> b").select("a", "b")
 
 
+def name_groups(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``(fp, component_id)`` of all of ``(fp, least)``: the smallest `least` reachable over the links."""
+    roots = connected(links).withColumnRenamed("node", "fp")
+    roots = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = cut_lineage(roots)
+    names = cut_lineage(roots.groupBy("root").agg(F.min("least").alias("component_id")))
+    return cut_lineage(roots.join(names, "root").select("fp", "component_id"))
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, dense: int = DENSE) -> DataFrame:
     """``(doc_id, text_hash, fp, component_id)`` for every row of `docs`.
 
@@ -261,11 +270,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS,
     """
     fps = cut_lineage(fingerprints(docs, shingle))
     distinct = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected(linked_fingerprints(distinct.select("fp"), most, dense)).withColumnRenamed("node", "fp")
-    roots = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = cut_lineage(roots)
-    names = cut_lineage(roots.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = cut_lineage(roots.join(names, "root").select("fp", "component_id"))
+    named = name_groups(distinct, linked_fingerprints(distinct.select("fp"), most, dense))
     return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
@@ -276,7 +281,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     document, of which one row stays; rows that share an id but not the text are judged
     apart. Texts move once, for the join with what stays.
     """
-    groups = near_groups(docs, **options).where("doc_id <=> component_id")
+    return least_of_each(docs, near_groups(docs, **options))
+
+
+def least_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of `docs` that name their group in ``(doc_id, text_hash, component_id)``."""
+    groups = groups.where("doc_id <=> component_id")
     stay = cut_lineage(groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")))
     repeats = not stay.where("n > 1").isEmpty()
     stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
