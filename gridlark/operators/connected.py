@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.session import cut_lineage
+from gridlark.session import drop_table, stored_table
 
 SMALL_ROWS = 100_000
 
@@ -23,10 +23,11 @@ def connected(links: DataFrame) -> DataFrame:
     and then the node and its smaller neighbours to the least of those, so that trees
     keep flattening and only stars are left after about the logarithm of the longest
     path. It goes on until a round changes nothing. Neighbours are never gathered: a
-    round is minima per node and joins on them. Every round is checkpointed.
+    round is minima per node and joins on them. A round's tables are written, read with
+    a plan of their own and deleted once the next round is written.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    edges = cut_lineage(edges)
+    edges = stored_table(edges)
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
@@ -34,15 +35,18 @@ def connected(links: DataFrame) -> DataFrame:
     now = state(edges)
     while now[0]:
         both = edges.union(edges.select("lo", "hi")).toDF("at", "to")
-        least = cut_lineage(both.groupBy("at").agg(F.min("to").alias("m")).select("at", F.least("at", "m").alias("m")))
+        first = stored_table(both.groupBy("at").agg(F.min("to").alias("m")).select("at", F.least("at", "m").alias("m")))
         # larger neighbours go to the least one
-        big = both.where(F.col("to") > F.col("at")).join(_beside(least), "at").select(F.col("to").alias("hi"), F.col("m").alias("lo")).distinct()
-        big = cut_lineage(big)
-        least = cut_lineage(big.groupBy("hi").agg(F.min("lo").alias("m")))
+        big = both.where(F.col("to") > F.col("at")).join(_beside(first), "at").select(F.col("to").alias("hi"), F.col("m").alias("lo")).distinct()
+        big = stored_table(big)
+        second = stored_table(big.groupBy("hi").agg(F.min("lo").alias("m")))
         # smaller neighbours and the node itself do too
-        seen = big.join(_beside(least), "hi").where(F.col("lo") > F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = cut_lineage(seen.union(least.select("hi", F.col("m").alias("lo"))).distinct())
-        before, now = now, state(edges)
+        seen = big.join(_beside(second), "hi").where(F.col("lo") > F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        hooked = stored_table(seen.union(second.select("hi", F.col("m").alias("lo"))).distinct())
+        before, now = now, state(hooked)
+        for table in (edges, first, big, second):
+            drop_table(table)
+        edges = hooked
         if before == now:
             break
     roots = edges.select("lo").distinct().select(F.col("lo").alias("node"), F.col("lo").alias("root"))

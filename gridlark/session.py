@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a loop's working table."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_table(df: DataFrame) -> DataFrame:
+    """The rows as written to a Parquet table in the shared checkpoint folder.
+
+    Unlike a checkpoint, it is compressed, read by column, and hands on nothing of the
+    plan that made it, so a loop's plans stay as short as one round. Row order is lost.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def drop_table(stored: DataFrame) -> None:
+    """Delete a table of `stored_table` that no later step reads."""
+    spark = stored.sparkSession
+    files = stored.inputFiles()
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    for folder in folders:
+        if not folder.rsplit("/", 1)[-1].startswith("table-"):
+            raise ValueError(f"{folder} is not a stored table")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
