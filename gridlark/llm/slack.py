@@ -21,8 +21,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridlark.llm.columns import broadcast_if_small, stored_table
+from gridlark.llm.columns import broadcast_if_small
 from gridlark.llm.registry import query, table
+from gridlark.session import stored_table
 
 ROOM = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -156,7 +157,8 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
 def combinations(counts: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
     """Combinations and how often each is used, until no piece is left.
 
-    Each use count exhausts a length, so there are no more combinations than lengths.
+    Each leaves of some length fewer pieces than one use of it took, so a length ends
+    after as many combinations as a bin's room has bits, at most.
     """
     counts, out = {n: c for n, c in counts.items() if c}, []
     while counts:
@@ -228,8 +230,8 @@ def pack_tightly(pieces: DataFrame, room: int = ROOM) -> DataFrame:
     deals = pieces.sparkSession.sparkContext.broadcast((keys, sequence, per, offset))
     before = per_task.select("_task", "_n", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
     before = broadcast_if_small(stored_table(before), 400_000)
-    found = stored.join(before, (stored["_task"] == before["_task"]) & (F.col("length") == F.col("_n")))
-    found = found.select(*[stored[f"`{f.name}`"] for f in kept], (F.col("_rank") + F.col("_before")).alias("_rank"))
+    found = stored.join(before, (stored["_task"] == before["_task"]) & (stored["length"] == before["_n"]))
+    found = found.select(*[stored[f"`{f.name}`"] for f in kept], (stored["_rank"] + before["_before"]).alias("_rank"))
 
     def placed(batches):
         keys, sequence, per, offset = deals.value

@@ -440,4 +440,6 @@ def op1_suffix_array_dedup(spark, sf_dir):
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("rest", "whole").alias("kept_sha256"),
+        (F.col("n_bytes") - F.coalesce("n_removed", F.lit(0))).alias("kept_bytes"),
+        (F.coalesce("n_removed", F.lit(0)) > 0).alias("has_repeats"),
     )
