@@ -11,15 +11,17 @@ combinations by their rank among the pieces of equal length, in parallel.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterable
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from gridlark.llm.columns import broadcast_if_small
 from gridlark.llm.registry import query, table
@@ -27,7 +29,8 @@ from gridlark.session import stored_table
 
 ROOM = 2048
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 400_000  # words whose ids a worker remembers
+WORDS_KEPT = 250_000  # words of a generation whose ids a worker remembers
+_PLAIN = regex.compile(r"[!-~\u00a1-\u012f]+")
 
 #: Normalisation and pre-tokens of such a file never look across ASCII white space.
 _WORDWISE = {
@@ -45,8 +48,37 @@ _WORDWISE = {
 }
 
 
+class Remembered:
+    """Values by key, made in bulk; of two generations the older is forgotten when one is full."""
+
+    def __init__(self, most: int, make: Callable[[list], Iterable[bytes]]):
+        self.most, self.make = most, make
+        self.now: dict = {}
+        self.older: dict = {}
+
+    def ready(self, keys: Iterable) -> dict:
+        """A table that holds all of `keys`."""
+        if len(self.now) > self.most:
+            self.older, self.now = self.now, {}
+        now, older = self.now, self.older
+        new = {k for k in keys if k not in now}
+        fresh = []
+        for k in new:
+            if k in older:
+                now[k] = older[k]
+            else:
+                fresh.append(k)
+        if fresh:
+            now.update(zip(fresh, self.make(fresh)))
+        return now
+
+
 class Coder:
-    """Ids of texts as the tokenizer of a file gives them, without special tokens added."""
+    """Ids of texts as the tokenizer of a file gives them, without special tokens added.
+
+    Words are encoded once and remembered. Those of plain Latin characters are cut into
+    their pre-tokens here, as the file's pattern says, and only new pre-tokens are encoded.
+    """
 
     def __init__(self, spec: str):
         self.own = Tokenizer.from_str(spec)
@@ -54,29 +86,41 @@ class Coder:
         self.wordwise = all(parsed.get(k) == v for k, v in _WORDWISE.items()) and not any(
             t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in parsed["added_tokens"]
         )
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        got = self.own.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
+        if self.wordwise:
+            self.pieces = regex.compile(_WORDWISE["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.special = regex.compile("|".join(regex.escape(t["content"]) for t in parsed["added_tokens"]) or "(?!)")
+            self.bare = Tokenizer.from_str(spec)  # of pre-tokens
+            self.bare.normalizer = None
+            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.words = Remembered(WORDS_KEPT, self._words)
+            self.parts = Remembered(WORDS_KEPT, lambda new: self._listed(self.bare, new))
+
+    @staticmethod
+    def _listed(coder: Tokenizer, new: list[str]) -> list[bytes]:
+        got = coder.encode(new, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(got.ids, "<u4").tobytes()
         cut = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(new) + 1))).tolist()
-        self.known.update(zip(new, (ids[a:z] for a, z in zip(cut, cut[1:]))))
+        return [ids[a:z] for a, z in zip(cut, cut[1:])]
+
+    def _words(self, new: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in new]
+        # below U+0130 composing changes nothing and lower case looks at one character
+        plain = [bool(_PLAIN.fullmatch(t)) and not self.special.search(t) for t in texts]
+        cut = [self.pieces.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
+        known = self.parts.ready(p for c in cut if c for p in c)
+        other = [t for t, p in zip(texts, plain) if not p]
+        rest = iter(self._listed(self.own, other) if other else ())
+        return [next(rest) if c is None else known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cut]
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids; words are encoded once and remembered."""
+        """Little-endian unsigned 32-bit ids."""
         if not self.wordwise:
             return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, out = text.encode().split(), []
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            new = {w for w in set(part) if w not in self.known}
-            if new:
-                if len(self.known) > WORDS_KEPT:
-                    new = set(part)
-                self._learn(list(new))
-            out += [self.known[w] for w in part]
+            known = self.words.ready(part)
+            out += [known[w] for w in part]
         return b"".join(out)
 
 
