@@ -253,13 +253,65 @@ def _track_frames(t):
     return frames, det, points
 
 
-@check("track_multi")
+@check("track_multi_busy")
 def _(t):
     frames, det, points = _track_frames(t)
     out = tracker.track_multi(frames, det, ["stream_id"], points)
     return out.select(*SF, "track_id", "name", "hits", "age", "time_since_update", "confirmed", *[r6(c, digits=4) for c in ("x", "y", "vx", "vy", "w", "h")])
 
 
+# Users keep 2,000 apart, so every gate holds one candidate and a track is a user's walk.
+_SCENE = tracker.TrackerOptions(max_age=3)
+_SCENE_SQL = """WITH RECURSIVE e AS (SELECT user_id % 4 AS s, user_id AS u, CAST(epoch_us(ts) // 21600000000 AS BIGINT) AS f, event_type AS kind, event_id, value FROM events),
+fr AS (SELECT s, f, row_number() OVER (PARTITION BY s ORDER BY f) AS k FROM (SELECT DISTINCT s, f FROM e) q),
+d AS (SELECT s, u, f, 2000.0::DOUBLE * u + (min(event_id) % 7) AS x1, 10 + (min(event_id) % 5)::DOUBLE AS y1, 40 + (max(event_id) % 9)::DOUBLE AS w, 30 + (max(event_id) % 4)::DOUBLE AS h,
+  0.05::DOUBLE + (min(event_id) % 10) / 10.0::DOUBLE AS conf FROM e WHERE kind IN ('view', 'click', 'purchase') GROUP BY s, u, f),
+p AS (SELECT s, u, f, 2000.0::DOUBLE * u + 20 + (min(event_id) % 30) AS x, 25 + (min(event_id) % 11)::DOUBLE AS y FROM e WHERE kind = 'error' GROUP BY s, u, f),
+n AS (SELECT q.s, q.u, fr.k, fr.f, d.x1 + (d.x1 + d.w) AS sx, d.y1 + (d.y1 + d.h) AS sy, d.w, d.h, d.conf, p.x AS px, p.y AS py
+  FROM (SELECT DISTINCT s, u FROM e) q JOIN fr ON fr.s = q.s LEFT JOIN d ON d.s = q.s AND d.u = q.u AND d.f = fr.f LEFT JOIN p ON p.s = q.s AND p.u = q.u AND p.f = fr.f),
+w AS (SELECT s, u, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS f, false AS alive, CAST(0 AS BIGINT) AS born, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy,
+    0.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 0.0::DOUBLE AS p11, 0.0::DOUBLE AS w, 0.0::DOUBLE AS h, CAST(0 AS BIGINT) AS hits, CAST(0 AS BIGINT) AS age, CAST(0 AS BIGINT) AS tsu
+  FROM (SELECT DISTINCT s, u FROM e) z UNION ALL
+  SELECT s, u, k, f, alive AND tsu <= 3, born, CASE WHEN aux THEN x + p00 / (p00 + 16) * (px - x) ELSE x END, CASE WHEN aux THEN y + p00 / (p00 + 16) * (py - y) ELSE y END,
+    CASE WHEN aux THEN vx + p01 / (p00 + 16) * (px - x) ELSE vx END, CASE WHEN aux THEN vy + p01 / (p00 + 16) * (py - y) ELSE vy END,
+    CASE WHEN aux THEN p00 * (1 - p00 / (p00 + 16)) ELSE p00 END, CASE WHEN aux THEN p01 * (1 - p00 / (p00 + 16)) ELSE p01 END,
+    CASE WHEN aux THEN p11 - p01 / (p00 + 16) * p01 ELSE p11 END, w, h, hits, age, tsu
+  FROM (SELECT *, alive AND px IS NOT NULL AND (px - x) * (px - x) + (py - y) * (py - y) < 14400 AS aux FROM (
+  SELECT s, u, k, f, alive OR birth AS alive, CASE WHEN birth THEN k ELSE born END AS born, px, py,
+    CASE WHEN birth THEN zx WHEN hit THEN x + p00 / (p00 + 4) * (zx - x) ELSE x END AS x, CASE WHEN birth THEN zy WHEN hit THEN y + p00 / (p00 + 4) * (zy - y) ELSE y END AS y,
+    CASE WHEN birth THEN 0 WHEN hit THEN vx + p01 / (p00 + 4) * (zx - x) ELSE vx END AS vx, CASE WHEN birth THEN 0 WHEN hit THEN vy + p01 / (p00 + 4) * (zy - y) ELSE vy END AS vy,
+    CASE WHEN birth THEN 4 WHEN hit THEN p00 * (1 - p00 / (p00 + 4)) ELSE p00 END AS p00, CASE WHEN birth THEN 0 WHEN hit THEN p01 * (1 - p00 / (p00 + 4)) ELSE p01 END AS p01,
+    CASE WHEN birth THEN 100 WHEN hit THEN p11 - p01 / (p00 + 4) * p01 ELSE p11 END AS p11,
+    CASE WHEN birth THEN dw WHEN hit THEN 0.8::DOUBLE * w + 0.2::DOUBLE * dw ELSE w END AS w, CASE WHEN birth THEN dh WHEN hit THEN 0.8::DOUBLE * h + 0.2::DOUBLE * dh ELSE h END AS h,
+    CASE WHEN birth THEN 1 WHEN hit THEN hits + 1 ELSE hits END AS hits, CASE WHEN birth THEN 0 ELSE age END AS age, CASE WHEN birth OR hit THEN 0 ELSE tsu END AS tsu
+  FROM (SELECT *, alive AND coalesce(conf >= 0.1, false) AS hit, NOT alive AND coalesce(conf >= 0.5, false) AS birth FROM (
+  SELECT n.s, n.u, n.k, n.f, w.alive, w.born, n.sx / 2 AS zx, n.sy / 2 AS zy, n.w AS dw, n.h AS dh, n.conf, n.px, n.py,
+    w.x + w.vx * 0.033::DOUBLE AS x, w.y + w.vy * 0.033::DOUBLE AS y, w.vx, w.vy,
+    w.p00 + 2 * 0.033::DOUBLE * w.p01 + 0.033::DOUBLE * 0.033::DOUBLE * w.p11 + 25.0::DOUBLE * 0.033::DOUBLE * 0.033::DOUBLE AS p00,
+    w.p01 + 0.033::DOUBLE * w.p11 + 25.0::DOUBLE * 0.033::DOUBLE AS p01, w.p11 + 25.0::DOUBLE AS p11, w.w, w.h, w.hits, w.age + 1 AS age, w.tsu + 1 AS tsu
+  FROM w JOIN n ON n.s = w.s AND n.u = w.u AND n.k = w.k + 1) a1) a2) a3) a4),
+ids AS (SELECT s, u, born, row_number() OVER (PARTITION BY s ORDER BY born, u) AS track_id FROM (SELECT DISTINCT s, u, born FROM w WHERE alive) q)
+SELECT w.s AS stream_id, w.f AS frame_index, track_id, hits, age, tsu AS time_since_update, hits >= 2 AS confirmed, round(x, 4) AS x, round(y, 4) AS y, round(vx, 4) AS vx, round(vy, 4) AS vy,
+  round(w.w, 4) AS w, round(w.h, 4) AS h FROM w JOIN ids USING (s, u, born) WHERE alive"""
+
+
+@check("track_multi", _SCENE_SQL)
+def _(t):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = t.events.select((F.col("user_id") % 4).alias("stream_id"), F.col("user_id").alias("u"), F.floor(us / 21_600_000_000).alias("frame_index"), "event_type", "event_id")
+    place = [*SF, "u"]
+    d = e.where("event_type IN ('view', 'click', 'purchase')").groupBy(*place).agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
+    x1, y1 = 2000.0 * F.col("u") + F.col("a") % 7, (10 + F.col("a") % 5).cast("double")
+    det = d.select(
+        *SF, F.col("u").alias("det_no"), x1.alias("x1"), y1.alias("y1"), (x1 + 40 + F.col("b") % 9).alias("x2"), (y1 + 30 + F.col("b") % 4).alias("y2"),
+        (0.05 + (F.col("a") % 10) / 10.0).alias("conf"),
+    )
+    p = e.where("event_type = 'error'").groupBy(*place).agg(F.min("event_id").alias("a"))
+    points = p.select(*SF, F.col("u").alias("point_no"), (2000.0 * F.col("u") + 20 + F.col("a") % 30).alias("x"), (25 + F.col("a") % 11).cast("double").alias("y"))
+    out = tracker.track_multi(e.select(*SF).distinct(), det, ["stream_id"], points, _SCENE, busy_rows=5_000)
+    return out.select(*SF, "track_id", "hits", "age", "time_since_update", "confirmed", *[r6(c, digits=4) for c in ("x", "y", "vx", "vy", "w", "h")])
+
+
 @check("stream_stall", """
 WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)

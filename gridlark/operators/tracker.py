@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridlark.operators.assign import best_matching
-from gridlark.operators.ordered import largest_group, running
-from gridlark.session import cut_lineage
+from gridlark.operators.connected import connected
+from gridlark.operators.ordered import largest_group, number_rows, running
+from gridlark.operators.overlap import overlap_pairs
+from gridlark.session import stored_table
 
 
 @dataclass
@@ -34,7 +39,7 @@ class TrackerOptions:
 
 
 # columns of the live-track matrix
-X, Y, VX, VY, P00, P01, P11, WID, HEI, HITS, AGE, TSU, ID = range(13)
+X, Y, VX, VY, P00, P01, P11, WID, HEI, HITS, AGE, TSU, ID, FROM = range(14)
 OUT_COLUMNS = ["track_id", "x", "y", "vx", "vy", "w", "h", "class_name", "name", "hits", "age", "time_since_update", "confirmed"]
 OUT_DDL = (
     "track_id bigint, x double, y double, vx double, vy double, w double, h double, class_name string, name string, "
@@ -49,9 +54,11 @@ class Stream:
     A look is [class name, gallery name or None, appearance vector or None].
     """
 
-    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 13)))
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 14)))
     looks: list = field(default_factory=list)
     born: int = 0
+    #: where the last frame's tracks could have met anything, if that is asked for
+    watched: np.ndarray | None = None
 
     def predict(self, o: TrackerOptions) -> None:
         s, dt, q = self.rows, o.dt, o.process_var
@@ -91,23 +98,27 @@ class Stream:
         maha = (dx * dx + dy * dy) / (s[:, P00, None] + o.meas_var)
         wide = (o.gate * np.minimum(3.0, 1.0 + 0.35 * s[:, TSU]))[:, None]
         rows, cols = np.nonzero((maha <= wide) | (iou >= 0.05))
-        both = o.w_iou + o.w_space
-        pairs = {}
-        for i, j in zip(rows.tolist(), cols.tolist()):
-            space = 0.5 * min(maha[i, j] / max(wide[i, 0], 1e-6), 2.0)
-            look = look_distance(self.looks[tracks[i]], looks[j])
-            if look is None:
-                cost = (o.w_iou * (1 - iou[i, j]) + o.w_space * space) / both
-            elif look > 0.85:
-                continue
-            else:
-                cost = o.w_iou * (1 - iou[i, j]) + o.w_space * space + o.w_look * look
-            pairs[i, j] = float(cost)
+        far = 0.5 * np.minimum(maha[rows, cols] / np.maximum(wide[rows, 0], 1e-6), 2.0)
+        cost = o.w_iou * (1 - iou[rows, cols]) + o.w_space * far
+        look = [look_distance(self.looks[t], looks[j]) for t, j in zip(tracks[rows].tolist(), cols.tolist())]
+        unseen = np.array([v is None for v in look], dtype=bool)
+        look = np.array([0.0 if v is None else v for v in look])
+        cost = np.where(unseen, cost / (o.w_iou + o.w_space), cost + o.w_look * look)
+        fits = look <= 0.85
+        pairs = dict(zip(zip(rows[fits].tolist(), cols[fits].tolist()), cost[fits].tolist()))
         return [(int(tracks[i]), j) for i, j in contested(pairs)]
 
+    def reach(self, o: TrackerOptions) -> np.ndarray:
+        """Boxes outside which no detection can be a candidate of the predicted tracks."""
+        s = self.rows
+        gate = np.sqrt(o.gate * np.minimum(3.0, 1.0 + 0.35 * s[:, TSU]) * (s[:, P00] + o.meas_var))
+        w, h = np.maximum(s[:, WID] / 2, gate) + 1e-6, np.maximum(s[:, HEI] / 2, gate) + 1e-6
+        return np.column_stack([s[:, X] - w, s[:, Y] - h, s[:, X] + w, s[:, Y] + h])
+
     def advance(self, boxes: np.ndarray, conf: np.ndarray, looks: list, points: np.ndarray, o: TrackerOptions) -> None:
         """One frame: predict, match, correct, start, take points in, retire."""
         self.predict(o)
+        reach = self.reach(o) if self.watched is not None else None
         everyone = np.arange(len(self.rows))
         births = np.arange(len(boxes))
         matches = []
@@ -130,12 +141,20 @@ class Stream:
             s[HITS] += 1
             s[TSU] = 0
             self.looks[t] = blend(self.looks[t], looks[j])
-        for j in births.tolist():
-            x1, y1, x2, y2 = boxes[j]
-            self.born += 1
-            new = [(x1 + x2) / 2, (y1 + y2) / 2, 0, 0, o.meas_var, 0, 100.0, max(4.0, x2 - x1), max(4.0, y2 - y1), 1, 0, 0, self.born]
+        if len(births):
+            x1, y1, x2, y2 = boxes[births].T
+            new = np.zeros((len(births), 14))
+            new[:, X], new[:, Y] = (x1 + x2) / 2, (y1 + y2) / 2
+            new[:, P00], new[:, P11], new[:, HITS] = o.meas_var, 100.0, 1
+            new[:, WID], new[:, HEI] = np.maximum(4.0, x2 - x1), np.maximum(4.0, y2 - y1)
+            new[:, ID] = self.born + 1 + np.arange(len(births))
+            new[:, FROM] = births
+            self.born += len(births)
             self.rows = np.vstack([self.rows, new])
-            self.looks.append(list(looks[j]))
+            self.looks.extend(list(looks[j]) for j in births.tolist())
+        if reach is not None:
+            at, far = self.rows[:, [X, Y]], o.aux_radius
+            self.watched = np.vstack([reach, np.column_stack([at - far, at + far])])
         self.absorb(points, o)
         alive = self.rows[:, TSU] <= o.max_age
         if not alive.all():
@@ -209,12 +228,167 @@ def frame_arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list, np.nd
     return boxes, np.array([r[5] for r in det], dtype=float), looks, points
 
 
+class _Frames:
+    """Rows in order as one table per frame; a frame may go on from batch to batch."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+
+    def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in self.keys]
+            turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1
+            for a, z in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
+                at = tuple(batch.column(k)[a].as_py() for k in self.keys)
+                if held and at != last:
+                    yield last, pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, z - a))
+                last = at
+        if held:
+            yield last, pa.Table.from_batches(held)
+
+
+def _frame(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list, np.ndarray, list]:
+    """A frame's boxes, confidences, looks and points, and the numbers of its boxes."""
+    numbers = lambda t, names: np.column_stack([t.column(c).to_numpy() for c in names]).astype(float).reshape(-1, len(names))
+    kind = rows.column("kind").to_numpy()
+    det, points = rows.filter(pa.array(kind == 0)), rows.filter(pa.array(kind == 1))
+    looks = [
+        [c, n, None if v is None else np.asarray(v, dtype=float)]
+        for c, n, v in zip(*(det.column(c).to_pylist() for c in ("class_name", "name", "vector")))
+    ]
+    boxes = numbers(det, ["x1", "y1", "x2", "y2"])
+    return boxes, det.column("conf").to_numpy().astype(float), looks, numbers(points, ["x1", "y1"]), det.column("no").to_pylist()
+
+
+_NUMBERED = "_born_at bigint, _born_no bigint"
+_REACH = "_x1 double, _y1 double, _x2 double, _y2 double"
+
+
+def _walk(rows: DataFrame, group: list[str], o: TrackerOptions, watch: bool) -> DataFrame:
+    """Stored track states of every group's frames; ids count from 1 in each group.
+
+    With `watch`, rows without a track tell where the tracks of the frame could have met
+    a detection or a point.
+    """
+    order = [*group, "frame_index", "kind", "no"]
+    lead = [*group, "frame_index"]
+    types = dict(rows.dtypes)
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in lead) + f", {OUT_DDL}, {_NUMBERED}, {_REACH}"
+    names = [*lead, *OUT_COLUMNS, "_born_at", "_born_no", "_x1", "_y1", "_x2", "_y2"]
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stream, born, out = None, Stream(), {}, []
+        for at, frame in _Frames(lead).of(batches):
+            if at[:-1] != current:
+                current, stream, born = at[:-1], Stream(watched=np.zeros((0, 4)) if watch else None), {}
+            before = stream.born
+            boxes, conf, looks, points, numbers = _frame(frame)
+            stream.advance(boxes, conf, looks, points, o)
+            if stream.born > before:
+                fresh = stream.rows[stream.rows[:, ID] > before]
+                born = {i: born.get(i) for i in stream.rows[:, ID].tolist()}
+                born.update({i: (at[-1], numbers[int(f)]) for i, f in zip(fresh[:, ID].tolist(), fresh[:, FROM].tolist())})
+            out.extend((*at, *s, *born[s[0]], None, None, None, None) for s in stream.states(o))
+            if watch:
+                out.extend((*at, *[None] * (len(OUT_COLUMNS) + 2), *w) for w in stream.watched.tolist())
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], names=names)
+
+    slim = rows.select(*lead, *_COLUMNS).repartition(*group).sortWithinPartitions(*order)
+    return stored_table(slim.mapInArrow(run, ddl))
+
+
+_COLUMNS = ["kind", "no", "x1", "y1", "x2", "y2", "conf", "class_name", "name", "vector"]
+
+
+def _parts(rows: DataFrame, piece: list[str], o: TrackerOptions, cell: float) -> DataFrame:
+    """`rows` of busy pieces with `_part`: groups of detections and points that lie near each other.
+
+    Cells of space and time that hold something are nodes, neighbours are linked. A part
+    gets a marker row for every frame from its first detection until its tracks must have
+    retired. A part may hold nothing but points, which no track is guessed to meet.
+    """
+    blocks = [F.floor(F.col("_frame") / (o.max_age + 2))]
+    middle = lambda lo, hi: F.when(F.col("kind") == 0, (F.col(lo) + F.col(hi)) / 2).otherwise(F.col(lo))
+    blocks += [F.floor(middle("x1", "x2") / cell), F.floor(middle("y1", "y2") / cell)]
+    names = ["_ct", "_cx", "_cy"]
+    # a collision of node ids only joins two parts
+    node = lambda *shift: F.xxhash64(*piece, *[F.col(c) + d for c, d in zip(names, shift)])
+    placed = rows.where("kind >= 0").withColumns(dict(zip(names, blocks))).withColumn("_node", node(0, 0, 0))
+    cells = stored_table(placed.select(*piece, *names, "_node").distinct())
+    ahead = [d for d in product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
+    links = cells.select(F.col("_node").alias("a"), F.explode(F.array(*[node(*d) for d in ahead])).alias("b"))
+    links = links.join(cells.select(F.col("_node").alias("b")).distinct(), "b")
+    roots = stored_table(connected(links))
+    named = cells.select("_node").distinct().join(roots.withColumnRenamed("node", "_node"), "_node", "left")
+    named = stored_table(named.select("_node", F.coalesce("root", "_node").alias("_part")))
+    return placed.join(named, "_node").drop(*names, "_node")
+
+
+def _with_markers(parts: DataFrame, rows: DataFrame, piece: list[str], o: TrackerOptions) -> DataFrame:
+    """The parts' rows and a marker for each frame in which they may have tracks."""
+    life = parts.where("kind = 0").groupBy(*piece, "_part").agg(F.min("_frame").alias("a"), (F.max("_frame") + o.max_age + 1).alias("z"))
+    ticks = life.withColumn("_frame", F.explode(F.sequence("a", "z"))).drop("a", "z")
+    there = rows.select(*piece, "_frame", "frame_index").distinct()
+    marks = ticks.join(there, [*piece, "_frame"])
+    blank = [F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("no")]
+    types = dict(parts.dtypes)
+    rest = [F.lit(None).cast(types[c]).alias(c) for c in _COLUMNS[2:]]
+    columns = [*piece, "_part", "_frame", "frame_index"]
+    return parts.select(*columns, *_COLUMNS).unionByName(marks.select(*columns, *blank, *rest))
+
+
+def _apart(rows: DataFrame, piece: list[str], o: TrackerOptions, cell: float) -> DataFrame:
+    """States of busy pieces, tracked part by part and checked.
+
+    The parts are a guess. The guess is right if no track ever came so near to a
+    detection or a point of another part that it could have looked at it, which the
+    walks report frame by frame. Parts that met are joined and walked again until none
+    meet, so the result is that of one walk over everything, however far tracks move.
+    """
+    parts = stored_table(_parts(rows, piece, o, cell))
+    group, todo, done = [*piece, "_part"], parts, None
+    while True:
+        walked = _walk(_with_markers(todo, rows, piece, o), group, o, watch=True)
+        frame = [*piece, "frame_index"]
+        seen = walked.where("track_id is null").select(*frame, "_part", *[F.col("_" + c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+        hair = F.lit(1e-6)
+        dot = F.col("kind") == 1
+        there = parts.select(
+            *frame, "_part", (F.col("x1") - hair).alias("x1"), (F.col("y1") - hair).alias("y1"),
+            (F.when(dot, F.col("x1")).otherwise(F.col("x2")) + hair).alias("x2"), (F.when(dot, F.col("y1")).otherwise(F.col("y2")) + hair).alias("y2"),
+        )
+        met = overlap_pairs(seen, there, frame, "r_", F.col("_part") != F.col("r__part"))
+        met = stored_table(met.select(F.col("_part").alias("a"), F.col("r__part").alias("b")).distinct())
+        states = walked.where("track_id is not null").drop("_x1", "_y1", "_x2", "_y2")
+        done = states if done is None else done.union(states)
+        if met.isEmpty():
+            return done
+        joined = stored_table(connected(met).toDF("_part", "_root"))
+        done = stored_table(done.join(joined.select("_part"), "_part", "left_anti").select(*done.columns))
+        after = parts.join(joined, "_part", "left").withColumn("_part", F.coalesce("_root", "_part"))
+        parts = stored_table(after.drop("_root"))
+        todo = parts.join(joined.select(F.col("_root").alias("_part")).distinct(), "_part", "left_semi")
+
+
 def track_multi(
     frames: DataFrame,
     detections: DataFrame,
     keys: Sequence[str],
     points: DataFrame | None = None,
     options: TrackerOptions | None = None,
+    busy_rows: int = 200_000,
+    cell: float | None = None,
     **ordered,
 ) -> DataFrame:
     """Track states after every frame of every stream.
@@ -222,12 +396,15 @@ def track_multi(
     `frames` lists each stream's frames (``keys, frame_index``), `detections` adds
     ``det_no, x1, y1, x2, y2, conf`` and optionally `class_name`, `name` (gallery class) and `vector`, and `points` adds ``point_no, x, y``. A stream
     is cut wherever it has been quiet long enough for every track to have retired, and
-    the pieces are tracked apart; numbering is then continued across the pieces. Rows
-    reach the helper frame by frame in Arrow batches, so a stream is never held whole.
+    the pieces are tracked apart. A piece of more than `busy_rows` rows is cut in space as
+    well, by neighbouring cells of side `cell` (twice the reach of points unless given),
+    and the cut is checked, so both give the states of one walk. Tracks are numbered per
+    stream by birth: frame, then `det_no`. Rows reach the helper frame by frame in Arrow
+    batches, so a stream is never held whole.
     """
     o = options or TrackerOptions()
     keys = list(keys)
-    columns = ["kind", "no", "x1", "y1", "x2", "y2", "conf", "class_name", "name", "vector"]
+    columns = _COLUMNS
     none = lambda ty: F.lit(None).cast(ty)
     looks = {"class_name": "string", "name": "string", "vector": "array<double>"}
     blank = [none(ty).alias(c) for c, ty in looks.items()]
@@ -262,41 +439,22 @@ def track_multi(
     firsts = cut.where(start.isNotNull()).select(*keys, "frame_index", F.lit(True).alias("_opens")).distinct()
     pieces = cut.join(firsts, [*keys, "frame_index"], "left")
     pieces = pieces.withColumn("_piece", F.when(F.col("_opens"), F.col("frame_index")).otherwise(F.col("_piece"))).where("_piece IS NOT NULL")
-    group = [*keys, "_piece"]
-    slim = pieces.select(*group, "frame_index", *columns).repartition(*group).sortWithinPartitions(*group, *order)
-    types = dict(slim.dtypes)
-    ddl = ", ".join(f"{c} {types[c]}" for c in [*group, "frame_index"]) + ", " + OUT_DDL + ", _born bigint"
-    width = len(group)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, stream, pending = None, Stream(), []
-
-        def finish(out):
-            stream.advance(*frame_arrays(pending), o)
-            out.extend((*current, *s, stream.born) for s in stream.states(o))
-
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False, name=None):
-                at = row[: width + 1]
-                if at != current:
-                    if current is not None:
-                        finish(out)
-                        if at[:width] != current[:width]:
-                            stream = Stream()
-                    current, pending = at, []
-                if row[width + 1] >= 0:
-                    pending.append((row[width + 1], *row[width + 3 :]))
-            if out:
-                yield pd.DataFrame(out, columns=[*group, "frame_index", *OUT_COLUMNS, "_born"])
-        if current is not None:
-            out = []
-            finish(out)
-            yield pd.DataFrame(out, columns=[*group, "frame_index", *OUT_COLUMNS, "_born"])
-
-    # used twice below; the tracker itself must run once
-    states = cut_lineage(slim.mapInPandas(run, ddl))
-    totals = states.groupBy(*group).agg(F.max("_born").alias("_n"))
-    base = running(totals, keys, ["_piece"], {"_base": ("sum", F.col("_n"), False)}, **ordered)
-    renumbered = states.join(base.select(*group, "_base"), group)
-    return renumbered.withColumn("track_id", F.col("track_id") + F.coalesce("_base", F.lit(0))).drop("_piece", "_born", "_base")
+    piece = [*keys, "_piece"]
+    base = pieces.select(*piece, "_frame", "frame_index", *columns)
+    busy = None
+    if ordered["size"] > busy_rows:
+        base = stored_table(base)
+        # fewer than rows / busy_rows pieces can pass this filter, so the table is small
+        busy = base.groupBy(*piece).count().where(F.col("count") > busy_rows).select(*piece)
+        busy = stored_table(busy)
+    group = [*piece, "_part"]
+    whole = base if busy is None else base.join(F.broadcast(busy), piece, "left_anti")
+    states = _walk(whole.withColumn("_part", F.lit(0).cast("bigint")), group, o, watch=False).drop("_x1", "_y1", "_x2", "_y2")
+    if busy is not None and not busy.isEmpty():
+        crowded = base.join(F.broadcast(busy), piece, "left_semi")
+        states = states.unionByName(_apart(crowded, piece, o, cell or 2 * o.aux_radius))
+    tracks = states.groupBy(*group, "track_id", "_born_at", "_born_no").agg(F.count("*").alias("_n"))
+    tracks = stored_table(tracks)
+    ids = number_rows(tracks, keys, ["_born_at", "_born_no", "_piece", "_part", "track_id"], "_id", **ordered)
+    named = states.join(ids.select(*group, "track_id", "_id"), [*group, "track_id"])
+    return named.withColumn("track_id", F.col("_id")).select(*keys, "frame_index", *OUT_COLUMNS)

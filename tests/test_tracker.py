@@ -94,6 +94,37 @@ def test_pieces_equal_one_pass(spark):
     assert sorted(map(str, map(key, sliced.collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("cell", [30.0, 240.0])
+def test_busy_scene_cut_in_space_equals_one_pass(spark, cell):
+    """Objects that keep apart, that meet in the end and that points pull over; a third of all rows in one stream."""
+    from gridlark.operators.tracker import Stream, frame_arrays
+
+    rng = random.Random(int(cell))
+    o = TrackerOptions(dt=1.0, max_age=4, aux_radius=60.0)
+    det, pts = [], []
+    for s, n in ((1, 5), (2, 2)):
+        for d in range(n):
+            for f in range(40):
+                far = 500 * d - (12 * f if d == 3 else 0)  # the fourth runs into the third
+                if rng.random() < 0.7 and not 20 < f < 20 + 3 * d:
+                    x, y = far + rng.uniform(-3, 3), 40 * d + rng.uniform(-3, 3)
+                    det.append((s, f, d, x, y, x + 20, y + 20, rng.choice([0.9, 0.6, 0.3]), rng.choice(["p", None])))
+                if rng.random() < 0.2:
+                    pts.append((s, f, d, far + rng.uniform(-70, 70), 40.0 * d))
+    want = []
+    for s in (1, 2):
+        stream = Stream()
+        for f in range(40):
+            now = sorted((r for r in det if r[0] == s and r[1] == f), key=lambda r: r[2])
+            spots = sorted((r for r in pts if r[0] == s and r[1] == f), key=lambda r: r[2])
+            rows = [(0, *r[3:8], None, r[8], None) for r in now] + [(1, r[3], r[4]) for r in spots]
+            stream.advance(*frame_arrays(rows), o)
+            want.extend((s, f, t[0], t[8], t[9], t[10], t[11], round(t[1], 9), round(t[2], 9)) for t in stream.states(o))
+    points = spark.createDataFrame(pts, "stream_id bigint, frame_index bigint, point_no bigint, x double, y double")
+    got = track_multi(frames_of(spark, 40, (1, 2)), spark.createDataFrame(det, DET).repartition(3), ["stream_id"], points, o, busy_rows=50, cell=cell)
+    assert sorted(map(str, map(key, got.collect()))) == sorted(map(str, want))
+
+
 def test_live_equals_batch(spark, tmp_path):
     from gridlark.streaming import live
 
