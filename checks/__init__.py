@@ -29,6 +29,7 @@ def load_all() -> None:
     from checks import (  # noqa: F401
         aggregates,
         boxes,
+        hooks,
         joins,
         labels,
         sampling,

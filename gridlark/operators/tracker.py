@@ -39,7 +39,8 @@ class TrackerOptions:
 
 
 # columns of the live-track matrix
-X, Y, VX, VY, P00, P01, P11, WID, HEI, HITS, AGE, TSU, ID, FROM = range(14)
+WIDTH = 14
+X, Y, VX, VY, P00, P01, P11, WID, HEI, HITS, AGE, TSU, ID, FROM = range(WIDTH)
 OUT_COLUMNS = ["track_id", "x", "y", "vx", "vy", "w", "h", "class_name", "name", "hits", "age", "time_since_update", "confirmed"]
 OUT_DDL = (
     "track_id bigint, x double, y double, vx double, vy double, w double, h double, class_name string, name string, "
@@ -54,7 +55,7 @@ class Stream:
     A look is [class name, gallery name or None, appearance vector or None].
     """
 
-    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 14)))
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, WIDTH)))
     looks: list = field(default_factory=list)
     born: int = 0
     #: where the last frame's tracks could have met anything, if that is asked for
@@ -143,7 +144,7 @@ class Stream:
             self.looks[t] = blend(self.looks[t], looks[j])
         if len(births):
             x1, y1, x2, y2 = boxes[births].T
-            new = np.zeros((len(births), 14))
+            new = np.zeros((len(births), WIDTH))
             new[:, X], new[:, Y] = (x1 + x2) / 2, (y1 + y2) / 2
             new[:, P00], new[:, P11], new[:, HITS] = o.meas_var, 100.0, 1
             new[:, WID], new[:, HEI] = np.maximum(4.0, x2 - x1), np.maximum(4.0, y2 - y1)

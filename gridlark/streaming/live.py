@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gridlark.operators.tracker import OUT_COLUMNS, OUT_DDL, Stream, TrackerOptions, frame_arrays
+from gridlark.operators.tracker import OUT_COLUMNS, OUT_DDL, WIDTH, Stream, TrackerOptions, frame_arrays
 from gridlark.session import ensure_checkpoint_dir
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -152,7 +152,7 @@ class TrackProcessor(StatefulProcessor):
         if self.tracks.exists():
             body = json.loads(self.tracks.get()[0])
             looks = [[c, n, None if v is None else np.array(v)] for c, n, v in body["looks"]]
-            stream = Stream(np.array(body["rows"], dtype=float).reshape(-1, 13), looks, body["born"])
+            stream = Stream(np.array(body["rows"], dtype=float).reshape(-1, WIDTH), looks, body["born"])
         out = []
         for frame in sorted({r[1] for r in ready}):
             rows = [(r[2], *r[4:]) for r in ready if r[1] == frame and r[2] >= 0]
