@@ -337,3 +337,15 @@ WHERE took AND greatest(la.ts[i - 1], lb.ts[j - 1]) <= (SELECT max(us) // 1000 -
 """)
 def _(t):
     return live.run_pairs(t.spark, t.dir, "events.parquet", tol_us=_LIVE_TOL)
+
+
+_ALL_TOL = 120_000_000
+
+
+@check("stream_all_pairs", f"""
+WITH e AS (SELECT event_type, epoch_us(ts) AS us, event_id AS seq FROM events)
+SELECT a.seq AS a_seq, b.seq AS b_seq, b.us - a.us AS delta_us FROM e a JOIN e b ON a.event_type = 'view' AND b.event_type = 'click' AND abs(a.us - b.us) <= {_ALL_TOL}
+""")
+def _(t):
+    pairs = live.run_all_pairs(t.spark, t.dir, "events.parquet", tol_us=_ALL_TOL)
+    return pairs.select(F.col("seq").alias("a_seq"), F.col("r_seq").alias("b_seq"), (F.unix_micros("r_ts") - F.unix_micros("ts")).alias("delta_us"))

@@ -10,7 +10,7 @@ import json
 import os
 import uuid
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -115,6 +115,27 @@ def live_pairs(events: DataFrame, key: str, tol_us: int, delay: str) -> DataFram
     )
 
 
+def live_all_pairs(left: DataFrame, right: DataFrame, ts: str, tol_us: int, delay: str, keys: Sequence[str] = (), prefix: str = "r_") -> DataFrame:
+    """All pairs of two streams with ``|left.ts - right.ts| <= tol_us``, as `interval_pairs` gives for tables.
+
+    Rows meet on `keys` and a time bucket as wide as the tolerance, so a hot key is spread
+    over its buckets. Both sides have a watermark and the join bounds one side's time by
+    the other's, so a row is kept for the tolerance and the delay and then forgotten.
+    Null times and keys pair with nothing; columns of `right` but keys get `prefix`.
+    """
+    width = max(1, tol_us)
+    bucket = F.floor(F.unix_micros(ts) / width)
+    lhs = left.withWatermark(ts, delay).withColumn("_b", bucket)
+    rhs = right.withWatermark(ts, delay).withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    rhs = rhs.select(*[F.col(c).alias(f"_k_{c}" if c in keys else "_rb" if c == "_b" else prefix + c) for c in rhs.columns])
+    span = f"INTERVAL '{tol_us // 1_000_000}.{tol_us % 1_000_000:06d}' SECOND"
+    same = F.col("_b") == F.col("_rb")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
+    near = F.expr(f"`{prefix}{ts}` >= `{ts}` - {span} AND `{prefix}{ts}` <= `{ts}` + {span}")
+    return lhs.join(rhs, same & near).drop("_b", "_rb", *[f"_k_{k}" for k in keys])
+
+
 class TrackProcessor(StatefulProcessor):
     """Multi-object tracker of one stream; frames are taken once the watermark passes them."""
 
@@ -205,3 +226,13 @@ def run_pairs(spark: SparkSession, folder: str, pattern: str, tol_us: int, delay
         "user_id", "ts", F.when(F.col("event_type") == "view", "a").otherwise("b").alias("side"), F.col("event_id").alias("seq")
     )
     return drain(live_pairs(sides, "user_id", tol_us, delay))
+
+
+def run_all_pairs(spark: SparkSession, folder: str, pattern: str, tol_us: int, delay: str = "10 minutes") -> DataFrame:
+    use_state_store(spark)
+
+    def side(kind: str) -> DataFrame:
+        events = _utc(read_stream(spark, folder, pattern)).where(F.col("event_type") == kind)
+        return events.select("ts", F.col("event_id").alias("seq"))
+
+    return drain(live_all_pairs(side("view"), side("click"), "ts", tol_us, delay))

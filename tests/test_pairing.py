@@ -181,3 +181,33 @@ def test_overlap_pairs_at_any_box_size(spark, scale):
     meet = lambda a, b: min(a[4], b[4]) > max(a[2], b[2]) and min(a[5], b[5]) > max(a[3], b[3])
     want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and None not in a and None not in b and meet(a, b)}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_live_all_pairs_equal_interval_pairs(spark, tmp_path):
+    """Three batches, one key with most rows, ties, null times and keys; state ends with the watermark."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from gridlark.operators.pairing import interval_pairs
+    from gridlark.streaming import live
+
+    live.use_state_store(spark)
+    rng = random.Random(2)
+    rows = []
+    for n in range(600):
+        at = 1_700_000_000_000_000 + n * 500_000 + rng.randrange(0, 3) * 250_000
+        rows.append((rng.choice(["hot", "hot", "hot", "x", None]), rng.choice("ab"), None if n % 60 == 7 else at, n))
+    table = spark.createDataFrame(rows, "k string, side string, us long, seq long").withColumn("ts", F.timestamp_micros("us"))
+    folder = str(tmp_path / "rows")
+    for lo, hi in ((0, 200), (200, 400), (400, 600)):
+        table.where(f"seq >= {lo} AND seq < {hi}").coalesce(1).write.mode("append").parquet(folder)
+
+    def side(name):
+        read = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        return read.where(F.col("side") == name).select("k", "ts", "us", "seq")
+
+    got = live.drain(live.live_all_pairs(side("a"), side("b"), "ts", 1_500_000, "5 seconds", ["k"])).select("k", "seq", "r_seq").collect()
+    a, b = (table.where(F.col("side") == n).select("k", "us", "seq") for n in "ab")
+    want = interval_pairs(a, b, "us", 1_500_000, ["k"]).select("k", "seq", "r_seq").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 300
