@@ -57,38 +57,71 @@ def stall_alarms(events: DataFrame, key: str, ts: str, gap: str, delay: str) ->
 class PairProcessor(StatefulProcessor):
     """Coincidence pairing of sides 'a' and 'b' of one key.
 
-    Rows wait in a buffer until the watermark passes them; then they are taken in time
-    order against the queue of the other side.
+    Rows wait in time buckets until the watermark passes them; then they are taken in time
+    order against the queue of the other side. A timer reads the buckets that are due and
+    no others, a new row rewrites its own bucket, and the queue holds what is within the
+    tolerance, so a long delay or a busy key costs no more per row.
     """
 
-    def __init__(self, tol_us: int) -> None:
-        self.tol = tol_us
+    def __init__(self, tol_us: int, bucket_us: int = 60_000_000) -> None:
+        self.tol, self.width = tol_us, bucket_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", "side string, at bigint, seq bigint")
+        self.buckets = handle.getMapState("buckets", "bucket bigint", "body string")
+        #: numbers of the buckets that hold rows
+        self.waiting = handle.getValueState("waiting", "body string")
         self.queue = handle.getListState("queue", "side string, at bigint, seq bigint")
 
+    def _waiting(self) -> list[int]:
+        return json.loads(self.waiting.get()[0]) if self.waiting.exists() else []
+
+    def _rows(self, bucket: int) -> list:
+        return json.loads(self.buckets.getValue((bucket,))[0]) if self.buckets.containsKey((bucket,)) else []
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        added, latest = [], 0
+        added: dict[int, list] = {}
         for pdf in rows:
-            added.extend(zip(pdf["side"], pdf["at"].astype(int), pdf["seq"].astype(int)))
+            for s, a, q in zip(pdf["side"], pdf["at"].astype(int), pdf["seq"].astype(int)):
+                added.setdefault(int(a) // self.width, []).append([s, int(a), int(q)])
         if added:
-            self.buffer.appendList([(s, int(a), int(q)) for s, a, q in added])
-            latest = max(a for _, a, _ in added)
-            self.handle.registerTimer(latest // 1000 + 1)
+            for bucket, new in added.items():
+                self.buckets.updateValue((bucket,), (json.dumps(self._rows(bucket) + new),))
+            self.waiting.update((json.dumps(sorted({*self._waiting(), *added})),))
+            times = [r[1] for new in added.values() for r in new]
             # also wake as soon as the watermark moves at all
-            self.handle.registerTimer(min(a for _, a, _ in added) // 1000 + 1)
+            for at in (max(times), min(times)):
+                self.handle.registerTimer(at // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(((s, a, q) for s, a, q in self.buffer.get()), key=lambda r: (r[1], r[0], r[2]))
-        ready = [r for r in waiting if r[1] <= upto]
-        later = [r for r in waiting if r[1] > upto]
+        ready, left, soonest = [], [], None
+        for bucket in self._waiting():
+            if bucket * self.width > upto:
+                left.append(bucket)
+                continue
+            rows = self._rows(bucket)
+            later = [r for r in rows if r[1] > upto]
+            ready += [tuple(r) for r in rows if r[1] <= upto]
+            if later:
+                left.append(bucket)
+                soonest = min(r[1] for r in later)
+                self.buckets.updateValue((bucket,), (json.dumps(later),))
+            else:
+                self.buckets.removeKey((bucket,))
+        if ready or not left:
+            self.waiting.update((json.dumps(left),)) if left else self.waiting.clear()
+        if left and soonest is None:
+            soonest = min(r[1] for r in self._rows(min(left)))
+        if soonest is not None:
+            self.handle.registerTimer(soonest // 1000 + 1)
+        if not ready:
+            yield pd.DataFrame([], columns=["a_seq", "b_seq", "a_us", "b_us"])
+            return
         queue = deque(tuple(r) for r in self.queue.get()) if self.queue.exists() else deque()
         out = []
-        for side, at, seq in ready:
+        for side, at, seq in sorted(ready, key=lambda r: (r[1], r[0], r[2])):
             while queue and queue[0][1] < at - self.tol:
                 queue.popleft()
             if queue and queue[0][0] != side:
@@ -97,10 +130,7 @@ class PairProcessor(StatefulProcessor):
                 out.append((int(a[1]), int(b[1]), int(a[0]), int(b[0])))
             else:
                 queue.append((side, at, seq))
-        self.buffer.put(later) if later else self.buffer.clear()
         self.queue.put(list(queue)) if queue else self.queue.clear()
-        if later:
-            self.handle.registerTimer(later[0][1] // 1000 + 1)
         yield pd.DataFrame(out, columns=["a_seq", "b_seq", "a_us", "b_us"])
 
     def close(self) -> None:
