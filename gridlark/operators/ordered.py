@@ -14,7 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridlark.session import cut_lineage
+
 HOT_ROWS = 2_000_000
+#: Beyond this many slices, slices grow instead; each is sorted by one task, which may spill.
+MOST_SLICES = 4096
+
 
 def largest_group(df: DataFrame, part: Sequence[str]) -> int:
     """Size of the biggest group now; one narrow scan.
@@ -28,46 +33,6 @@ def largest_group(df: DataFrame, part: Sequence[str]) -> int:
     return int(row[0] or 0)
 
 
-def _sortable(df: DataFrame, name: str) -> tuple[Column, str]:
-    """The column, or text in the same order where a literal would depend on the zone."""
-    kind = dict(df.dtypes)[name]
-    if kind.startswith(("timestamp", "date")):
-        return F.col(name).cast("string"), "string"
-    return F.col(name), kind
-
-
-def slice_bounds(df: DataFrame, order: Sequence[str], pieces: int, total: int) -> list:
-    """About `pieces` ordered boundary tuples from a sample of 50 rows each."""
-    names = [f"k{i}" for i in range(len(order))]
-    keys = df.select(*[_sortable(df, c)[0].alias(n) for c, n in zip(order, names)])
-    wanted = 50 * pieces
-    if total > wanted:
-        keys = keys.sample(min(1.0, 1.2 * wanted / total), seed=17)
-    rows = sorted((tuple(r) for r in keys.collect()), key=lambda r: tuple((v is not None, v) for v in r))
-    step = max(1, len(rows) // pieces)
-    return list(dict.fromkeys(rows[step::step]))
-
-
-def slice_index(df: DataFrame, order: Sequence[str], bounds: list) -> Column:
-    """Number of boundaries at or below the row's order key: a monotone slice id."""
-    if not bounds:
-        return F.lit(0)
-    cols = [_sortable(df, c) for c in order]
-    probe = F.struct(*[c.alias(f"k{i}") for i, (c, _) in enumerate(cols)])
-
-    def literal(bound: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(kind).alias(f"k{i}") for i, ((_, kind), v) in enumerate(zip(cols, bound))])
-
-    # two levels keep the cost per row near twice the root of the slice count
-    width = max(1, int(len(bounds) ** 0.5))
-    expr = F.lit(0)
-    for start in range(0, len(bounds), width):
-        group = bounds[start : start + width]
-        inside = F.lit(start) + F.size(F.filter(F.array(*[literal(b) for b in group]), lambda b: b <= probe))
-        expr = F.when(probe >= literal(group[0]), inside).otherwise(expr)
-    return expr.cast("int")
-
-
 _COMBINE = {
     "sum": lambda carry, own: F.when(carry.isNull(), own).otherwise(F.when(own.isNull(), carry).otherwise(carry + own)),
     "max": lambda carry, own: F.greatest(carry, own),
@@ -82,6 +47,15 @@ _WINDOW = {
 }
 
 
+def _frame(window, inclusive: bool):
+    return window.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+
+
+def _windowed(df: DataFrame, part: list[str], order: list[str], specs: dict[str, tuple]) -> DataFrame:
+    base = (W.partitionBy(*part) if part else W.partitionBy()).orderBy(*order)
+    return df.withColumns({n: _WINDOW[kind](expr).over(_frame(base, inc)) for n, (kind, expr, inc) in specs.items()})
+
+
 def running(
     df: DataFrame,
     part: Sequence[str],
@@ -100,31 +74,26 @@ def running(
     if size is None or size > hot_rows:
         size = largest_group(df, part)
 
-    def frame(window, inclusive):
-        return window.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-
     if size <= hot_rows:
-        base = (W.partitionBy(*part) if part else W.partitionBy()).orderBy(*order)
-        return df.withColumns(
-            {n: _WINDOW[kind](expr).over(frame(base, inc)) for n, (kind, expr, inc) in specs.items()}
-        )
-
+        return _windowed(df, part, order, specs)
+    line = [*part, *order]
     if part:
         # fewer than rows / hot_rows groups can pass this filter, so the table is small
-        hot = df.groupBy(*part).count().where(F.col("count") > hot_rows).select(*part, F.lit(True).alias("_hot"))
-        marked = df.join(F.broadcast(hot), part, "left")
-        hot_part = marked.where("_hot")
+        hot = df.groupBy(*part).count().where(F.col("count") > hot_rows)
+        hot = cut_lineage(hot.toDF(*[f"_h_{c}" for c in part], "_h"))
+        total = hot.agg(F.sum("_h")).first()[0] or 0
+        match = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in part]
+        cold, large = (df.join(F.broadcast(hot), match, how) for how in ("left_anti", "left_semi"))
+        done = _windowed(cold, part, order, specs)
     else:
-        marked = df.withColumn("_hot", F.lit(True))
-        hot_part = marked
-    total = hot_part.count()
-    pieces = max(2, 4 * (total // hot_rows + 1))
-    line = [*part, *order]
-    bounds = slice_bounds(hot_part, line, pieces, total)
-    marked = marked.withColumn("_slice", F.when(F.col("_hot"), slice_index(df, line, bounds)).otherwise(F.lit(-1)))
+        total, large, done = size, df, None
+    # the sort's own sample finds the bounds; a slice is a task of it
+    pieces = min(MOST_SLICES, max(2, 4 * (total // hot_rows + 1)))
+    ranged = large.repartitionByRange(pieces, *line)
+    marked = cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
 
     order_key = F.struct(*order)
-    totals = marked.where(F.col("_hot")).groupBy(*part, "_slice").agg(
+    totals = marked.groupBy(*part, "_slice").agg(
         *[
             (
                 F.max_by(expr, F.when(expr.isNotNull(), order_key))
@@ -137,17 +106,19 @@ def running(
     # slices run through the groups in order, so there are at most pieces + hot groups of these
     before = (W.partitionBy(*part) if part else W.partitionBy()).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
-        *part, "_slice", *[_WINDOW[kind](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (kind, _, _) in specs.items()]
+        *[F.col(c).alias(f"_h_{c}") for c in (*part, "_slice")],
+        *[_WINDOW[kind](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (kind, _, _) in specs.items()],
     )
-    keyed = marked.join(F.broadcast(carried), [*part, "_slice"], "left")
+    same = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in (*part, "_slice")]
+    keyed = marked.join(F.broadcast(carried), same, "left")
     inner = W.partitionBy(*part, "_slice").orderBy(*order)
     out = keyed.withColumns(
         {
-            n: _COMBINE[kind](F.col(f"_c_{n}"), _WINDOW[kind](expr).over(frame(inner, inc)))
+            n: _COMBINE[kind](F.col(f"_c_{n}"), _WINDOW[kind](expr).over(_frame(inner, inc)))
             for n, (kind, expr, inc) in specs.items()
         }
-    )
-    return out.select(*df.columns, *specs)
+    ).select(*df.columns, *specs)
+    return out if done is None else done.select(*df.columns, *specs).union(out)
 
 
 def number_rows(

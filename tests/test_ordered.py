@@ -74,3 +74,21 @@ def test_percentiles_without_keys(rows):
     one = metrics.exact_percentiles(df, [], "x", {"p": 0.37}).first().p
     two = metrics.exact_percentiles(df, [], "x", {"p": 0.37}, hot_rows=10, accuracy=100).first().p
     assert one == pytest.approx(two)
+
+
+def test_plan_does_not_grow_with_slices(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("i"), (F.col("id") % 3).alias("v"))
+    sizes = []
+    for hot in (5_000, 200):
+        out = ordered.running(df, [], ["i"], {"s": ("sum", F.col("v"), True)}, hot_rows=hot)
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        assert [r.s for r in out.orderBy("i").select("s").collect()][-1] == df.agg(F.sum("v")).first()[0]
+    assert sizes[1] < 1.1 * sizes[0]
+
+
+def test_null_groups(spark):
+    rows = [(None if k % 2 else "a", k, 1) for k in range(60)] + [("b", 1, 1)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    for hot in (1000, 10):
+        got = {(r.k, r.i): r.n for r in ordered.number_rows(df, ["k"], ["i"], "n", hot_rows=hot).collect()}
+        assert got == {("b", 1): 1, **{(None if k % 2 else "a", k): k // 2 + 1 for k in range(60)}}
