@@ -9,63 +9,111 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridlark.operators.ordered import HOT_ROWS, largest_group
+from gridlark.session import stored_table
+
+
+FEW = 10_000  # values of a bracket that are sorted as they are
+_PIVOTS = 63
+
+
+def _beside(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what a small table says about their group; null groups are groups."""
+    named = small.toDF(*[f"_h_{c}" if c in keys else c for c in small.columns])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    return rows.join(F.broadcast(named), same).drop(*[f"_h_{c}" for c in keys])
+
+
+def _selected(rows: DataFrame, keys: list[str], targets: DataFrame, few: int, accuracy: int) -> DataFrame:
+    """``(keys, _name, _value)``: the value of rank `_k` (from 0) among each group's `_v`.
+
+    Every target has a bracket of values. A round takes pivots of the values inside from a
+    mergeable sketch, counts the values between and at them exactly and goes on with the
+    cell that holds the rank. Pivots are values of the bracket and have cells of their
+    own, so each round makes it smaller whatever the sketch says; a cell of one value is
+    the answer, and a cell of `few` rows is sorted. Nothing but counts is shuffled before.
+    """
+    group = [*keys, "_name"]
+    done = None
+    while True:
+        packed = targets.groupBy(*keys).agg(F.collect_list(F.struct("_name", "_k", "_lo", "_hi", "_below", "_in")).alias("_t"))
+        inside = _beside(rows, packed, keys).select(*keys, "_v", F.explode("_t").alias("_t")).select(*keys, "_v", "_t.*")
+        inside = inside.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        small = inside.where(F.col("_in") <= few).groupBy(*group, "_k", "_below").agg(F.array_sort(F.collect_list("_v")).alias("_vs"))
+        found = small.select(*group, F.get("_vs", (F.col("_k") - F.col("_below")).cast("int")).alias("_value"))
+        done = found if done is None else done.union(found)
+        large = targets.where(F.col("_in") > few)
+        if large.isEmpty():
+            return done
+        wide = inside.where(F.col("_in") > few)
+        marks = F.array(*[F.lit(i / (_PIVOTS + 1)) for i in range(1, _PIVOTS + 1)])
+        pivots = stored_table(wide.groupBy(*group).agg(F.array_distinct(F.percentile_approx("_v", marks, accuracy)).alias("_p")))
+        cut = _beside(wide, pivots, group)
+        upto = F.size(F.filter("_p", lambda p: p <= F.col("_v")))
+        at = F.when((upto > 0) & (F.get("_p", upto - 1) == F.col("_v")), 2 * upto - 1).otherwise(2 * upto)
+        cells = cut.groupBy(*group, "_k", "_below", at.alias("_cell")).agg(F.count("*").alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        # at most 127 cells per target
+        line = W.partitionBy(*group).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+        counted = cells.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_in").over(line), F.lit(0)))
+        held = counted.where((F.col("_k") >= F.col("_below")) & (F.col("_k") < F.col("_below") + F.col("_in")))
+        held = stored_table(held.select(*group, "_k", "_lo", "_hi", "_below", "_in"))
+        done = done.union(held.where("_lo = _hi").select(*group, F.col("_lo").alias("_value")))
+        targets = held.where("_lo < _hi")
+        if targets.isEmpty():
+            return done
 
 
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float],
-    hot_rows: int = HOT_ROWS, accuracy: int = 100_000,
+    hot_rows: int = HOT_ROWS, accuracy: int = 10_000, few: int = FEW,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per entry of `shares`.
 
-    Groups of bounded size use the built-in exact aggregate. Larger ones are done in
-    two mergeable passes: a sketch brackets each wanted rank, then the rows below the
-    bracket are counted and only the narrow bracket itself is ranked.
+    Groups of bounded size use the built-in exact aggregate. In larger ones the two values
+    around each rank are selected by counting, see `_selected`. Null values do not count;
+    a group without values has null percentiles.
     """
     keys = list(keys)
     if largest_group(df, keys) <= hot_rows:
-        got = F.percentile(value, F.array(*[F.lit(q) for q in shares.values()]))
-        out = df.groupBy(*keys).agg(got.alias("_p"))
-        return out.select(*keys, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(shares)])
-
-    slack = 20.0 / accuracy
-    ranks = [q for s in shares.values() for q in (max(0.0, s - slack), min(1.0, s + slack))]
-    sketch = df.groupBy(*keys).agg(
-        F.count(value).alias("_n"), F.percentile_approx(value, ranks, accuracy).alias("_s"),
-        F.min(value).alias("_min"), F.max(value).alias("_max"),
-    )
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"), F.lit(q).alias("q"),
-                (F.col("_min") if q <= slack else F.get("_s", F.lit(2 * i))).cast("double").alias("lo"),
-                (F.col("_max") if q >= 1 - slack else F.get("_s", F.lit(2 * i + 1))).cast("double").alias("hi"),
-            )
-            for i, (name, q) in enumerate(shares.items())
-        ]
-    )
-    wanted = sketch.select(*keys, "_n", F.explode(brackets).alias("_w")).select(*keys, "_n", "_w.*")
-    packed = wanted.groupBy(*keys).agg(F.collect_list(F.struct("name", "q", "lo", "hi", "_n")).alias("_ws"))
+        return _built_in(df, keys, value, shares)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    # fewer than rows / hot_rows groups can pass this filter, so the table is small
+    hot = stored_table(sizes.where(F.col("_rows") > hot_rows))
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    if keys:
-        placed = rows.join(packed, keys)
-    else:
-        placed = rows.withColumn("_one", F.lit(0)).join(F.broadcast(packed.withColumn("_one", F.lit(0))), "_one").drop("_one")
-    hits = placed.withColumn("_w", F.explode("_ws")).where(F.col("_v") <= F.col("_w.hi"))
-    # everything under the bracket collapses to one counted row before the shuffle
-    level = F.when(F.col("_v") >= F.col("_w.lo"), F.col("_v"))
-    counted = hits.groupBy(*keys, "_w", level.alias("_v")).count()
-    order = W.partitionBy(*keys, "_w.name").orderBy(F.col("_v").asc_nulls_first())
-    cum = counted.withColumn("_upto", F.sum("count").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    pos = F.col("_w.q") * (F.col("_w._n") - 1)
-    at = lambda k: F.min(F.when(F.col("_v").isNotNull() & (F.col("_upto") > k), F.col("_v")))
-    low_ok = F.max(F.when(F.col("_v").isNull(), F.col("_upto")).otherwise(F.lit(0))) <= F.floor(F.first(pos))
-    per = cum.groupBy(*keys, F.col("_w.name").alias("_name")).agg(
-        at(F.floor(pos)).alias("_a"), at(F.ceil(pos)).alias("_b"), F.first(pos - F.floor(pos)).alias("_f"), low_ok.alias("_ok")
-    )
-    exact = F.when(F.col("_ok") & F.col("_b").isNotNull(), F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
-    checked = F.coalesce(exact, F.raise_error("percentile bracket missed its rank; raise accuracy").cast("double"))
-    done = per.select(*keys, "_name", checked.alias("_value"))
-    return done.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in shares])
+    wanted = F.array(*[
+        F.struct(F.lit(f"{name} {side}").alias("_name"), rule(F.lit(q) * (F.col("_n") - 1)).cast("bigint").alias("_k"))
+        for name, q in shares.items() for side, rule in (("a", F.floor), ("b", F.ceil))
+    ])
+    bounds = [F.col("_lo").cast("double").alias("_lo"), F.col("_hi").cast("double").alias("_hi"), F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_in")]
+    targets = hot.where("_n > 0").select(*keys, F.explode(wanted).alias("_w"), *bounds)
+    targets = targets.select(*keys, "_w.*", "_lo", "_hi", "_below", "_in")
+    found = stored_table(_selected(rows, keys, targets, few, accuracy))
+    values = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == f"{n} {x}", F.col("_value"))).alias(f"_{x}_{n}") for n in shares for x in "ab"])
+    named = values.toDF(*[f"_h_{c}" if c in keys else c for c in values.columns])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    both = hot.join(F.broadcast(named), same, "left")
+
+    def between(name: str, q: float):
+        at = F.lit(q) * (F.col("_n") - 1)
+        return F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * (at - F.floor(at))
+
+    out = both.select(*keys, *[between(n, q).alias(n) for n, q in shares.items()])
+    if not keys:
+        return out
+    match = F.lit(True)
+    crowd = hot.select(*[F.col(c).alias(f"_h_{c}") for c in keys])
+    for c in keys:
+        match = match & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    return out.unionByName(_built_in(df.join(F.broadcast(crowd), match, "left_anti"), keys, value, shares))
+
+
+def _built_in(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    got = F.percentile(value, F.array(*[F.lit(q) for q in shares.values()]))
+    out = df.groupBy(*keys).agg(got.alias("_p"))
+    return out.select(*keys, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(shares)])
 
 
 def latency_summary(df: DataFrame, keys: Sequence[str], value: str, **options) -> DataFrame:

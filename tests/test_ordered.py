@@ -57,22 +57,24 @@ def test_islands(spark):
         assert got == {1: 0, 2: 0, 3: 0, 4: 10, 5: 10}
 
 
-@pytest.mark.parametrize("accuracy", [50, 1000])
-def test_percentiles_by_sketch_equal_plain(rows, accuracy):
+@pytest.mark.parametrize("accuracy,few", [(5, 3), (1000, 40), (10_000, 10_000)])
+def test_percentiles_by_selection_equal_plain(rows, accuracy, few):
+    """However bad the sketch is, the rank is found; one group is null and one has no values."""
     df = rows.withColumn("x", F.col("a") + F.coalesce("v", F.lit(0)) / 7)
+    df = df.withColumn("k", F.when(F.col("k") != "k1", F.col("k"))).withColumn("x", F.when(F.col("k") != "k2", F.col("x")))
     shares = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}
     plain = {r.k: r for r in metrics.exact_percentiles(df, ["k"], "x", shares).collect()}
-    cut = {r.k: r for r in metrics.exact_percentiles(df, ["k"], "x", shares, hot_rows=10, accuracy=accuracy).collect()}
-    assert plain.keys() == cut.keys()
+    cut = {r.k: r for r in metrics.exact_percentiles(df, ["k"], "x", shares, hot_rows=50, accuracy=accuracy, few=few).collect()}
+    assert plain.keys() == cut.keys() and None in plain
     for k in plain:
         for name in shares:
-            assert plain[k][name] == pytest.approx(cut[k][name], abs=1e-12)
+            assert plain[k][name] == pytest.approx(cut[k][name], abs=1e-12) if plain[k][name] is not None else cut[k][name] is None
 
 
 def test_percentiles_without_keys(rows):
     df = rows.select(F.col("a").cast("double").alias("x"))
     one = metrics.exact_percentiles(df, [], "x", {"p": 0.37}).first().p
-    two = metrics.exact_percentiles(df, [], "x", {"p": 0.37}, hot_rows=10, accuracy=100).first().p
+    two = metrics.exact_percentiles(df, [], "x", {"p": 0.37}, hot_rows=10, accuracy=100, few=5).first().p
     assert one == pytest.approx(two)
 
 
