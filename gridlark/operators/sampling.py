@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.operators.ordered import largest_group, number_rows, running
-from gridlark.session import cut_lineage
+from gridlark.session import cut_lineage, drop_table, stored_table
 
 
 def every_nth(df: DataFrame, index: str, stride: int) -> DataFrame:
@@ -126,71 +126,158 @@ def union_sources(sources: dict[str, DataFrame], stem: str) -> DataFrame:
     return out
 
 
+#: Fractional sizes are counted in such parts, so that sums do not depend on their order.
+PARTS = 1_000_000
+
+
 def chunk_by_size(
-    items: DataFrame, key: str, order: Sequence[str], size: str, limit: float, block_rows: int = 200_000, **options
+    items: DataFrame, key: str, order: Sequence[str], size: str, limit: float, block_rows: int = 200_000, fan: int = 16, **options
 ) -> DataFrame:
     """Pack each group's items in order; a chunk closes with the item that reaches `limit`.
 
     A chunk that starts after a running total B closes at the first total of at least
-    B + limit, so all that passes along the line is the next closing mark. The line is
-    cut into blocks. Each block lists, for every item that could close the first chunk
-    inside it, the mark it hands on; the short lists are chained; then each block marks
-    its closing items. A block's list covers one chunk's worth of items only.
+    B + limit, so all that passes along the line is the next closing mark. Sums are whole
+    numbers: fractional sizes and limits count in millionths; null sizes count as 0 and
+    negative ones raise.
+
+    While a chunk is smaller than a block of about `block_rows` items, the line is cut into
+    blocks. Each lists, for the items that could close the first chunk inside it, the mark
+    it hands on; `fan` neighbours compose to one list of the level above, no longer than
+    the first of them, and the entries come back down the same way. Larger chunks are few;
+    there every item points to the one that would close the next chunk, and the closing
+    items are found by doubling those pointers.
     """
-    stats = items.agg(F.avg(size), F.max(size)).first()
-    mean = float(stats[0] or 1.0) or 1.0
-    width = float(limit) * max(1, round(block_rows * mean / limit))
-    total = running(items, [key], order, {"_sum": ("sum", F.col(size).cast("double"), True), "_pos": ("sum", F.lit(1).cast("bigint"), True)}, **options)
-    placed = total.withColumn("_block", F.floor(F.col("_sum") / width).cast("bigint"))
+    whole = dict(items.dtypes)[size] in ("tinyint", "smallint", "int", "bigint")
+    parts = 1 if whole and float(limit).is_integer() else PARTS
+    units = F.coalesce(F.round(F.col(size) * parts) if parts > 1 else F.col(size), F.lit(0)).cast("bigint")
+    goal = round(limit * parts)
+    if goal <= 0:
+        raise ValueError("a chunk needs a positive limit")
+    checked = F.when(units < 0, F.raise_error("a size is negative").cast("bigint")).otherwise(units)
     options = {**options, "size": largest_group(items, [key])}
-    kind = dict(items.dtypes)[key]
-    slim = placed.select(key, "_block", "_pos", "_sum")
+    total = running(items, [key], order, {"_sum": ("sum", checked, True), "_pos": ("sum", F.lit(1).cast("bigint"), True)}, **options)
+    placed = stored_table(total)
+    slim = placed.select(F.col(key).alias("_key"), "_pos", "_sum")
+    n, most = slim.agg(F.count("*"), F.max("_sum")).first()
+    mean = max(1.0, placed.agg(F.avg(units)).first()[0] or 1.0)
+    if goal <= block_rows * mean:
+        closing = _closing_by_blocks(slim, goal, goal * max(1, int(block_rows * mean / goal)), fan)
+    else:
+        closing = _closing_by_jumps(slim, goal, options)
+    ends = closing.select(F.col("_key").alias("_k"), F.col("_pos").alias("_p"), F.lit(1).cast("bigint").alias("_end"))
+    marked = placed.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_pos") == F.col("_p")), "left")
+    numbered = running(marked, [key], ["_pos"], {"_c": ("sum", F.coalesce("_end", F.lit(0).cast("bigint")), False)}, **options)
+    return numbered.select(*items.columns, F.coalesce("_c", F.lit(0).cast("bigint")).alias("chunk"))
+
+
+def _closing_by_jumps(slim: DataFrame, goal: int, options: dict) -> DataFrame:
+    """``(_key, _pos)`` of closing items: pointers from every item to the next, doubled."""
+    starts = slim.groupBy("_key").agg(F.lit(0).cast("bigint").alias("_pos"), F.lit(goal).cast("bigint").alias("_sum"))
+    asked = slim.withColumn("_sum", F.col("_sum") + goal).unionByName(starts)
+    # from the largest total down, the last item passed is the first one that reaches the mark
+    line = slim.withColumn("_ask", F.lit(0)).unionByName(asked.withColumn("_ask", F.lit(1)))
+    line = line.select("_key", "_pos", "_ask", (-F.col("_sum")).alias("_down"), (-F.col("_pos")).alias("_back"))
+    seen = running(line, ["_key"], ["_down", "_ask", "_back"], {"_next": ("last", F.when(F.col("_ask") == 0, F.col("_pos")), True)}, **{**options, "size": 2 * options["size"] + 1})
+    jump = stored_table(seen.where("_ask = 1 AND _next IS NOT NULL").select("_key", "_pos", "_next"))
+    found = stored_table(jump.where("_pos = 0").select("_key", F.col("_next").alias("_pos")))
+    jump = stored_table(jump.where("_pos > 0"))
+    known = found.count()
+
+    def follow(rows: DataFrame, at: str) -> DataFrame:
+        to = jump.select(F.col("_key").alias("_k"), F.col("_pos").alias("_p"), F.col("_next").alias("_to"))
+        return rows.join(to, F.col("_key").eqNullSafe(F.col("_k")) & (F.col(at) == F.col("_p")))
+
+    while True:
+        more = found.union(follow(found, "_pos").select("_key", F.col("_to").alias("_pos"))).distinct()
+        found, before = stored_table(more), found
+        now = found.count()
+        drop_table(before)
+        if now == known:
+            return found
+        known = now
+        jump, before = stored_table(follow(jump, "_next").select("_key", "_pos", F.col("_to").alias("_next"))), jump
+        drop_table(before)
+
+
+def _composed(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One list ``(at, mark)`` for neighbouring blocks: where a mark leaves that enters at or before `at`.
+
+    A mark that no item of the first block reaches closes at the first item of the next,
+    so one entry of the second list is enough beside the first list.
+    """
+    at, mark = lists[0]
+    if len(lists) > 1:
+        at, mark = np.append(at, lists[1][0][0]), np.append(mark, lists[1][0][0])
+        # an entry of its own block keeps its mark; the borrowed one still has to close there
+    for own, out in lists[1:]:
+        i = np.searchsorted(own, mark, side="left")
+        mark = np.where(i < len(own), out[np.minimum(i, len(own) - 1)], mark)
+    return at, mark
+
+
+def _closing_by_blocks(slim: DataFrame, goal: int, width: int, fan: int) -> DataFrame:
+    """``(_key, _pos)`` of closing items, by blocks of `width` units and levels of blocks."""
+    blocks = slim.withColumn("_block", F.floor(F.col("_sum") / width).cast("bigint"))
+    kind = dict(slim.dtypes)["_key"]
+    listed = f"_key {kind}, _block bigint, _at array<bigint>, _mark array<bigint>"
+
+    def same(pdf: pd.DataFrame, n: int = 1) -> pd.Series:
+        v = pdf["_key"].iloc[0]
+        return pd.Series([None if pd.isna(v) else v] * n, dtype=object)
 
     def hand_over(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
-        totals = pdf["_sum"].to_numpy()
+        totals = pdf["_sum"].to_numpy(np.int64)
         n = len(totals)
-        nxt = np.append(np.searchsorted(totals, totals + limit, side="left"), n)
+        nxt = np.append(np.searchsorted(totals, totals + goal, side="left"), n)
         last = np.arange(n + 1)
         # double the reach until every start has arrived at its last closing item here
-        while True:
-            ahead = nxt[last]
-            if (ahead >= n).all():
-                break
+        while not ((ahead := nxt[last]) >= n).all():
             last = np.where(ahead < n, last[np.minimum(ahead, n)], last)
-        starts = np.flatnonzero(totals < pdf["_block"].iloc[0] * width + limit)
+        starts = np.flatnonzero(totals < pdf["_block"].iloc[0] * width + goal)
         starts = np.append(starts, starts[-1] + 1 if len(starts) else 0)
         starts = starts[starts < n]
-        first = pdf.iloc[0]
-        return pd.DataFrame(
-            {key: first[key], "_block": first["_block"], "_at": totals[starts], "_mark": totals[last[starts]] + limit}
-        )
-
-    lists = slim.groupBy(key, "_block").applyInPandas(hand_over, f"{key} {kind}, _block bigint, _at double, _mark double")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        mark, out = float(limit), []
-        for block, rows in pdf.sort_values(["_block", "_at"]).groupby("_block", sort=True):
-            out.append((pdf[key].iloc[0], block, mark))
-            at = rows["_at"].to_numpy()
-            i = int(np.searchsorted(at, mark, side="left"))
-            if i < len(at):
-                mark = float(rows["_mark"].iloc[i])
-        return pd.DataFrame(out, columns=[key, "_block", "_enter"])
-
-    entries = lists.groupBy(key).applyInPandas(chain, f"{key} {kind}, _block bigint, _enter double")
+        return pd.DataFrame({"_key": same(pdf), "_block": [pdf["_block"].iloc[0]], "_at": [totals[starts]], "_mark": [totals[last[starts]] + goal]})
+
+    def sorted_lists(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values("_block")
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = sorted_lists(pdf)
+        at, mark = _composed([(np.asarray(a), np.asarray(m)) for a, m in zip(pdf["_at"], pdf["_mark"])])
+        return pd.DataFrame({"_key": same(pdf), "_block": [pdf["_g"].iloc[0]], "_at": [at], "_mark": [mark]})
+
+    levels = [stored_table(blocks.groupBy("_key", "_block").applyInPandas(hand_over, listed))]
+    while (levels[-1].agg(F.max("_block")).first()[0] or 0) > 0:
+        above = levels[-1].withColumn("_g", F.floor(F.col("_block") / fan).cast("bigint"))
+        levels.append(stored_table(above.groupBy("_key", "_g").applyInPandas(up, listed)))
+
+    entered = levels[-1].select("_key", "_block", F.lit(goal).cast("bigint").alias("_enter"))
+    for lists in reversed(levels[:-1]):
+
+        def down(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = sorted_lists(pdf)
+            mark, out = int(pdf["_enter"].iloc[0]), []
+            for at, marks in zip(pdf["_at"], pdf["_mark"]):
+                out.append(mark)
+                i = int(np.searchsorted(at, mark, side="left"))
+                mark = int(marks[i]) if i < len(at) else mark
+            return pd.DataFrame({"_key": same(pdf, len(out)), "_block": pdf["_block"].to_numpy(), "_enter": out})
+
+        told = entered.toDF("_k", "_g0", "_enter")
+        both = lists.withColumn("_g", F.floor(F.col("_block") / fan).cast("bigint"))
+        both = both.join(told, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_g") == F.col("_g0"))).drop("_k", "_g0")
+        entered = stored_table(both.groupBy("_key", "_g").applyInPandas(down, f"_key {kind}, _block bigint, _enter bigint"))
 
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
-        totals = pdf["_sum"].to_numpy()
-        mark, hit = float(pdf["_enter"].iloc[0]), []
-        i = int(np.searchsorted(totals, mark, side="left"))
+        totals = pdf["_sum"].to_numpy(np.int64)
+        i, hit = int(np.searchsorted(totals, pdf["_enter"].iloc[0], side="left")), []
         while i < len(totals):
             hit.append(i)
-            i = int(np.searchsorted(totals, totals[i] + limit, side="left"))
-        return pdf.iloc[hit][[key, "_pos"]]
+            i = int(np.searchsorted(totals, totals[i] + goal, side="left"))
+        return pd.DataFrame({"_key": same(pdf, len(hit)), "_pos": pdf["_pos"].to_numpy()[hit]})
 
-    closing = slim.join(entries, [key, "_block"]).groupBy(key, "_block").applyInPandas(close, f"{key} {kind}, _pos bigint")
-    marked = placed.join(closing.withColumn("_end", F.lit(1).cast("bigint")), [key, "_pos"], "left")
-    numbered = running(marked, [key], ["_pos"], {"_c": ("sum", F.coalesce("_end", F.lit(0).cast("bigint")), False)}, **options)
-    return numbered.select(*items.columns, F.coalesce("_c", F.lit(0).cast("bigint")).alias("chunk"))
+    told = entered.toDF("_k", "_b", "_enter")
+    met = blocks.join(told, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b"))).drop("_k", "_b")
+    return met.groupBy("_key", "_block").applyInPandas(close, f"_key {kind}, _pos bigint")

@@ -106,21 +106,37 @@ def test_duty_without_tracker(spark):
     assert [r.reason for r in off] == ["legacy-gate", "legacy-idle"]
 
 
-@pytest.mark.parametrize("block_rows,hot", [(3, 10_000), (50, 40)])
-def test_chunks_equal_walk(spark, block_rows, hot):
+@pytest.mark.parametrize("block_rows,hot,fan", [(3, 10_000, 2), (4, 40, 3), (1, 10_000, 2), (1, 40, 2)])
+def test_chunks_equal_walk(spark, block_rows, hot, fan):
+    """Blocks and levels, pointers (chunks larger than a block), hot groups, a null group, fractions."""
     rng = random.Random(block_rows)
-    data = [(g, i, rng.choice([1, 5, 30, 200, 7, 0])) for g in ("a", "b") for i in range(120)]
-    want = {}
-    for g in ("a", "b"):
-        chunk, held, n = 0, 0, 0
-        for _, i, size in (r for r in data if r[0] == g):
-            if held >= 100 and n > 0:
-                chunk, held, n = chunk + 1, 0, 0
-            held, n = held + size, n + 1
-            want[g, i] = chunk
-    df = spark.createDataFrame(data, "g string, i int, size bigint").repartition(4)
-    got = sampling.chunk_by_size(df, "g", ["i"], "size", 100, block_rows=block_rows, hot_rows=hot)
-    assert {(r.g, r.i): r.chunk for r in got.collect()} == want
+    data = [(g, i, rng.choice([1, 5, 30, 200, 7, 0, None])) for g, n in (("a", 250), ("b", 60), (None, 40)) for i in range(n)]
+
+    def walk(share):
+        want = {}
+        for g in ("a", "b", None):
+            chunk, held = 0, 0
+            for _, i, size in (r for r in data if r[0] == g):
+                if held >= 100:
+                    chunk, held = chunk + 1, 0
+                held += round((size or 0) * share * 10**6) / 10**6 if share != 1 else size or 0
+                held = round(held, 6)
+                want[g, i] = chunk
+        return want
+
+    for share, kind in ((1, "bigint"), (0.1, "double")):
+        df = spark.createDataFrame([(g, i, s if s is None or share == 1 else s * share) for g, i, s in data], f"g string, i int, size {kind}").repartition(4)
+        got = sampling.chunk_by_size(df, "g", ["i"], "size", 100, block_rows=block_rows, fan=fan, hot_rows=hot)
+        assert {(r.g, r.i): r.chunk for r in got.collect()} == walk(share)
+
+
+def test_chunks_of_odd_input(spark):
+    df = spark.createDataFrame([("a", 1, -1.0)], "g string, i int, size double")
+    assert sampling.chunk_by_size(df.limit(0), "g", ["i"], "size", 5).count() == 0
+    with pytest.raises(Exception, match="negative"):
+        sampling.chunk_by_size(df, "g", ["i"], "size", 5).collect()
+    with pytest.raises(ValueError):
+        sampling.chunk_by_size(df, "g", ["i"], "size", 0)
 
 
 def test_fusion_of_three_sources(spark):
