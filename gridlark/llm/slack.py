@@ -29,8 +29,8 @@ from gridlark.session import stored_table
 
 ROOM = 2048
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 250_000  # words of a generation whose ids a worker remembers
-_PLAIN = regex.compile(r"[!-~\u00a1-\u012f]+")
+WORDS_KEPT, PARTS_KEPT = 600_000, 400_000  # words and pre-tokens whose ids a worker remembers
+_PLAIN = regex.compile(r"[!-~\u00a1-\u012f\n]+")
 
 #: Normalisation and pre-tokens of such a file never look across ASCII white space.
 _WORDWISE = {
@@ -49,28 +49,23 @@ _WORDWISE = {
 
 
 class Remembered:
-    """Values by key, made in bulk; of two generations the older is forgotten when one is full."""
+    """Values by key, made in bulk; all are forgotten once there are `most`."""
 
     def __init__(self, most: int, make: Callable[[list], Iterable[bytes]]):
         self.most, self.make = most, make
-        self.now: dict = {}
-        self.older: dict = {}
-
-    def ready(self, keys: Iterable) -> dict:
-        """A table that holds all of `keys`."""
-        if len(self.now) > self.most:
-            self.older, self.now = self.now, {}
-        now, older = self.now, self.older
-        new = {k for k in keys if k not in now}
-        fresh = []
-        for k in new:
-            if k in older:
-                now[k] = older[k]
-            else:
-                fresh.append(k)
-        if fresh:
-            now.update(zip(fresh, self.make(fresh)))
-        return now
+        self.known: dict = {}
+
+    def of(self, keys: list) -> list[bytes]:
+        """The values of `keys`, in order."""
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        got = list(map(known.get, keys))
+        if None not in got:
+            return got
+        fresh = list({k for k, v in zip(keys, got) if v is None})
+        known.update(zip(fresh, self.make(fresh)))
+        return [known[k] if v is None else v for k, v in zip(keys, got)]
 
 
 class Coder:
@@ -87,41 +82,54 @@ class Coder:
             t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in parsed["added_tokens"]
         )
         if self.wordwise:
-            self.pieces = regex.compile(_WORDWISE["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.pieces = regex.compile(_WORDWISE["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n")
             self.special = regex.compile("|".join(regex.escape(t["content"]) for t in parsed["added_tokens"]) or "(?!)")
             self.bare = Tokenizer.from_str(spec)  # of pre-tokens
             self.bare.normalizer = None
             self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self.words = Remembered(WORDS_KEPT, self._words)
-            self.parts = Remembered(WORDS_KEPT, lambda new: self._listed(self.bare, new))
+            self.parts = Remembered(PARTS_KEPT, lambda new: self._listed(self.bare, new))
 
     @staticmethod
     def _listed(coder: Tokenizer, new: list[str]) -> list[bytes]:
+        if not new:
+            return []
         got = coder.encode(new, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(got.ids, "<u4").tobytes()
         cut = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(new) + 1))).tolist()
         return [ids[a:z] for a, z in zip(cut, cut[1:])]
 
     def _words(self, new: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in new]
+        blob = b"\n".join(new).decode()
+        texts = blob.split("\n")
+        if not _PLAIN.fullmatch(blob) or self.special.search(blob):
+            plain = [bool(_PLAIN.fullmatch(t)) and not self.special.search(t) for t in texts]
+            other = iter(self._listed(self.own, [t for t, p in zip(texts, plain) if not p]))
+            simple = iter(self._plain([t for t, p in zip(texts, plain) if p]))
+            return [next(simple) if p else next(other) for p in plain]
+        return self._plain(texts)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         # below U+0130 composing changes nothing and lower case looks at one character
-        plain = [bool(_PLAIN.fullmatch(t)) and not self.special.search(t) for t in texts]
-        cut = [self.pieces.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
-        known = self.parts.ready(p for c in cut if c for p in c)
-        other = [t for t, p in zip(texts, plain) if not p]
-        rest = iter(self._listed(self.own, other) if other else ())
-        return [next(rest) if c is None else known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cut]
+        if not texts:
+            return []
+        parts = self.pieces.findall("\n".join(texts).lower())
+        out, word = [], []
+        for p, v in zip(parts, self.parts.of(parts)):
+            if p == "\n":
+                out.append(word[0] if len(word) == 1 else b"".join(word))
+                word = []
+            else:
+                word.append(v)
+        out.append(b"".join(word))
+        return out
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not self.wordwise:
             return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, out = text.encode().split(), []
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            known = self.words.ready(part)
-            out += [known[w] for w in part]
-        return b"".join(out)
+        words = text.encode().split()
+        return b"".join(b"".join(self.words.of(words[at : at + 20_000])) for at in range(0, len(words), 20_000))
 
 
 _CODERS: dict[str, Coder] = {}  # one per worker process and file
