@@ -21,13 +21,6 @@ def pick_images(files: DataFrame, suffixes: Sequence[str] = IMAGE_SUFFIXES) -> D
     return files.where(suffix.isin(list(suffixes))).dropDuplicates(["path"])
 
 
-def image_sizes(spark: SparkSession, folder: str, fallback: int = 640) -> DataFrame:
-    """Height and width of each image, `fallback` when the file cannot be read."""
-    images = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(folder)
-    size = lambda c: F.when(F.col(f"image.{c}") > 0, F.col(f"image.{c}")).otherwise(F.lit(fallback))
-    return images.select(F.col("image.origin").alias("path"), size("height").alias("height"), size("width").alias("width"))
-
-
 def read_label_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``path, line`` of every label file; undecodable bytes are replaced, not fatal."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder)

@@ -12,6 +12,7 @@ from gridlark.functions import vectors as V
 from gridlark.operators import prototypes, remap, sampling, tiles
 from gridlark.operators.tracks import publish
 from gridlark.sources import readers, sinks, state
+from gridlark.sources.images import image_sizes
 
 
 def parse(spark, lines, **options):
@@ -148,7 +149,7 @@ def test_files_in_and_out(spark, tmp_path):
     found = readers.list_images(spark, str(folder)).collect()
     assert [os.path.basename(r.path) for r in found] == ["pic.JPG"]
     assert sorted(L_line.line[0] for L_line in readers.read_label_lines(spark, str(folder)).collect()) == ["0", "1", "2"]
-    sizes = readers.image_sizes(spark, str(folder / "a")).where(F.col("path").endswith("JPG")).collect()
+    sizes = image_sizes(spark, str(folder / "a")).where(F.col("path").endswith("JPG")).collect()
     assert [(r.height, r.width) for r in sizes] == [(640, 640)]
     csv = tmp_path / "boxes.csv"
     csv.write_text("ImageID,LabelName,XMin,XMax,YMin,YMax\ni1,/m/1,0.1,0.3,0.2,0.4\ni2,/m/1,bad,0.3,0.2,0.4\ni3,/m/1,0.5,0.3,0.2,0.4\n")
