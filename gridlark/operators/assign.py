@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +14,8 @@ from gridlark.functions import boxes as B
 from gridlark.functions import vectors as V
 from gridlark.operators.ordered import HOT_ROWS, islands, largest_group
 from gridlark.operators.overlap import overlap_pairs
-from gridlark.session import cut_lineage
+from gridlark.operators.runs import tables_by
+from gridlark.session import stored_table
 
 
 def squared_distance(dx: Column, dy: Column, p00: Column, noise: float) -> Column:
@@ -129,6 +130,24 @@ def best_matching(pairs: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     return sorted(p for p in found if p in pairs)
 
 
+def contested(pairs: dict) -> list[tuple[int, int]]:
+    """Best matching, solved separately for groups of pairs that share a row or column."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for r, c in pairs:
+        up[top((0, r))] = top((1, c))
+    groups: dict = {}
+    for p, cost in pairs.items():
+        groups.setdefault(top((0, p[0])), {})[p] = cost
+    return sorted(m for g in groups.values() for m in (g if len(g) == 1 else best_matching(g)))
+
+
 def candidate_costs(
     tracks: DataFrame,
     det: DataFrame,
@@ -140,11 +159,12 @@ def candidate_costs(
     w_iou: float = 0.55,
     w_space: float = 0.30,
     w_look: float = 0.30,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Valid track/detection pairs of each frame with their cost, all in JVM expressions.
 
     `tracks` has x, y, w, h, p00, tsu and optional name and vector; `det` has x1..y2 and
-    optional name and vector. A pair can only be valid when the boxes overlap or the
+    optional name and vector; columns of `det` in `carry` stay. A pair can only be valid when the boxes overlap or the
     centres lie within the gate, so pairs meet on the grid cells of those extents.
     """
     keys = list(keys)
@@ -160,7 +180,7 @@ def candidate_costs(
         (F.col("x") + F.greatest(half_w, reach) + 1e-6).alias("x2"), (F.col("y") + F.greatest(half_h, reach) + 1e-6).alias("y2"),
     )
     d = det.select(
-        *keys, F.col(number).alias("d_id"), *optional(det),
+        *keys, F.col(number).alias("d_id"), *optional(det), *[F.col(c).alias(f"c_{c}") for c in carry],
         (F.col("x1") - 1e-6).alias("x1"), (F.col("y1") - 1e-6).alias("y1"), (F.col("x2") + 1e-6).alias("x2"), (F.col("y2") + 1e-6).alias("y2"),
         *[F.col(c).alias("b" + c) for c in ("x1", "y1", "x2", "y2")],
     )
@@ -189,52 +209,53 @@ def candidate_costs(
     sighted = w_iou * (1 - F.col("_iou")) + w_space * space + w_look * look
     return met.where(valid).select(
         *keys, F.col("t_id").alias(track), F.col("r_d_id").alias(number), F.when(look.isNull(), blind).otherwise(sighted).alias("cost"),
+        *[F.col(f"r_c_{c}").alias(c) for c in carry],
         F.least("x1", "r_x1").alias("_xlo"), F.greatest("x2", "r_x2").alias("_xhi"),
         F.least("y1", "r_y1").alias("_ylo"), F.greatest("y2", "r_y2").alias("_yhi"),
     )
 
 
-def assign_optimal(
-    tracks: DataFrame, det: DataFrame, keys: Sequence[str], track: str, number: str, **options
-) -> DataFrame:
-    """Gated least-cost one-to-one matching per frame.
+def _matched(pairs: DataFrame, keys: list[str], track: str, number: str, bound: int) -> DataFrame:
+    """Least-cost matching of costed pairs, frame by frame.
 
-    Valid pairs are costed in a join, then split into groups that share no track or
-    detection. A pair on its own is a match as it stands; only contested groups go to
-    the matching helper, streamed through Arrow batches in group order.
+    Pairs are split into groups that share no track or detection. A pair on its own is a
+    match as it stands; only contested groups go to the helper, streamed in group order,
+    which splits them further by who shares whom.
     """
-    keys = list(keys)
-    pairs = candidate_costs(tracks, det, keys, track, number, **options)
-    split = axis_islands(pairs, keys, [track, number], _pair_bound(tracks, det, keys))
+    split = axis_islands(pairs, keys, [track, number], bound)
     group = [*keys, "_ix", "_iy"]
     slim = split.withColumn("_n", F.count("*").over(W.partitionBy(*group))).select(*group, track, number, "cost", "_n")
     types = dict(slim.dtypes)
     out_cols = [*keys, track, number, "cost"]
-    ddl = ", ".join(f"{c} {types[c]}" for c in out_cols)
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in out_cols)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, rows = [], 0
+        for _, t in tables_by(batches, group):
+            # numbers in the order of the ids, so that ties fall as they do for the ids
+            sides = [np.unique(t.column(c).to_numpy(), return_inverse=True)[1].tolist() for c in (track, number)]
+            line = {p: k for k, p in enumerate(zip(*sides))}
+            costs = t.column("cost").to_numpy().tolist()
+            chosen = contested({p: costs[k] for p, k in line.items()})
+            done.append(t.select(out_cols).take(pa.array([line[p] for p in chosen], pa.int64())))
+            rows += len(chosen)
+            if rows >= 8192:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+                done, rows = [], 0
+        if done:
+            yield from pa.concat_tables(done).combine_chunks().to_batches()
+
+    rivals = slim.where("_n > 1").drop("_n").repartition(*group).sortWithinPartitions(*group)
+    return slim.where("_n = 1").select(*out_cols).unionByName(rivals.mapInArrow(match, ddl))
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, float] = {}
-        current = None
 
-        def close():
-            return [(*current[: len(keys)], t, d, held[t, d]) for t, d in best_matching(held)]
-
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False, name=None):
-                key = row[: len(group)]
-                if key != current:
-                    if held:
-                        rows.extend(close())
-                    current, held = key, {}
-                held[row[len(group)], row[len(group) + 1]] = row[len(group) + 2]
-            if rows:
-                yield pd.DataFrame(rows, columns=out_cols)
-        if held:
-            yield pd.DataFrame(close(), columns=out_cols)
-
-    contested = slim.where("_n > 1").drop("_n").repartition(*group).sortWithinPartitions(*group)
-    return slim.where("_n = 1").select(*out_cols).unionByName(contested.mapInPandas(match, ddl))
+def assign_optimal(
+    tracks: DataFrame, det: DataFrame, keys: Sequence[str], track: str, number: str, **options
+) -> DataFrame:
+    """Gated least-cost one-to-one matching per frame; valid pairs are costed in a join."""
+    keys = list(keys)
+    pairs = candidate_costs(tracks, det, keys, track, number, **options)
+    return _matched(pairs, keys, track, number, _pair_bound(tracks, det, keys))
 
 
 def assign_two_stage(
@@ -244,12 +265,15 @@ def assign_two_stage(
     """Strong detections first, then leftover tracks against the weak band.
 
     Returns the matches (with `stage`) and the strong detections that start new tracks.
+    The pairs of both stages are costed once.
     """
+    keys = list(keys)
     strong = det.where(F.col("conf") >= high)
-    weak = det.where((F.col("conf") >= low) & (F.col("conf") < high))
+    pairs = stored_table(candidate_costs(tracks, det.where(F.col("conf") >= low), keys, track, number, carry=["conf"], **options))
+    bound = _pair_bound(tracks, det, keys)
     # the first stage feeds three joins
-    first = cut_lineage(assign_optimal(tracks, strong, keys, track, number, **options))
-    rest = tracks.join(first.select(*keys, track), [*keys, track], "left_anti")
-    second = assign_optimal(rest, weak, keys, track, number, **options)
+    first = stored_table(_matched(pairs.where(F.col("conf") >= high), keys, track, number, bound))
+    rest = pairs.where(F.col("conf") < high).join(first.select(*keys, track), [*keys, track], "left_anti")
+    second = _matched(rest, keys, track, number, bound)
     births = strong.join(first.select(*keys, number), [*keys, number], "left_anti")
     return first.withColumn("stage", F.lit(1)).unionByName(second.withColumn("stage", F.lit(2))), births

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gridlark.operators.assign import best_matching
+from gridlark.operators.assign import contested
 from gridlark.operators.connected import connected
 from gridlark.operators.ordered import largest_group, number_rows, running
 from gridlark.operators.overlap import overlap_pairs
+from gridlark.operators.runs import tables_by
 from gridlark.session import stored_table
 
 
@@ -200,24 +201,6 @@ def blend(old: list, new: list) -> list:
     return [new[0], new[1] or old[1], vector]
 
 
-def contested(pairs: dict) -> list[tuple[int, int]]:
-    """Best matching, solved separately for groups of pairs that share a row or column."""
-    up: dict = {}
-
-    def top(x):
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for r, c in pairs:
-        up[top((0, r))] = top((1, c))
-    groups: dict = {}
-    for p, cost in pairs.items():
-        groups.setdefault(top((0, p[0])), {})[p] = cost
-    return sorted(m for g in groups.values() for m in (g if len(g) == 1 else best_matching(g)))
-
-
 def frame_arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
     """Arrays of a frame's rows ``(is_point, x1, y1, x2, y2, conf, class_name, name, vector)``."""
     det = [r for r in rows if r[0] == 0]
@@ -229,31 +212,6 @@ def frame_arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list, np.nd
     return boxes, np.array([r[5] for r in det], dtype=float), looks, points
 
 
-class _Frames:
-    """Rows in order as one table per frame; a frame may go on from batch to batch."""
-
-    def __init__(self, keys: list[str]):
-        self.keys = keys
-
-    def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = [batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in self.keys]
-            turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1
-            for a, z in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
-                at = tuple(batch.column(k)[a].as_py() for k in self.keys)
-                if held and at != last:
-                    yield last, pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(a, z - a))
-                last = at
-        if held:
-            yield last, pa.Table.from_batches(held)
-
-
 def _frame(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list, np.ndarray, list]:
     """A frame's boxes, confidences, looks and points, and the numbers of its boxes."""
     numbers = lambda t, names: np.column_stack([t.column(c).to_numpy() for c in names]).astype(float).reshape(-1, len(names))
@@ -286,7 +244,7 @@ def _walk(rows: DataFrame, group: list[str], o: TrackerOptions, watch: bool) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, stream, born, out = None, Stream(), {}, []
-        for at, frame in _Frames(lead).of(batches):
+        for at, frame in tables_by(batches, lead):
             if at[:-1] != current:
                 current, stream, born = at[:-1], Stream(watched=np.zeros((0, 4)) if watch else None), {}
             before = stream.born
