@@ -71,18 +71,25 @@ def hilbert_shards(
     get a leading underscore where `rows` has such columns.
 
     The cell table has at most ``2 ** (bits * len(axes))`` rows and the piece table at
-    most `pieces` more, so both are broadcast. `rows` is read three times: hand over a
-    narrow stored table, not the texts.
+    most `pieces` more, so both are broadcast. `rows` is stored and then
+    read three times: hand over a narrow table, not the texts.
     """
+    if any(c.startswith("_") for c in rows.columns):
+        held = {c: f"r{i}" for i, c in enumerate(rows.columns)}  # working columns start so
+        axes, ties = [held[a] for a in axes], [held[t] for t in ties]
+        names = [free_name(rows, "shard"), free_name(rows, "slot")]
+        return hilbert_shards(rows.toDF(*held.values()), axes, ties, shards, bits, pieces).toDF(*held, *names)
     share = [i / 2**bits for i in range(1, 2**bits)]
-    cuts = rows.agg(*[F.percentile_approx(_number(rows, a), share, 10000).alias(f"q{i}") for i, a in enumerate(axes)]).first()
+    # plain columns: a lambda over an expression loses its way in the self-join below
+    numbers = [f"_n{i}" for i in range(len(axes))]
+    placed = cut_lineage(rows.withColumns({n: _number(rows, a) for n, a in zip(numbers, axes)}))
+    cuts = placed.agg(*[F.percentile_approx(n, share, 10000).alias(f"q{i}") for i, n in enumerate(numbers)]).first()
     coords = [f"_c{i}" for i in range(len(axes))]
-    placed = rows
-    for c, a, q in zip(coords, axes, cuts):
+    for c, n, q in zip(coords, numbers, cuts):
         ladder = F.array(*[F.lit(v) for v in sorted(set(q or []))]).cast("array<double>")
-        cell = F.size(F.filter(ladder, lambda v: v < _number(rows, a)))
+        cell = F.size(F.filter(ladder, lambda v: v < F.col(n)))
         placed = placed.withColumn(c, F.coalesce(cell, F.lit(0)) if q else F.lit(0))
-        placed = placed.withColumn(c, F.when(_number(rows, a).isNull(), 0).otherwise(F.col(c)))
+        placed = placed.withColumn(c, F.when(F.col(n).isNull(), 0).otherwise(F.col(c)))
     cells = placed.groupBy(*coords).count()
     cells = hilbert_index(cells, coords, bits, "_place").withColumn("_all", F.sum("count").over(W.partitionBy()))
     cells = cut_lineage(cells.withColumn("_parts", F.ceil(F.col("count") * pieces / F.col("_all")).cast("bigint")))
@@ -119,7 +126,7 @@ def document_facts(docs: DataFrame) -> DataFrame:
 
 @query("op7_hilbert_sharding")
 def op7_hilbert_sharding(spark, sf_dir):
-    facts = cut_lineage(document_facts(table(spark, sf_dir, "documents")))
+    facts = document_facts(table(spark, sf_dir, "documents"))
     placed = hilbert_shards(facts, ["lang", "source", "size"], ["doc_id", "size", "text_crc32"])
     law = [F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
     return placed.select("doc_id", "size", "text_crc32", *law, "lang", "source")

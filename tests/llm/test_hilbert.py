@@ -56,3 +56,12 @@ def test_files_prune_by_every_column(spark, tmp_path):
     for c in ("lang", "source", "size"):
         spread = back.groupBy("shard").agg(F.countDistinct(c).alias("n")).agg(F.avg("n")).first()[0]
         assert spread <= 0.45 * back.select(c).distinct().count()
+
+
+def test_expressions_over_a_scan_and_own_names(spark):
+    """Axes that are expressions of an unstored Parquet scan; columns named like working ones."""
+    facts = document_facts(table(spark, SF, "documents"))
+    out = hilbert_shards(facts.withColumnRenamed("text_crc32", "_place"), ["lang", "source", "size"], ["doc_id"])
+    assert out.columns == ["doc_id", "lang", "source", "size", "_place", "shard", "slot"]
+    counts = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert len(counts) == 8 and max(counts) - min(counts) <= 1 and sum(counts) == facts.count()
