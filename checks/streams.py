@@ -8,6 +8,7 @@ from checks import check
 from checks.views import micros
 from gridlark.operators import duty, filters, gate, tracker, tracks
 from gridlark.operators.ordered import largest_group
+from gridlark.session import stored_table
 from gridlark.streaming import live
 
 SF = ["stream_id", "frame_index"]
@@ -55,9 +56,9 @@ boxes AS (SELECT stream_id, frame_index, component, n_cells, CAST(least(greatest
   CAST(least(greatest(bx2 * 10 + 4, 1), 40) AS INT) AS x2, CAST(least(greatest(by2 * 10 + 4, 1), 40) AS INT) AS y2 FROM blob)"""
 
 
-def _rois(t):
+def _rois(t, diffs=None):
     cells = largest_group(t.box_cells, SF)
-    return gate.regions(_diffs(t), min_cells=3, scale=0.1, pad=4, width=40, height=40, cells_per_frame=cells)
+    return gate.regions(_diffs(t) if diffs is None else diffs, min_cells=3, scale=0.1, pad=4, width=40, height=40, cells_per_frame=cells)
 
 
 @check("gate_rois", _ROIS + " SELECT stream_id, frame_index, n_cells, x1, y1, x2, y2 FROM boxes")
@@ -71,7 +72,8 @@ SELECT e.stream_id, e.frame_index, round(energy + 3.1234e-8, 6) AS energy, CASE
 FROM en e LEFT JOIN k ON e.stream_id = k.stream_id AND e.frame_index = k.frame_index
 """)
 def _(t):
-    out = gate.gate(gate.motion(_diffs(t)), _rois(t), 300.0)
+    diffs = stored_table(_diffs(t))
+    out = gate.gate(gate.motion(diffs), _rois(t, diffs), 300.0)
     return out.select(*SF, _shifted("energy"), "n_rois", "triggered", "skipped")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridlark.functions import boxes as B
 from gridlark.operators.components import components
 from gridlark.operators.ordered import number_rows
+from gridlark.session import stored_table
 
 KEYS = ["stream_id", "frame_index"]
 
@@ -60,6 +61,7 @@ def ema_background(
     placed = number_rows(slim, keys, [index, "_v"], "_pos", size=size)
     row = F.struct(F.col(index).alias("i"), F.col("_v").alias("v"))
     lists = placed.groupBy(*keys, F.floor((F.col("_pos") - 1) / block).cast("bigint").alias("_b")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    lists = stored_table(lists)  # for the blocks' maps and for the walk
     move = lambda s, r: F.when(s.isNull(), r["v"]).otherwise(keep * s + (1.0 - keep) * r["v"])
     first = F.when(F.col("_b") == 0, F.lit(None).cast("double")).otherwise(F.lit(0.0))
     end = F.aggregate("_rows", first, move)
