@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import check
+from checks import check, rounded
 from gridlark.operators import components, fusion, grids, metrics, sampling
 
 KEY = ["frame_id", "det_no"]
 
 
 def r6(c, name=None, digits=6):
-    return F.round(F.col(c) if isinstance(c, str) else c, digits).alias(name or c)
+    return rounded(c, digits).alias(name or c)
 
 
 @check("agg_run_summary", """

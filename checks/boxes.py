@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import check
+from checks import check, rounded
 from gridlark.functions import boxes as B
 from gridlark.functions import timing as T
 from gridlark.operators import overlap, windows
@@ -198,7 +198,7 @@ SELECT frame_id, det_no, round(rng, 6) AS range, round(atan2(dx, dy), 6) AS bear
 """)
 def _(t):
     p = T.polar(F.col("x1"), F.col("y1"), F.col("bw") - 30, F.col("bh") - 20, 20, 60)
-    r6 = lambda c: F.round(c, 6)
+    r6 = lambda c: rounded(c, 6)
     return t.det.select(
         *KEY, r6(p["range"]).alias("range"), r6(p["bearing"]).alias("bearing"), r6(p["radial"]).alias("radial"),
         r6(T.range_bin(p["range"], 200, 64)).alias("range_bin"), r6(T.speed_bin(p["radial"], 40, 32)).alias("speed_bin"),

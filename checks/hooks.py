@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from checks import check
+from checks import check, rounded
 from gridlark.operators import hooks
 
 
@@ -54,4 +54,4 @@ def _(t):
     fallback = hooks.histogram_features(F.col("embedding"), 16, -1.0, 1.0)
     out = hooks.embed_rows(t.embeddings, _embedder, ["vec_id", "embedding"], fallback, 32)
     mix = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
-    return out.select("vec_id", "embedded", "embed_error", F.size("vector").alias("n"), F.round(mix, 6).alias("mix"))
+    return out.select("vec_id", "embedded", "embed_error", F.size("vector").alias("n"), rounded(mix, 6).alias("mix"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import check
+from checks import check, rounded
 from gridlark.functions import labels as L
 from gridlark.operators import remap, tiles
 from gridlark.plans import dataset
@@ -63,7 +63,7 @@ def _(t):
         F.col("line"), F.col("width"), F.col("height"), {2: 4}, {"class-0": 7}, csv=False, unknown_default=2
     )
     rows = _sized_lines(t).select(*KEY, parsed.alias("box")).where("box IS NOT NULL")
-    return rows.select(*KEY, F.col("box.cls").alias("cls"), F.round("box.xc", 9).alias("xc"))
+    return rows.select(*KEY, F.col("box.cls").alias("cls"), rounded("box.xc", 9).alias("xc"))
 
 
 @check("parse_box_text_lenient", """
@@ -219,7 +219,7 @@ SELECT image_id, det_no, class_id, tx1, ty1, round(txc, 9) AS xc, round(tyc, 9)
 """)
 def _(t):
     out = tiles.tile_project(t.images, _norm_boxes(t), 640, 0.2)
-    return out.select("image_id", "det_no", "class_id", "tx1", "ty1", *[F.round(c, 9).alias(c) for c in ("xc", "yc", "bw", "bh")])
+    return out.select("image_id", "det_no", "class_id", "tx1", "ty1", *[rounded(c, 9).alias(c) for c in ("xc", "yc", "bw", "bh")])
 
 
 @check("tile_project_fixed", f"""
@@ -233,7 +233,7 @@ FROM j WHERE whole OR (ix2 > ix1 AND iy2 > iy1 AND (ix2 - ix1) * (iy2 - iy1) / g
 """)
 def _(t):
     out = tiles.tile_project(t.images, _norm_boxes(t), 640, 0.2, fixed=True, min_step=32)
-    return out.select("image_id", "det_no", "class_id", "tx1", "ty1", *[F.round(c, 9).alias(c) for c in ("xc", "yc", "bw", "bh")])
+    return out.select("image_id", "det_no", "class_id", "tx1", "ty1", *[rounded(c, 9).alias(c) for c in ("xc", "yc", "bw", "bh")])
 
 
 @check("prepare_dataset", f"""

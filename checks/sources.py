@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import check
+from checks import check, rounded
 from gridlark.operators import remap
 from gridlark.sources import images, readers, sinks
 
@@ -59,7 +59,7 @@ def _(t):
     line = F.concat_ws(",", "frame_id", F.concat(F.lit("/m/"), "class_id"), left, F.col("x2") / 100, F.col("y1") / 75, bottom)
     names = ["ImageID", "LabelName", "XMin", "XMax", "YMin", "YMax"]
     boxes = readers.typed_csv_boxes(readers.csv_columns(t.det.select(line.alias("line")), "line", names))
-    return boxes.select("image_id", "mid", *[F.round(c, 9).alias(c) for c in ("xc", "yc", "w", "h")])
+    return boxes.select("image_id", "mid", *[rounded(c, 9).alias(c) for c in ("xc", "yc", "w", "h")])
 
 
 @check("scan_sequence", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import check
+from checks import check, rounded
 from gridlark.functions import vectors as V
 from gridlark.operators import prototypes as P
 
@@ -39,7 +39,7 @@ SELECT g.vec_id, g.pos, round(coalesce(e.x::DOUBLE / n.norm, 0), 9) AS v FROM g
 """)
 def _(t):
     rows = _flat(t.embeddings.select("vec_id", V.normalise(F.col("embedding"), 80).alias("u")), ["vec_id"], "u")
-    return rows.withColumn("v", F.round("v", 9))
+    return rows.withColumn("v", rounded("v", 9))
 
 
 @check("vec_bind", f"""
@@ -58,7 +58,7 @@ SELECT vec_id, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)) + 1e-8),
 def _(t):
     nxt = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     pairs = t.embeddings.select("vec_id", "embedding").join(nxt, "vec_id")
-    return pairs.select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("other")), 9).alias("cosine"))
+    return pairs.select("vec_id", rounded(V.cosine(F.col("embedding"), F.col("other")), 9).alias("cosine"))
 
 
 @check("vec_encode", f"WITH {_CODES} SELECT vec_id, pos, v FROM codes")
@@ -121,7 +121,7 @@ WITH {_MATCH} SELECT vec_id, CAST(max(CASE WHEN n = 1 AND score >= 0.4 THEN labe
 def _(t):
     codes = _codes(t)
     out = P.match(codes, P.bundle(codes, "label", "code"), ["vec_id"], "code", min_cosine=0.4)
-    return out.select("vec_id", "match", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+    return out.select("vec_id", "match", rounded("score", 6).alias("score"), rounded("margin", 6).alias("margin"))
 
 
 @check("win_margin", """

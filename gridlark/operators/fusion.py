@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from gridlark.operators.assign import axis_islands
 from gridlark.operators.ordered import HOT_ROWS, largest_group
 
 _STATE = "array<struct<n:bigint,sw:double,top:double,a:double,b:double,c:double,d:double>>"
+_RUN = 4096
 
 
 def _fused(c: Column):
@@ -20,23 +22,31 @@ def _fused(c: Column):
 
 def _step(iou_thr: float):
     def grow(c, r):
-        w = r["s"] * r["n"]
+        w = r["s"]
         return F.struct(
-            (c["n"] + r["n"]).alias("n"), (c["sw"] + w).alias("sw"), F.greatest(c["top"], r["s"]).alias("top"),
+            (c["n"] + 1).alias("n"), (c["sw"] + w).alias("sw"), F.greatest(c["top"], r["s"]).alias("top"),
             (c["a"] + w * r["x1"]).alias("a"), (c["b"] + w * r["y1"]).alias("b"),
             (c["c"] + w * r["x2"]).alias("c"), (c["d"] + w * r["y2"]).alias("d"),
         )
 
     def fresh(r):
-        w = r["s"] * r["n"]
+        w = r["s"]
         return F.struct(
-            r["n"].alias("n"), w.alias("sw"), r["s"].alias("top"), (w * r["x1"]).alias("a"), (w * r["y1"]).alias("b"),
+            F.lit(1).cast("bigint").alias("n"), w.alias("sw"), r["s"].alias("top"), (w * r["x1"]).alias("a"), (w * r["y1"]).alias("b"),
             (w * r["x2"]).alias("c"), (w * r["y2"]).alias("d"),
         )
 
-    def step(state, r):
+    def score(c, r):
+        """IoU from the sums themselves, in the order of the plain formula, so that ties fall as they do there."""
         mine = (r["x1"], r["y1"], r["x2"], r["y2"])
-        scores = F.transform(state, lambda c: B.iou(_fused(c), mine))
+        inter = B.intersection(_fused(c), mine)
+        area = (c["c"] - c["a"]) * (c["d"] - c["b"]) / (c["sw"] * c["sw"])
+        return F.transform(
+            F.array(inter), lambda v: v / (area + (r["x2"] - r["x1"]) * (r["y2"] - r["y1"]) - v)
+        )[0]
+
+    def step(state, r):
+        scores = F.transform(state, lambda c: score(c, r))
         # bind the scores once, then pick the first best cluster above the threshold
         bound = F.transform(
             F.array(scores),
@@ -49,7 +59,14 @@ def _step(iou_thr: float):
         )
         return F.element_at(bound, 1)
 
-    return step
+    def copies(state, r):
+        # equal copies one after the other: sums of doubles depend on the order; runs keep the arrays short
+        run = lambda st, k: F.aggregate(
+            F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(_RUN), r["n"] - k * _RUN)), st, lambda s, _: step(s, r)
+        )
+        return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.floor((r["n"] - 1) / _RUN).cast("bigint")), state, run)
+
+    return copies
 
 
 def fuse_boxes(
@@ -66,7 +83,7 @@ def fuse_boxes(
 ) -> DataFrame:
     """One row per fused box of each (frame, class). Boxes are shares of the frame.
 
-    Equal copies are counted before the shuffle. Boxes that cannot overlap, even
+    Equal copies are counted before the shuffle and folded one after the other. Boxes that cannot overlap, even
     through averaging, are separated along x and then y, because an average of boxes
     stays inside the span they cover. The ordered fold then runs per such group
     inside the JVM.
@@ -90,7 +107,8 @@ def fuse_boxes(
         F.aggregate(F.array_sort(F.collect_list(row)), F.array().cast(_STATE), _step(iou_thr)).alias("_c")
     )
     c = F.col("c")
-    total = float(sum(weights))
+    # the sum of the weights as written: 3.3 for 1.0, 1.2 and 1.1
+    total = float(sum(Decimal(repr(float(w))) for w in weights))
     if conf_type == "max":
         score = c["top"] / float(max(weights))
     elif allow_overflow:
