@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +78,8 @@ def nearest_greedy(
     return matches.select(*keys, F.col("m.t").alias(track), F.col("m.p").alias(point), F.col("m.d2").alias("d2"))
 
 
-def least_cost(cost: np.ndarray) -> np.ndarray:
-    """Row of each column's partner (-1 for none) in a least-cost full matching.
+def least_cost(cost: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Row of each column's partner (-1 for none) in a least-cost full matching, and whether there may be others.
 
     Shortest augmenting paths with row and column prices; rows may not outnumber columns.
     """
@@ -112,11 +113,35 @@ def least_cost(cost: np.ndarray) -> np.ndarray:
             prev = via[col]
             owner[col] = owner[prev] if prev >= 0 else r
             col = prev
-    return owner
+    # another matching of this cost needs another pair that its prices allow
+    tight = np.count_nonzero(cost - price_r[:, None] - price_c <= 1e-8)
+    return owner, tight > n
 
 
 def best_matching(pairs: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    """Most of the given (row, column) pairs first, then least total cost."""
+    """Most of the given (row, column) pairs first, then least total cost.
+
+    Of equal totals (to nine digits) the one that does without the highest columns wins.
+    """
+    found, open_ = _one_best(pairs)
+    total = lambda some: round(sum(pairs[p] for p in some), 9)
+    left = pairs
+    for c in sorted({c for _, c in pairs}, reverse=True) if open_ else ():
+        less = {p: v for p, v in left.items() if p[1] != c}
+        if any(j == c for _, j in found):
+            # only a lower column that is free can stand in
+            used = {j for _, j in found}
+            if not any(j < c and j not in used for _, j in less):
+                continue
+            other, _ = _one_best(less)
+            if len(other) < len(found) or total(other) > total(found):
+                continue
+            found = other
+        left = less
+    return found
+
+
+def _one_best(pairs: dict[tuple[int, int], float]) -> tuple[list[tuple[int, int]], bool]:
     rows = sorted({r for r, _ in pairs})
     cols = sorted({c for _, c in pairs})
     full = np.full((len(rows), len(cols)), 1e4)
@@ -124,10 +149,12 @@ def best_matching(pairs: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     for (r, c), cost in pairs.items():
         full[at_r[r], at_c[c]] = cost
     if len(rows) <= len(cols):
-        found = [(rows[r], cols[c]) for c, r in enumerate(least_cost(full)) if r >= 0]
+        owner, open_ = least_cost(full)
+        found = [(rows[r], cols[c]) for c, r in enumerate(owner) if r >= 0]
     else:
-        found = [(rows[r], cols[c]) for r, c in enumerate(least_cost(full.T)) if c >= 0]
-    return sorted(p for p in found if p in pairs)
+        owner, open_ = least_cost(full.T)
+        found = [(rows[r], cols[c]) for r, c in enumerate(owner) if c >= 0]
+    return sorted(p for p in found if p in pairs), open_
 
 
 def contested(pairs: dict) -> list[tuple[int, int]]:
@@ -204,8 +231,9 @@ def candidate_costs(
     look = F.col("_look")
     valid = ((F.col("_maha") <= F.col("_gate")) | (F.col("_iou") >= 0.05)) & (look.isNull() | (look <= 0.85))
     space = 0.5 * F.least(F.col("_maha") / F.greatest(F.col("_gate"), F.lit(1e-6)), F.lit(2.0))
-    both = w_iou + w_space
-    blind = (w_iou / both) * (1 - F.col("_iou")) + (w_space / both) * space
+    # the weights as written, in the order of the plain formula, so that equal costs are equal to the last bit
+    both = float(Decimal(repr(w_iou)) + Decimal(repr(w_space)))
+    blind = (w_iou * (1 - F.col("_iou")) + w_space * space) / both
     sighted = w_iou * (1 - F.col("_iou")) + w_space * space + w_look * look
     return met.where(valid).select(
         *keys, F.col("t_id").alias(track), F.col("r_d_id").alias(number), F.when(look.isNull(), blind).otherwise(sighted).alias("cost"),
