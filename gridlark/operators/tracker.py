@@ -17,7 +17,7 @@ from gridlark.operators.assign import contested
 from gridlark.operators.connected import connected
 from gridlark.operators.ordered import largest_group, number_rows, running
 from gridlark.operators.overlap import overlap_pairs
-from gridlark.operators.runs import tables_by
+from gridlark.operators.runs import turns, whole_keys
 from gridlark.session import stored_table
 
 
@@ -72,8 +72,9 @@ class Stream:
         s[:, AGE] += 1
         s[:, TSU] += 1
 
-    def correct(self, i: int, zx: float, zy: float, noise: float) -> None:
-        s = self.rows[i]
+    def correct(self, which: list[int], zx: np.ndarray, zy: np.ndarray, noise: float) -> None:
+        """Correct different tracks, each by a place of its own."""
+        s = self.rows[which].T
         k0, k1 = s[P00] / (s[P00] + noise), s[P01] / (s[P00] + noise)
         dx, dy = zx - s[X], zy - s[Y]
         s[X] += k0 * dx
@@ -83,6 +84,7 @@ class Stream:
         s[P11] -= k1 * s[P01]
         s[P00] *= 1 - k0
         s[P01] *= 1 - k0
+        self.rows[which] = s.T
 
     def associate(self, tracks: np.ndarray, boxes: np.ndarray, looks: list, o: TrackerOptions) -> list[tuple[int, int]]:
         if len(tracks) == 0 or len(boxes) == 0:
@@ -100,6 +102,8 @@ class Stream:
         maha = (dx * dx + dy * dy) / (s[:, P00, None] + o.meas_var)
         wide = (o.gate * np.minimum(3.0, 1.0 + 0.35 * s[:, TSU]))[:, None]
         rows, cols = np.nonzero((maha <= wide) | (iou >= 0.05))
+        if not len(rows):
+            return []
         far = 0.5 * np.minimum(maha[rows, cols] / np.maximum(wide[rows, 0], 1e-6), 2.0)
         cost = o.w_iou * (1 - iou[rows, cols]) + o.w_space * far
         look = [look_distance(self.looks[t], looks[j]) for t, j in zip(tracks[rows].tolist(), cols.tolist())]
@@ -127,22 +131,25 @@ class Stream:
         if len(boxes) and o.two_stage:
             strong, weak = np.flatnonzero(conf >= o.high), np.flatnonzero((conf >= o.low) & (conf < o.high))
             first = [(t, int(strong[j])) for t, j in self.associate(everyone, boxes[strong], [looks[j] for j in strong], o)]
-            rest = np.setdiff1d(everyone, [t for t, _ in first])
+            rest = without(everyone, [t for t, _ in first])
             second = self.associate(rest, boxes[weak], [looks[j] for j in weak], o)
             matches = first + [(t, int(weak[j])) for t, j in second]
-            births = np.setdiff1d(strong, [j for _, j in first])
+            free = np.ones(len(boxes), dtype=bool)
+            free[[j for _, j in first]] = False
+            births = strong[free[strong]]
         elif len(boxes):
             matches = self.associate(everyone, boxes, looks, o)
-            births = np.setdiff1d(births, [j for _, j in matches])
-        for t, j in matches:
-            x1, y1, x2, y2 = boxes[j]
-            self.correct(t, (x1 + x2) / 2, (y1 + y2) / 2, o.meas_var)
-            s = self.rows[t]
-            s[WID] = 0.8 * s[WID] + 0.2 * max(4.0, x2 - x1)
-            s[HEI] = 0.8 * s[HEI] + 0.2 * max(4.0, y2 - y1)
-            s[HITS] += 1
-            s[TSU] = 0
-            self.looks[t] = blend(self.looks[t], looks[j])
+            births = without(births, [j for _, j in matches])
+        if matches:
+            hit, by = map(list, zip(*matches))
+            x1, y1, x2, y2 = boxes[by].T
+            self.correct(hit, (x1 + x2) / 2, (y1 + y2) / 2, o.meas_var)
+            self.rows[hit, WID] = 0.8 * self.rows[hit, WID] + 0.2 * np.maximum(4.0, x2 - x1)
+            self.rows[hit, HEI] = 0.8 * self.rows[hit, HEI] + 0.2 * np.maximum(4.0, y2 - y1)
+            self.rows[hit, HITS] += 1
+            self.rows[hit, TSU] = 0
+            for t, j in matches:
+                self.looks[t] = blend(self.looks[t], looks[j])
         if len(births):
             x1, y1, x2, y2 = boxes[births].T
             new = np.zeros((len(births), WIDTH))
@@ -165,13 +172,30 @@ class Stream:
 
     def absorb(self, points: np.ndarray, o: TrackerOptions) -> None:
         """Second-sensor points: each track in turn takes the nearest one left within reach."""
-        free = np.ones(len(points), dtype=bool)
-        for i in range(len(self.rows) if len(points) else 0):
-            d2 = np.where(free, ((points - self.rows[i, [X, Y]]) ** 2).sum(axis=1), np.inf)
-            j = int(np.argmin(d2))
-            if d2[j] < o.aux_radius**2:
-                self.correct(i, points[j, 0], points[j, 1], o.aux_var)
-                free[j] = False
+        if not len(points) or not len(self.rows):
+            return
+        taken: dict[int, int] = {}
+        # distances of as many tracks at a time as keep the table small
+        step = max(1, 1_000_000 // len(points))
+        for a in range(0, len(self.rows), step):
+            some = self.rows[a : a + step]
+            dx, dy = points[:, 0] - some[:, X, None], points[:, 1] - some[:, Y, None]
+            d2 = dx * dx + dy * dy
+            near = d2 < o.aux_radius**2
+            rows, cols = np.nonzero(near)
+            now, pick, least = -1, -1, np.inf
+            for i, j, d in zip(rows.tolist(), cols.tolist(), d2[near].tolist()):
+                if i != now:
+                    if pick >= 0:
+                        taken[pick] = a + now
+                    now, pick, least = i, -1, np.inf
+                if d < least and j not in taken:
+                    pick, least = j, d
+            if pick >= 0:
+                taken[pick] = a + now
+        if taken:
+            z = points[list(taken)]
+            self.correct(list(taken.values()), z[:, 0], z[:, 1], o.aux_var)
 
     def states(self, o: TrackerOptions) -> list[tuple]:
         return [
@@ -180,6 +204,13 @@ class Stream:
         ]
 
 
+def without(some: np.ndarray, places: list[int]) -> np.ndarray:
+    """`some` less those at `places`."""
+    keep = np.ones(len(some), dtype=bool)
+    keep[places] = False
+    return some[keep]
+
+
 def look_distance(a: list, b: list) -> float | None:
     """Appearance distance from vectors if both have one, else from gallery names."""
     if a[2] is not None and b[2] is not None:
@@ -212,17 +243,77 @@ def frame_arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list, np.nd
     return boxes, np.array([r[5] for r in det], dtype=float), looks, points
 
 
-def _frame(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list, np.ndarray, list]:
-    """A frame's boxes, confidences, looks and points, and the numbers of its boxes."""
-    numbers = lambda t, names: np.column_stack([t.column(c).to_numpy() for c in names]).astype(float).reshape(-1, len(names))
-    kind = rows.column("kind").to_numpy()
-    det, points = rows.filter(pa.array(kind == 0)), rows.filter(pa.array(kind == 1))
-    looks = [
-        [c, n, None if v is None else np.asarray(v, dtype=float)]
-        for c, n, v in zip(*(det.column(c).to_pylist() for c in ("class_name", "name", "vector")))
-    ]
-    boxes = numbers(det, ["x1", "y1", "x2", "y2"])
-    return boxes, det.column("conf").to_numpy().astype(float), looks, numbers(points, ["x1", "y1"]), det.column("no").to_pylist()
+def _frames(batches: Iterator[pa.RecordBatch], lead: list[str]) -> Iterator[tuple]:
+    """Key, boxes, confidences, looks and points of each frame, and the numbers of its boxes.
+
+    Batches hold whole frames, sorted by kind, and are turned into arrays once.
+    """
+    for batch in batches:
+        starts = [0, *turns(batch, lead).tolist()]
+        at = zip(*(batch.column(c).take(pa.array(starts)).to_pylist() for c in lead))
+        plain = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        kind, conf, numbers = plain("kind"), plain("conf").astype(float), plain("no").tolist()
+        sides = np.column_stack([plain(c).astype(float) for c in ("x1", "y1", "x2", "y2")])
+        class_name, name, vector = (
+            [None] * batch.num_rows if batch.column(c).null_count == batch.num_rows else batch.column(c).to_pylist()
+            for c in ("class_name", "name", "vector")
+        )
+        ends = [*starts[1:], batch.num_rows]
+        det = np.concatenate([[0], np.cumsum(kind == 0)])
+        markers = np.concatenate([[0], np.cumsum(kind < 0)])
+        for key, a, z in zip(at, starts, ends):
+            a += int(markers[z] - markers[a])
+            m = a + int(det[z] - det[a])
+            looks = [[class_name[i], name[i], None if vector[i] is None else np.asarray(vector[i], dtype=float)] for i in range(a, m)]
+            yield key, sides[a:m], conf[a:m], looks, sides[m:z, :2], numbers[a:m]
+
+
+class Pages:
+    """Blocks of numbers with their frames' keys, written as one batch."""
+
+    def __init__(self, schema: pa.Schema, n_keys: int) -> None:
+        self.schema, self.n_keys = schema, n_keys
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.at, self.blocks, self.looks, self.born = 0, [], [], [], []
+
+    def add(self, at: tuple, block: np.ndarray, looks: list = (), born: list = ()) -> None:
+        if not len(block):
+            return
+        self.n += len(block)
+        self.at.append(at)
+        self.blocks.append(block.copy())
+        self.looks += [(v[0], v[1]) for v in looks]
+        self.born += born
+
+    def flush(self, columns) -> list[pa.RecordBatch]:
+        """What was added, with the `columns` made of it; others are null."""
+        if not self.n:
+            return []
+        frame = pa.array(np.repeat(np.arange(len(self.at)), [len(b) for b in self.blocks]))
+        fields = list(self.schema)
+        lead = fields[: self.n_keys]
+        arrays = {f.name: pa.array(k, f.type).take(frame) for f, k in zip(lead, zip(*self.at))}
+        made = columns(np.vstack(self.blocks), self.looks, self.born)
+        for f in fields[self.n_keys :]:
+            arrays[f.name] = pa.array(made[f.name], f.type) if f.name in made else pa.nulls(self.n, f.type)
+        self.clear()
+        return [pa.RecordBatch.from_arrays([arrays[f.name] for f in fields], schema=self.schema)]
+
+
+def _state_columns(m: np.ndarray, looks: list, born: list, o: TrackerOptions) -> dict:
+    whole = lambda k: m[:, k].astype(np.int64)
+    return {
+        "track_id": whole(ID), "x": m[:, X], "y": m[:, Y], "vx": m[:, VX], "vy": m[:, VY], "w": m[:, WID], "h": m[:, HEI],
+        "class_name": [v[0] for v in looks], "name": [v[1] for v in looks],
+        "hits": whole(HITS), "age": whole(AGE), "time_since_update": whole(TSU), "confirmed": m[:, HITS] >= o.min_hits,
+        "_born_at": [b[0] for b in born], "_born_no": [b[1] for b in born],
+    }
+
+
+def _watch_columns(m: np.ndarray, looks: list, born: list) -> dict:
+    return {c: m[:, k] for k, c in enumerate(("_x1", "_y1", "_x2", "_y2"))}
 
 
 _NUMBERED = "_born_at bigint, _born_no bigint"
@@ -239,29 +330,29 @@ def _walk(rows: DataFrame, group: list[str], o: TrackerOptions, watch: bool) ->
     lead = [*group, "frame_index"]
     types = dict(rows.dtypes)
     ddl = ", ".join(f"`{c}` {types[c]}" for c in lead) + f", {OUT_DDL}, {_NUMBERED}, {_REACH}"
-    names = [*lead, *OUT_COLUMNS, "_born_at", "_born_no", "_x1", "_y1", "_x2", "_y2"]
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, stream, born, out = None, Stream(), {}, []
-        for at, frame in tables_by(batches, lead):
+        current, stream, born = None, Stream(), {}
+        states, watched = Pages(schema, len(lead)), Pages(schema, len(lead))
+        for at, boxes, conf, looks, points, numbers in _frames(whole_keys(batches, lead), lead):
             if at[:-1] != current:
                 current, stream, born = at[:-1], Stream(watched=np.zeros((0, 4)) if watch else None), {}
+            if not len(boxes) and not len(stream.rows):
+                continue
             before = stream.born
-            boxes, conf, looks, points, numbers = _frame(frame)
             stream.advance(boxes, conf, looks, points, o)
+            ids = stream.rows[:, ID].tolist()
             if stream.born > before:
                 fresh = stream.rows[stream.rows[:, ID] > before]
-                born = {i: born.get(i) for i in stream.rows[:, ID].tolist()}
+                born = {i: born.get(i) for i in ids}
                 born.update({i: (at[-1], numbers[int(f)]) for i, f in zip(fresh[:, ID].tolist(), fresh[:, FROM].tolist())})
-            out.extend((*at, *s, *born[s[0]], None, None, None, None) for s in stream.states(o))
+            states.add(at, stream.rows, stream.looks, [born[i] for i in ids])
             if watch:
-                out.extend((*at, *[None] * (len(OUT_COLUMNS) + 2), *w) for w in stream.watched.tolist())
-            if len(out) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], names=names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], names=names)
+                watched.add(at, stream.watched)
+            if states.n + watched.n >= 8192:
+                yield from (*states.flush(lambda m, v, b: _state_columns(m, v, b, o)), *watched.flush(_watch_columns))
+        yield from (*states.flush(lambda m, v, b: _state_columns(m, v, b, o)), *watched.flush(_watch_columns))
 
     slim = rows.select(*lead, *_COLUMNS).repartition(*group).sortWithinPartitions(*order)
     return stored_table(slim.mapInArrow(run, ddl))

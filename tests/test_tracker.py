@@ -158,3 +158,29 @@ def test_frame_log(spark, tmp_path):
     assert len(rows) == 6 and rows[0]["tracks"] == [] and rows[1]["tracks"][0]["track_id"] == 1
     assert rows[5]["detections"] == [] and len(rows[5]["tracks"]) == 1
     assert rows[3]["timestamp"] == pytest.approx(0.1) and rows[3]["gate"] == {"triggered": True}
+
+
+def test_frames_torn_between_batches_come_out_whole():
+    import pyarrow as pa
+
+    from gridlark.operators.runs import whole_keys
+    from gridlark.operators.tracker import _frames
+
+    n = 60
+    t = pa.table({
+        "s": [1] * 30 + [2] * 30, "frame_index": [k // 12 for k in range(n)], "kind": pa.array([(-1, 0, 0, 1)[k % 12 // 3] for k in range(n)], pa.int32()),
+        "no": list(range(n)), **{c: [None if k % 12 < 3 else float(k) for k in range(n)] for c in ("x1", "y1", "x2", "y2", "conf")},
+        "class_name": pa.nulls(n, pa.string()), "name": [f"c{k}" for k in range(n)], "vector": pa.nulls(n, pa.list_(pa.float64())),
+    })
+    lead = ["s", "frame_index"]
+    want = None
+    for size in (1, 5, 7, 12, 60):
+        got = [
+            (at, boxes.tolist(), conf.tolist(), looks, points.tolist(), no)
+            for at, boxes, conf, looks, points, no in _frames(whole_keys(iter(t.to_batches(max_chunksize=size)), lead), lead)
+        ]
+        want = want or got
+        assert got == want
+    assert [g[0] for g in want] == [(1, 0), (1, 1), (1, 2), (2, 2), (2, 3), (2, 4)]
+    assert [len(g[1]) + len(g[4]) for g in want] == [9, 9, 3, 6, 9, 9]
+    assert want[0][5] == [3, 4, 5, 6, 7, 8] and want[0][3][0] == [None, "c3", None]
