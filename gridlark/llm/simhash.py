@@ -12,7 +12,7 @@ both segments' codewords meets. Pairs that meet are verified bit by bit.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, islice
 
 import numpy as np
@@ -52,8 +52,13 @@ def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """A bit is 1 if it is set in over half the hashes; zero for a text without words."""
+    return majority_bits(_hashes(text, shingle))
+
+
+def majority_bits(blocks: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes that come in blocks."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in _hashes(text, shingle):
+    for h in blocks:
         for part in range(0, len(h), 65536):
             bits = np.unpackbits(h[part : part + 65536].astype("<u8").view(np.uint8), bitorder="little")
             ones += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)

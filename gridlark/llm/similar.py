@@ -1,10 +1,11 @@
-"""Near copies by exact similarity of word shingle sets, found with min-hash bands.
-
-The similarity of two texts is the Jaccard index of their sets of five-word shingles. 128
-least values under different orders agree in the share of the index; four of them make a
-key, so two sets at 0.8 share one of 32 keys but for 5 in 100 million, and closer sets
-meet more surely. A text's bits in a SimHash cannot reach that far: at 0.8 about ten of 64
-differ. Sets that meet are verified shingle by shingle.
+"""Near copies by exact similarity of word shingle sets, found with SimHash and min-hash bands.
+
+The similarity of two texts is the Jaccard index of their sets of five-word shingles. Sets
+whose SimHash fingerprints are equal or linked at 3 bits meet first, are verified shingle by
+shingle, and what they link is contracted. At an index of 0.8 about ten of 64 bits differ,
+so what the fingerprints leave apart meets on keys: 128 least values under different orders
+agree in the share of the index; four of them make a key, so two sets at 0.8 share one of
+32 keys but for 5 in 100 million, and closer sets meet more surely. They are verified alike.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.columns import broadcast_if_small
-from gridlark.llm.simhash import _hashes, least_of_each
+from gridlark.llm.simhash import _hashes, least_of_each, linked_fingerprints, majority_bits
 from gridlark.operators.connected import connected
 from gridlark.operators.ordered import number_rows
 from gridlark.session import drop_table, stored_table
@@ -57,18 +58,19 @@ def _keys(least: np.ndarray) -> np.ndarray:
 
 
 def set_marks(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, text_hash, fp, n, sketch, keys)`` of every row: digest and size of the
-    shingle set, a byte of each least value, and its keys (none without words).
+    """``(doc_id, text_hash, fp, n, sim, sketch, keys)`` of every row: digest, size and SimHash
+    of the shingle set, a byte of each least value, and its keys (none without words).
     """
 
     def run(batches):
         # short slices: a batch of long texts is not held as Python strings
         for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            fp, size, sketch, keys = [], [], [], []
+            fp, size, sim, sketch, keys = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 hashes = shingle_set(t, shingle)
                 fp.append(xxhash.xxh64_intdigest(hashes.tobytes(), 7))
                 size.append(len(hashes))
+                sim.append(majority_bits([hashes]))
                 least = _least_values(hashes)
                 sketch.append(least.astype(np.uint8).tobytes())
                 keys.append(_keys(least) if len(hashes) else np.empty(0, np.int64))
@@ -78,14 +80,43 @@ def set_marks(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     b.column("text_hash"),
                     pa.array(np.array(fp, np.uint64).view(np.int64)),
                     pa.array(size, pa.int64()),
+                    pa.array(np.array(sim, np.uint64).view(np.int64)),
                     pa.array(sketch, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_hash", "fp", "n", "sketch", "keys"],
+                names=["doc_id", "text_hash", "fp", "n", "sim", "sketch", "keys"],
             )
 
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash bigint, fp bigint, n bigint, sketch binary, keys array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash bigint, fp bigint, n bigint, sim bigint, sketch binary, keys array<bigint>")
+
+
+def _simhash_pairs(marks: DataFrame) -> DataFrame:
+    """Stored pairs ``(a, b)`` of sets: the least set of a fingerprint with the others that
+    have it and with the least sets of the fingerprints linked to it.
+    """
+    sets = marks.where("n > 0").select("sim", "fp")
+    firsts = stored_table(sets.groupBy("sim").agg(F.min("fp").alias("first"), F.count("*").alias("sets")))
+    ends = _beside(firsts.select("sim", "first"))
+    links = linked_fingerprints(firsts.select(F.col("sim").alias("fp")))
+    across = links.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    several = _beside(firsts.where("sets > 1").select("sim", "first"))
+    within = sets.join(several, "sim").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    pairs = stored_table(across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    drop_table(firsts)
+    return pairs
+
+
+def _simhash_roots(docs: DataFrame, marks: DataFrame, shingle: int, least: float) -> DataFrame | None:
+    """``(fp, root)`` of the sets that meet by fingerprint and have an index of at least `least`."""
+    pairs = _simhash_pairs(marks)
+    if pairs.isEmpty():
+        return None
+    sets = _sets(docs, marks, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), shingle)
+    roots = _contracted(None, _verified(sets, pairs, least))
+    for table in (sets, pairs):
+        drop_table(table)
+    return roots
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -180,7 +211,8 @@ def _numbered(rows: DataFrame) -> DataFrame | None:
         return None
     rows = stored_table(rows.join(shared, "key"))
     met = stored_table(rows.groupBy("fp").agg(F.sum("size").alias("met")))
-    ranked = rows.join(met, "fp").withColumn("order", -F.col("met"))
+    # numbering passes over its rows several times where a key is large
+    ranked = stored_table(rows.join(met, "fp").withColumn("order", -F.col("met")))
     named = number_rows(ranked, ["key"], ["order", "fp"], "at", max(1000, n_rows // 256), biggest)
     return stored_table(named.select("key", "fp", "n", "size", "at").withColumn("root", F.col("fp")))
 
@@ -212,10 +244,12 @@ def _near(named: DataFrame, last: int, sketches: DataFrame, least: float) -> Dat
 
 
 def set_roots(docs: DataFrame, marks: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """``(fp, root)`` of the sets that are linked: the components of all pairs that share
-    a key and have a Jaccard index of at least `least`; root is the least set.
+    """``(fp, root)`` of the sets that are linked: the components of all pairs that meet by
+    fingerprint or share a key and have a Jaccard index of at least `least`; root is the
+    least set.
 
-    The sets of a key are numbered by how many others they meet over all their keys, so
+    Sets that meet by fingerprint are linked first, and keys that then hold one component
+    are left out. The sets of a key are numbered by how many others they meet over all their keys, so
     that the text of which the others are copies comes first. The first eight of a key are
     compared with all that follow, and the links are contracted. Most keys then hold one
     component or nothing more to compare. The sets of the others, which share much but
@@ -227,15 +261,18 @@ def set_roots(docs: DataFrame, marks: DataFrame, shingle: int = SHINGLE, least:
     if not LEAST <= least <= 1:
         raise ValueError("the keys are made for an index of 0.8 or more")
     none = marks.sparkSession.createDataFrame([], "fp bigint, root bigint")
+    roots = _simhash_roots(docs, marks, shingle, least)
     named = _numbered(marks.select(F.explode("keys").alias("key"), "fp", "n"))
-    if named is None:
-        return none
+    if named is not None and roots is not None:
+        named = _still_apart(named, roots, 0)
+    if named is None or named.isEmpty():
+        return none if roots is None else roots
     shown = stored_table(marks.join(named.select("fp").distinct(), "fp", "left_semi").select("fp", "text_hash", "sketch"))
-    sketches, roots = shown.select("fp", "sketch"), None
+    sketches = shown.select("fp", "sketch")
     near = _near(named, 8, sketches, least)
     if not near.isEmpty():
         sets = _sets(docs, shown, near.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), shingle)
-        roots = _contracted(None, _verified(sets, near, least))
+        roots = _contracted(roots, _verified(sets, near, least))
         drop_table(sets)
     drop_table(near)
     named = _still_apart(named, roots, 8)
@@ -284,8 +321,8 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     Nulls, ids and repeated rows are treated as in `simhash.near_groups`.
     """
     marks = stored_table(set_marks(docs, shingle))
-    # keys and sketch are a function of the set, whichever row shows it
-    shown = F.min(F.struct("text_hash", "n", "sketch", "keys")).alias("one")
+    # fingerprint, keys and sketch are a function of the set, whichever row shows it
+    shown = F.min(F.struct("text_hash", "n", "sim", "sketch", "keys")).alias("one")
     distinct = stored_table(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), shown).select("fp", "least", "one.*"))
     roots = stored_table(set_roots(docs, distinct, shingle, least))
     named = distinct.select("fp", "least").join(_beside(roots), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -67,3 +67,45 @@ def test_nulls_and_repeats(spark):
     got = near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted([(None, 2), (3, 2), (2, 2), (5, 5), (5, 5), (None, 5), (None, None)], key=str)
     assert near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def nearly_equal(seed, changed):
+    """Texts of 4,000 words that differ in `changed` words."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    other = list(words)
+    for at in range(changed):
+        other[7 + 90 * at] = "other"
+    return " ".join(words), " ".join(other)
+
+
+def test_simhash_links_before_any_other_key(spark, monkeypatch):
+    from gridlark.llm import similar
+
+    texts = [t for seed in range(4) for t in nearly_equal(seed, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = [similar.majority_bits([similar.shingle_set(t)]) for t in texts]
+    assert all((fps[k] ^ fps[k + 1]).bit_count() <= 3 for k in (0, 2, 4, 6))
+    want = {k: k - k % 2 for k in range(8)}
+    assert {r["doc_id"]: r["component_id"] for r in near_groups(docs).collect()} == want
+    monkeypatch.setattr(similar, "_numbered", lambda rows: None)  # no key but the fingerprint
+    assert {r["doc_id"]: r["component_id"] for r in near_groups(docs).collect()} == want
+
+
+def test_equal_fingerprints_are_verified(spark, monkeypatch):
+    from gridlark.llm import similar
+
+    monkeypatch.setattr(similar, "majority_bits", lambda blocks: 5)
+    texts = [*nearly_equal(1, 1), *nearly_equal(2, 1), "", "a few words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_groups(docs).collect()} == plain_groups(list(enumerate(texts)))
+
+
+def test_numbering_reads_stored_rows(spark, monkeypatch):
+    from gridlark.llm import similar
+
+    seen, real = [], similar.number_rows
+    monkeypatch.setattr(similar, "number_rows", lambda df, *a: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *a))
+    rows = spark.createDataFrame([(k, f, 10) for k in range(3) for f in range(4)], "key long, fp long, n long")
+    assert similar._numbered(rows).count() == 12
+    assert seen and "Join" not in seen[0]
