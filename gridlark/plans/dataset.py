@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridlark.functions import labels as L
 from gridlark.operators.pairing import pair_stems
 from gridlark.operators.texts import label_text
+from gridlark.session import stored_table
 
 
 def placed(files: DataFrame) -> DataFrame:
@@ -40,8 +41,9 @@ def prepare(
     get a number. Images without any label file are kept unless `keep_empty` is off.
     """
     rewritten = lines.withColumn("line", L.rewrite_label(F.col("line"), class_map, default_cls))
-    texts = label_text(rewritten, ["path"], "line_no", "line").withColumnRenamed("path", "label_path")
-    found = pair_stems(placed(images.select("path")), placed(lines.select("path").distinct()))
+    # a row per label file, kept lines or not: read for the lookup and for the texts
+    texts = stored_table(label_text(rewritten, ["path"], "line_no", "line").withColumnRenamed("path", "label_path"))
+    found = pair_stems(placed(images.select("path")), placed(texts.select(F.col("label_path").alias("path"))))
     joined = found.withColumn("split", L.split_of_folder(F.col("path"))).join(texts, "label_path", "left")
     if not keep_empty:
         joined = joined.where(F.col("text").isNotNull())

@@ -220,3 +220,13 @@ def test_smoothing_refuses_a_grid_with_holes(spark):
     for gone in (7, 19):
         with pytest.raises(Exception, match="holes"):
             smooth(full.where(f"r * 5 + d <> {gone}")).collect()
+
+
+def test_prepare_reads_label_lines_once(spark):
+    from gridlark.plans.dataset import prepare
+
+    lines = spark.createDataFrame([("r/labels/a.txt", 0, "0 .5 .5 .1 .1"), ("r/labels/b.txt", 0, "no box")], "path string, line_no long, line string")
+    images = spark.createDataFrame([("r/images/a.jpg",), ("r/images/b.jpg",), ("r/images/c.jpg",)], "path string")
+    out = prepare(images, lines, "p", {0: 5}, keep_empty=False)
+    assert sorted((r.stem, r.kept) for r in out.collect()) == [("p_a", 1), ("p_b", 0)]
+    assert "line_no" not in out._jdf.queryExecution().analyzed().toString()  # the lines are not read again
