@@ -6,7 +6,8 @@ that lie near each other are compared. There are grids of growing cell size: a b
 belongs to the finest one whose cells are as long as the box, so it touches four
 cells at most, and a pair meets on the coarser grid of its two boxes. A pair is kept
 in one cell only, the one holding the near corner of the intersection, so no
-duplicate removal is needed.
+duplicate removal is needed. While no frame holds more than a few boxes, the frame
+alone is the key, and no box is written more than once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions import boxes as B
+from gridlark.operators.ordered import largest_group
+
+#: Frames with at most this many boxes a side are compared box by box.
+SMALL_FRAME = 32
 
 
 def confidence_bands(det: DataFrame, low: float, high: float) -> DataFrame:
@@ -52,17 +57,26 @@ def overlap_pairs(
     frame_keys: Sequence[str],
     right_prefix: str = "r_",
     where: Column | None = None,
-    levels: tuple[Sequence[int], Sequence[int]] | None = None,
+    small: int = SMALL_FRAME,
 ) -> DataFrame:
     """All pairs whose boxes share positive area. Right columns get a prefix.
 
-    `where` may name both sides and is applied inside the join. `levels` are the grids of
-    both sides if `levels_of` has found them already.
+    `where` may name both sides and is applied inside the join. Frames are joined whole
+    if none has more than `small` boxes on a side, else through grid cells; both ways
+    give the same pairs.
     """
     p = right_prefix
     named = right.select(*[F.col(c).alias(p + c) for c in right.columns])
     a, b = B.box(), B.box(p)
-    mine, theirs = levels or (levels_of(left), levels_of(named, p))
+    if all(largest_group(side, frame_keys) <= small for side in ((left,) if left is right else (left, right))):
+        # null and empty boxes share area with nothing, whatever greatest and least make of nulls
+        whole = [df.where(c[0].isNotNull() & c[1].isNotNull() & (c[2] > c[0]) & (c[3] > c[1])) for df, c in ((left, a), (named, b))]
+        cond = B.overlaps(a, b) if where is None else B.overlaps(a, b) & where
+        for k in frame_keys:
+            cond = (F.col(k) == F.col(p + k)) & cond
+        return whole[0].join(whole[1], cond).drop(*[p + k for k in frame_keys])
+    mine = levels_of(left)
+    theirs = mine if left is right else levels_of(named, p)
     lhs = on_cells(left, a, theirs)
     rhs = on_cells(named, b, mine, p)
     same = [F.col(k) == F.col(p + k) for k in (*frame_keys, "_level", "_cx", "_cy")]
@@ -80,8 +94,7 @@ def overlap_pairs(
 def self_pairs(det: DataFrame, frame_keys: Sequence[str], ordinal: str) -> DataFrame:
     """Overlapping pairs of boxes of one frame, each pair once, with their IoU."""
     ordered = F.col(ordinal) < F.col("r_" + ordinal)
-    own = levels_of(det)
-    pairs = overlap_pairs(det, det, frame_keys, "r_", ordered, (own, own))
+    pairs = overlap_pairs(det, det, frame_keys, "r_", ordered)
     return pairs.withColumn("iou", B.iou(B.box(), B.box("r_")))
 
 

@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Maps of at most this many rows are broadcast.
+SMALL_MAP = 100_000
+
+
+def _lookup(table: DataFrame) -> DataFrame:
+    """The map, marked for broadcast if a count proves it small.
+
+    Spark does not know the size of rows made in the driver. It would then shuffle the
+    boxes by class, so that all boxes of a class meet in one task.
+    """
+    return F.broadcast(table) if table.limit(SMALL_MAP + 1).count() <= SMALL_MAP else table
+
 
 def remap_classes(
     boxes: DataFrame,
@@ -18,8 +30,7 @@ def remap_classes(
 
     `class_map.raw` may hold whole numbers or text; a whole-number match wins over
     the same number as text. A row whose target is NULL always drops. Unmapped ids
-    follow `policy`: drop, default or keep. The map is joined without a forced
-    broadcast, so Spark picks one only when the map is small.
+    follow `policy`: drop, default or keep. A small map is broadcast.
     """
     if policy not in ("drop", "default", "keep"):
         raise ValueError(f"unknown policy {policy}")
@@ -30,7 +41,7 @@ def remap_classes(
         # '1' and '01' are different texts; only the plain form of the number matches
         lookup = lookup.dropDuplicates([*keys, "_raw"])
     keyed = boxes.withColumn("_raw", F.col(raw).cast("string"))
-    joined = keyed.join(lookup.withColumn("_known", F.lit(True)), [*keys, "_raw"], "left")
+    joined = keyed.join(_lookup(lookup.withColumn("_known", F.lit(True))), [*keys, "_raw"], "left")
     known = F.coalesce(F.col("_known"), F.lit(False))
     if policy == "drop":
         target = F.col("_target")
@@ -43,7 +54,7 @@ def remap_classes(
 
 def attach_class(boxes: DataFrame, mids: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Machine id -> class name -> class id; boxes outside the vocabulary drop."""
-    return boxes.join(mids, "mid").join(vocabulary, "class_name")
+    return boxes.join(_lookup(mids), "mid").join(_lookup(vocabulary), "class_name")
 
 
 def ordered_names(names: DataFrame) -> DataFrame:

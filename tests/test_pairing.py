@@ -183,6 +183,30 @@ def test_overlap_pairs_at_any_box_size(spark, scale):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
 
 
+def test_small_frames_meet_whole_and_as_on_cells(spark):
+    from gridlark.operators import overlap
+
+    rng = np.random.default_rng(3)
+    rows = [(i % 9, i, *(float(v) for v in (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(rng.integers(0, 40, (180, 4)))]
+    rows += [(0, 900, None, 0.0, 40.0, 40.0), (0, 901, 0.0, None, 40.0, 40.0), (1, 902, 5.0, 5.0, 5.0, 30.0), (None, 903, 0.0, 0.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "f int, n int, x1 double, y1 double, x2 double, y2 double")
+    pairs = lambda small: overlap.overlap_pairs(df, df, ["f"], where=F.col("n") < F.col("r_n"), small=small)
+    whole, cells = (sorted(map(tuple, pairs(s).select("n", "r_n").collect())) for s in (32, 0))
+    assert whole == cells and len(whole) > 100 and sorted(pairs(32).columns) == sorted(pairs(0).columns)
+    # no row is copied, so boxes are not exploded over cells
+    assert "Generate" not in pairs(32)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boxes_are_not_shuffled_by_class(spark):
+    from gridlark.operators import remap
+
+    vocabulary = spark.createDataFrame([(0, 100), (1, 101)], "raw int, target int")
+    boxes = spark.range(10).selectExpr("id % 2 AS class_id", "id")
+    out = remap.remap_classes(boxes, vocabulary)
+    assert sorted(r.class_id for r in out.collect()) == [100] * 5 + [101] * 5
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_live_all_pairs_equal_interval_pairs(spark, tmp_path):
     """Three batches, one key with most rows, ties, null times and keys; state ends with the watermark."""
     import random
