@@ -11,7 +11,7 @@ from gridlark.functions import boxes as B
 from gridlark.operators import overlap
 from gridlark.operators.ordered import largest_group, running
 from gridlark.operators.windows import crop_plan
-from gridlark.session import cut_lineage
+from gridlark.session import cut_lineage, stored_table
 
 BLOCK = 256
 
@@ -25,16 +25,27 @@ def track_box(tracks: DataFrame) -> DataFrame:
     )
 
 
-def frame_flags(frames: DataFrame, rois: DataFrame, tracks: DataFrame, keys: Sequence[str], refresh_age: int = 8, cover_iou: float = 0.25) -> DataFrame:
-    """Per frame: has regions, unexplained motion, confirmed, pending and stale tracks."""
+def loose_regions(rois: DataFrame, tracks: DataFrame, keys: Sequence[str], cover_iou: float = 0.25) -> DataFrame:
+    """Regions that no confirmed track accounts for, stored: the flags and the drawn regions both read them."""
+    return stored_table(overlap.unexplained(rois, track_box(tracks.where("confirmed")), list(keys), ["roi_no"], cover_iou))
+
+
+def frame_flags(
+    frames: DataFrame, rois: DataFrame, tracks: DataFrame, keys: Sequence[str], refresh_age: int = 8, cover_iou: float = 0.25,
+    loose: DataFrame | None = None,
+) -> DataFrame:
+    """Per frame: has regions, unexplained motion, confirmed, pending and stale tracks.
+
+    `loose` holds the unexplained regions if `loose_regions` has found them already.
+    """
     keys = list(keys)
     per = tracks.groupBy(*keys).agg(
         F.bool_or("confirmed").alias("confirmed"),
         F.bool_or(~F.col("confirmed") & (F.col("hits") >= 1)).alias("pending"),
         F.bool_or(F.col("confirmed") & (F.col("time_since_update") >= refresh_age)).alias("stale"),
     )
-    known = track_box(tracks.where("confirmed"))
-    loose = overlap.unexplained(rois, known, keys, ["roi_no"], cover_iou)
+    if loose is None:
+        loose = overlap.unexplained(rois, track_box(tracks.where("confirmed")), keys, ["roi_no"], cover_iou)
     seen = rois.groupBy(*keys).agg(F.lit(True).alias("has_rois"))
     odd = loose.groupBy(*keys).agg(F.lit(True).alias("unexplained"))
     joined = frames.join(per, keys, "left").join(seen, keys, "left").join(odd, keys, "left")
@@ -109,7 +120,7 @@ def decide(
         placed = running(flags, keys, [order], {"_pos": ("sum", F.lit(1).cast("bigint"), True)}, **options).withColumn("_kind", kind)
         blocks = placed.withColumn("idx", F.floor((F.col("_pos") - 1) / BLOCK).cast("bigint"))
         rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_kind").alias("k"))))
-        lists = blocks.groupBy(*keys, "idx").agg(rows.alias("_rows"))
+        lists = stored_table(blocks.groupBy(*keys, "idx").agg(rows.alias("_rows")))  # for the blocks' maps and for the replay
         maps = lists.select(*keys, "idx", _fold_map(F.col("_rows.k"), detect_every).alias("map"))
         longest = largest_group(flags, keys)
         options = {**options, "size": longest}
@@ -141,27 +152,32 @@ def decide(
 
 def run_regions(
     decided: DataFrame, rois: DataFrame, tracks: DataFrame, keys: Sequence[str], cover_iou: float = 0.25,
-    tiny_frac: float = 0.035, min_side: int = 320, pad: int = 24,
+    tiny_frac: float = 0.035, min_side: int = 320, pad: int = 24, loose: DataFrame | None = None,
 ) -> DataFrame:
     """Regions the detector looks at on each running frame, with the frame's mode.
 
     Unexplained regions, else all regions or pending tracks, else confirmed or pending
     tracks, by the frame's reason; a running frame without any has mode `full`.
-    Frames carry `width` and `height`.
+    Frames carry `width` and `height`. `loose` is as in `frame_flags`.
     """
     keys = list(keys)
     runs = cut_lineage(decided.where("run").select(*keys, "reason", "width", "height", "confirmed", "has_rois"))
-    known = track_box(tracks.where("confirmed"))
     whole = [F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]
-    loose = overlap.unexplained(rois, known, keys, ["roi_no"], cover_iou).select(*keys, *whole)
+    if loose is None:
+        loose = overlap.unexplained(rois, track_box(tracks.where("confirmed")), keys, ["roi_no"], cover_iou)
+    loose = loose.select(*keys, *whole)
     drawn = rois.select(*keys, *whole)
     padded = B.pad_roi(B.box(), pad, "width", "height")
     boxes = track_box(tracks.withColumnRenamed("confirmed", "_sure")).join(runs, keys).withColumns(dict(zip(("x1", "y1", "x2", "y2"), padded)))
-    pending = boxes.where("reason = 'confirm-pending' AND NOT has_rois AND NOT _sure AND hits >= 1")
-    refresh = boxes.where("reason = 'keyframe-refresh' AND (_sure OR (NOT confirmed AND hits >= 1))")
+    # pending tracks and tracks to refresh
+    tracked = boxes.where(
+        "(reason = 'confirm-pending' AND NOT has_rois AND NOT _sure AND hits >= 1)"
+        " OR (reason = 'keyframe-refresh' AND (_sure OR (NOT confirmed AND hits >= 1)))"
+    )
     pick = lambda df: df.select(*keys, "width", "height", "reason", "x1", "y1", "x2", "y2")
     first = pick(loose.join(runs.where("reason = 'unexplained-motion'"), keys))
     second = pick(drawn.join(runs.where("reason IN ('confirm-pending', 'predict-no-track', 'legacy-gate')"), keys))
-    looks = first.unionByName(second).unionByName(pick(pending)).unionByName(pick(refresh))
+    # read for the frame's mode and for the windows
+    looks = stored_table(first.unionByName(second).unionByName(pick(tracked)))
     planned = crop_plan(looks, keys, tiny_frac, min_side, pad).select(*keys, "mode", "x1", "y1", "x2", "y2")
     return runs.select(*keys, "reason").join(planned, keys, "left").withColumn("mode", F.coalesce("mode", F.lit("full")))

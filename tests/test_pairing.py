@@ -235,3 +235,18 @@ def test_live_all_pairs_equal_interval_pairs(spark, tmp_path):
     a, b = (table.where(F.col("side") == n).select("k", "us", "seq") for n in "ab")
     want = interval_pairs(a, b, "us", 1_500_000, ["k"]).select("k", "seq", "r_seq").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 300
+
+
+def test_regions_are_drawn_as_the_flags_saw_them(spark):
+    from gridlark.operators import duty
+
+    keys = ["stream_id", "frame_index"]
+    tracks = spark.createDataFrame([(1, 1, 20.0, 20.0, 10.0, 10.0, 3, 0, True), (1, 2, 90.0, 90.0, 4.0, 4.0, 3, 0, True)], "stream_id int, frame_index int, x double, y double, w double, h double, hits int, time_since_update int, confirmed boolean")
+    rois = spark.createDataFrame([(1, 1, 0, 15, 15, 25, 25), (1, 2, 0, 1, 1, 9, 9)], "stream_id int, frame_index int, roi_no int, x1 int, y1 int, x2 int, y2 int")
+    frames = spark.createDataFrame([(1, 1, True, 100, 100), (1, 2, True, 100, 100)], "stream_id int, frame_index int, triggered boolean, width int, height int")
+    loose = duty.loose_regions(rois, tracks, keys)
+    drawn = []
+    for given in (None, loose):
+        flags = duty.frame_flags(frames, rois, tracks, keys, loose=given)
+        drawn.append(sorted(map(tuple, duty.run_regions(duty.decide(flags, keys[:1], keys[1]), rois, tracks, keys, loose=given).collect())))
+    assert drawn[0] == drawn[1] and [r.frame_index for r in loose.collect()] == [2]
