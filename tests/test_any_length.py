@@ -96,3 +96,38 @@ def test_filter_equals_a_plain_walk(spark, q, n, block, fan):
     for r, w in zip(got, want):
         for a, b in zip((r.x, r.y, r.vx, r.vy, r.p00, r.p01, r.p11, r.w), w):
             assert abs(a - b) <= 1e-7 * (1 + abs(b))
+
+
+@pytest.mark.parametrize("block, fan", [(256, 256), (8, 4), (3, 2)])
+def test_grids_equal_cells_whatever_the_blocks(spark, block, fan):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(block)
+    rows, want = [], {}
+    for stream, n in ((1, 90), (2, 1), (3, 41)):
+        state, at = {}, 0
+        for _ in range(n):
+            at += rng.randrange(1, 4)
+            # a stream's grid grows, and some cells have no reading
+            grid = [None if rng.random() < 0.2 else rng.uniform(0, 60) for _ in range(12 if at > 60 else 8)]
+            rows.append((stream, at, grid))
+            want[stream, at] = [state.get(i) for i in range(len(grid))]
+            state.update({i: v if state.get(i) is None else 0.85 * state[i] + (1 - 0.85) * v for i, v in enumerate(grid) if v is not None})
+    df = spark.createDataFrame(rows, "stream_id int, frame_index bigint, grid array<double>").repartition(5)
+    got = gate.grid_background(df, ["stream_id"], "frame_index", block=block, fan=fan).localCheckpoint()
+    for r in got.collect():
+        assert len(r.background) == len(r.grid) == len(r.diff)
+        for a, b in zip(r.background, want.pop((r.stream_id, r.frame_index))):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+    assert not want
+    # a frame's grid is one row, so there are no more rows than frames
+    cells = got.select("stream_id", "frame_index", F.posexplode("diff").alias("i", "diff"))
+    cells = cells.selectExpr("stream_id", "frame_index", "i % 4 AS cell_x", "CAST(i / 4 AS INT) AS cell_y", "diff")
+    options = dict(scale=0.1, pad=4, width=40, height=40)
+    per_cell = sorted(map(tuple, gate.regions(cells, **options).collect()))
+    for bound in (12, 1000):  # inside the row, and as rows
+        found = gate.grid_regions(got, 4, cells_per_frame=bound, **options)
+        assert sorted(map(tuple, found.select("stream_id", "frame_index", F.inline("regions")).collect())) == per_cell
+    assert len(per_cell) > 30
+    close = lambda df: sorted((r.stream_id, r.frame_index, round(r.motion_frac, 9), round(r.energy, 6)) for r in df.collect())
+    assert close(gate.grid_motion(got)) == close(gate.motion(cells))
