@@ -87,7 +87,8 @@ def _starts(maps: DataFrame, keys: list[str], every: int, count: int) -> DataFra
             F.concat(a["out"], F.array(F.struct(r["idx"].alias("idx"), a["s"].alias("start")))).alias("out"),
         ),
     )
-    return lists.select(*keys, F.explode(walked["out"]).alias("_o")).select(*keys, "_o.idx", "_o.start")
+    # no list is empty; a plain explode would compute it once more to filter by its size
+    return lists.select(*keys, F.explode_outer(walked["out"]).alias("_o")).select(*keys, "_o.idx", "_o.start")
 
 
 def decide(
@@ -134,7 +135,7 @@ def decide(
             entry = F.struct(r["o"].alias("o"), (after == 0).alias("run"))
             return F.struct(after.alias("s"), F.concat(a["out"], F.array(entry)).alias("out"))
 
-        walked = lists.join(starts, [*keys, "idx"]).select(*keys, F.explode(F.aggregate("_rows", zero, replay)["out"]).alias("_o"))
+        walked = lists.join(starts, [*keys, "idx"]).select(*keys, F.explode_outer(F.aggregate("_rows", zero, replay)["out"]).alias("_o"))
         runs = walked.select(*keys, F.col("_o.o").alias(order), F.col("_o.run").alias("run"))
         reason = (
             F.when(F.col("unexplained"), "unexplained-motion")
