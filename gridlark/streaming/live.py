@@ -57,71 +57,72 @@ def stall_alarms(events: DataFrame, key: str, ts: str, gap: str, delay: str) ->
 class PairProcessor(StatefulProcessor):
     """Coincidence pairing of sides 'a' and 'b' of one key.
 
-    Rows wait in time buckets until the watermark passes them; then they are taken in time
-    order against the queue of the other side. A timer reads the buckets that are due and
-    no others, a new row rewrites its own bucket, and the queue holds what is within the
-    tolerance, so a long delay or a busy key costs no more per row.
+    Rows wait in chunks, in time order, until the watermark passes them; then they are
+    taken in time order against the queue of the other side. An index holds each chunk's
+    first time, so a timer reads the chunks that are due and no others, and a new batch
+    writes its own chunks only. Calls of the state store go by chunk and not by row, and
+    the queue holds what is within the tolerance.
     """
 
-    def __init__(self, tol_us: int, bucket_us: int = 60_000_000) -> None:
-        self.tol, self.width = tol_us, bucket_us
+    def __init__(self, tol_us: int, chunk: int = 1024) -> None:
+        self.tol, self.chunk = tol_us, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buckets = handle.getMapState("buckets", "bucket bigint", "body string")
-        #: numbers of the buckets that hold rows
-        self.waiting = handle.getValueState("waiting", "body string")
+        self.chunks = handle.getMapState("chunks", "number bigint", "body string")
+        #: next free number, and first time and number of each chunk
+        self.index = handle.getValueState("index", "body string")
         self.queue = handle.getListState("queue", "side string, at bigint, seq bigint")
 
-    def _waiting(self) -> list[int]:
-        return json.loads(self.waiting.get()[0]) if self.waiting.exists() else []
+    def _index(self) -> tuple[int, list]:
+        body = self.index.get()
+        return (0, []) if body is None else tuple(json.loads(body[0]))
 
-    def _rows(self, bucket: int) -> list:
-        return json.loads(self.buckets.getValue((bucket,))[0]) if self.buckets.containsKey((bucket,)) else []
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(at // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        added: dict[int, list] = {}
+        added: list = []
         for pdf in rows:
-            for s, a, q in zip(pdf["side"], pdf["at"].astype(int), pdf["seq"].astype(int)):
-                added.setdefault(int(a) // self.width, []).append([s, int(a), int(q)])
+            added += zip(pdf["at"].astype(int).tolist(), pdf["side"].tolist(), pdf["seq"].astype(int).tolist())
         if added:
-            for bucket, new in added.items():
-                self.buckets.updateValue((bucket,), (json.dumps(self._rows(bucket) + new),))
-            self.waiting.update((json.dumps(sorted({*self._waiting(), *added})),))
-            times = [r[1] for new in added.values() for r in new]
-            # also wake as soon as the watermark moves at all
-            for at in (max(times), min(times)):
-                self.handle.registerTimer(at // 1000 + 1)
+            added.sort()
+            number, waiting = self._index()
+            # a timer for the soonest chunk is set already
+            if not waiting or added[0][0] < min(waiting)[0]:
+                self._wake(added[0][0])
+            for i in range(0, len(added), self.chunk):
+                self.chunks.updateValue((number,), (json.dumps(added[i : i + self.chunk]),))
+                waiting.append([added[i][0], number])
+                number += 1
+            self.index.update((json.dumps([number, waiting]),))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, left, soonest = [], [], None
-        for bucket in self._waiting():
-            if bucket * self.width > upto:
-                left.append(bucket)
-                continue
-            rows = self._rows(bucket)
-            later = [r for r in rows if r[1] > upto]
-            ready += [tuple(r) for r in rows if r[1] <= upto]
+        number, waiting = self._index()
+        due = [w for w in waiting if w[0] <= upto]
+        if not due:
+            return
+        left, ready = [w for w in waiting if w[0] > upto], []
+        for _, n in due:
+            rows = json.loads(self.chunks.getValue((n,))[0])
+            later = [r for r in rows if r[0] > upto]
+            ready += [r for r in rows if r[0] <= upto]
             if later:
-                left.append(bucket)
-                soonest = min(r[1] for r in later)
-                self.buckets.updateValue((bucket,), (json.dumps(later),))
+                left.append([later[0][0], n])
+                self.chunks.updateValue((n,), (json.dumps(later),))
             else:
-                self.buckets.removeKey((bucket,))
-        if ready or not left:
-            self.waiting.update((json.dumps(left),)) if left else self.waiting.clear()
-        if left and soonest is None:
-            soonest = min(r[1] for r in self._rows(min(left)))
-        if soonest is not None:
-            self.handle.registerTimer(soonest // 1000 + 1)
-        if not ready:
-            yield pd.DataFrame([], columns=["a_seq", "b_seq", "a_us", "b_us"])
-            return
-        queue = deque(tuple(r) for r in self.queue.get()) if self.queue.exists() else deque()
+                self.chunks.removeKey((n,))
+        if left:
+            self._wake(min(left)[0])
+            self.index.update((json.dumps([number, left]),))
+        else:
+            self.index.clear()
+        before = list(self.queue.get())
+        queue = deque(tuple(r) for r in before)
         out = []
-        for side, at, seq in sorted(ready, key=lambda r: (r[1], r[0], r[2])):
+        for at, side, seq in sorted(ready):
             while queue and queue[0][1] < at - self.tol:
                 queue.popleft()
             if queue and queue[0][0] != side:
@@ -130,8 +131,12 @@ class PairProcessor(StatefulProcessor):
                 out.append((int(a[1]), int(b[1]), int(a[0]), int(b[0])))
             else:
                 queue.append((side, at, seq))
-        self.queue.put(list(queue)) if queue else self.queue.clear()
-        yield pd.DataFrame(out, columns=["a_seq", "b_seq", "a_us", "b_us"])
+        if queue:
+            self.queue.put(list(queue))
+        elif before:
+            self.queue.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["a_seq", "b_seq", "a_us", "b_us"])
 
     def close(self) -> None:
         pass

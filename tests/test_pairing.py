@@ -250,3 +250,88 @@ def test_regions_are_drawn_as_the_flags_saw_them(spark):
         flags = duty.frame_flags(frames, rois, tracks, keys, loose=given)
         drawn.append(sorted(map(tuple, duty.run_regions(duty.decide(flags, keys[:1], keys[1]), rois, tracks, keys, loose=given).collect())))
     assert drawn[0] == drawn[1] and [r.frame_index for r in loose.collect()] == [2]
+
+
+def test_live_pairing_calls_the_store_by_chunk():
+    """Rows far apart in time, late rows and leftovers; calls do not grow with the rows."""
+    import pandas as pd
+
+    from gridlark.streaming import live
+
+    calls, timers = [], set()
+
+    class Fake:
+        def __init__(self):
+            self.map, self.value, self.rows = {}, None, []
+
+        def __getattribute__(self, name):
+            if name not in ("map", "value", "rows"):
+                calls.append(name)
+            return object.__getattribute__(self, name)
+
+        def get(self):
+            return iter(self.rows) if self.value is None and self is handle.made["queue"] else self.value
+
+        def exists(self):
+            return self.value is not None or bool(self.rows)
+
+        def update(self, v):
+            self.value = v
+
+        def clear(self):
+            self.value, self.rows = None, []
+
+        def put(self, rows):
+            self.rows = rows
+
+        def containsKey(self, k):
+            return k in self.map
+
+        def getValue(self, k):
+            return self.map.get(k)
+
+        def updateValue(self, k, v):
+            self.map[k] = v
+
+        def removeKey(self, k):
+            del self.map[k]
+
+    class Handle:
+        made = {}
+
+        def _make(self, name, *_):
+            return self.made.setdefault(name, Fake())
+
+        getMapState = getValueState = getListState = _make
+
+        def registerTimer(self, at):
+            timers.add(at)
+
+    class Times:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    handle, times = Handle(), Times()
+    processor = live.PairProcessor(5_000_000)
+    processor.init(handle)
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), n * 600_000_000 + rng.randrange(8) * 1_000_000, n) for n in range(400)]
+    rows += [(rng.choice("ab"), at + rng.randrange(8) * 1_000_000, 1000 + n) for n, (_, at, _) in enumerate(rows[:300])]
+    rng.shuffle(rows)
+    got = []
+    for batch, now in ((rows[:350], 100_000_000), (rows[350:], 180_000_000), ([], 300_000_000)):
+        late = [r for r in batch if r[1] > times.now * 1000]
+        rows = [r for r in rows if r not in batch or r in late]
+        if late:
+            list(processor.handleInputRows((1,), iter([pd.DataFrame(late, columns=["side", "at", "seq"])]), times))
+        times.now = now
+        for at in sorted(t for t in timers if t <= now):
+            timers.discard(at)
+            for pdf in processor.handleExpiredTimer((1,), times, None):
+                got += [tuple(r) for r in pdf[["a_seq", "b_seq"]].itertuples(index=False)]
+    a, b = (sorted((at, seq) for s, at, seq in rows if s == side) for side in "ab")
+    want, _ = two_queues(a, b, 5_000_000)
+    assert {(int(x), int(y)) for x, y in got} == {(x, y) for x, y in want} and len(got) == len(want) > 50
+    assert len(calls) < 60
