@@ -109,3 +109,24 @@ def test_numbering_reads_stored_rows(spark, monkeypatch):
     rows = spark.createDataFrame([(k, f, 10) for k in range(3) for f in range(4)], "key long, fp long, n long")
     assert similar._numbered(rows).count() == 12
     assert seen and "Join" not in seen[0]
+
+
+def test_copies_that_stay_apart_meet_by_what_they_changed(spark, monkeypatch):
+    from gridlark.llm import similar
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for changed in [3] * 100 + [1, 2, 5, 7] * 3:  # an index of 0.66 between most of them
+        words = list(base)
+        for at in rng.sample(range(150), changed):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [t.replace(" w", " y", 1) for t in texts[:6]]
+    calls, real = [], similar._alike
+    monkeypatch.setattr(similar, "_alike", lambda pairs, sketches: calls.append(pairs.count()) or real(pairs, sketches))
+    monkeypatch.setattr(similar, "_simhash_roots", lambda *a: None)
+    rows = [(k, t) for k, t in enumerate(texts) if k not in (100, 104, 108)]
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == plain_groups(rows)
+    assert len(calls) > 1 and sum(calls[1:]) < 10 * len(rows), calls
