@@ -15,9 +15,12 @@ from gridlark.functions import boxes as B
 from gridlark.functions import vectors as V
 from gridlark.operators.ordered import HOT_ROWS, islands, largest_group
 from gridlark.operators.overlap import overlap_pairs
-from gridlark.operators.runs import tables_by
+from gridlark.operators.runs import turns, whole_keys
 from gridlark.session import stored_table
 
+#: Frames with at most this many pairs are matched whole.
+WHOLE_PAIRS = 100_000
+
 
 def squared_distance(dx: Column, dy: Column, p00: Column, noise: float) -> Column:
     """Distance of a point from a predicted centre under equal axis variances."""
@@ -78,8 +81,8 @@ def nearest_greedy(
     return matches.select(*keys, F.col("m.t").alias(track), F.col("m.p").alias(point), F.col("m.d2").alias("d2"))
 
 
-def least_cost(cost: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Row of each column's partner (-1 for none) in a least-cost full matching, and whether there may be others.
+def least_cost(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each column's partner (-1 for none) in a least-cost full matching, and the places others may use.
 
     Shortest augmenting paths with row and column prices; rows may not outnumber columns.
     """
@@ -113,9 +116,8 @@ def least_cost(cost: np.ndarray) -> tuple[np.ndarray, bool]:
             prev = via[col]
             owner[col] = owner[prev] if prev >= 0 else r
             col = prev
-    # another matching of this cost needs another pair that its prices allow
-    tight = np.count_nonzero(cost - price_r[:, None] - price_c <= 1e-8)
-    return owner, tight > n
+    # another matching of this cost uses nothing but pairs that its prices allow
+    return owner, cost - price_r[:, None] - price_c <= 1e-8
 
 
 def best_matching(pairs: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
@@ -123,10 +125,10 @@ def best_matching(pairs: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
 
     Of equal totals (to nine digits) the one that does without the highest columns wins.
     """
-    found, open_ = _one_best(pairs)
+    found, tight = _one_best(pairs)
     total = lambda some: round(sum(pairs[p] for p in some), 9)
     left = pairs
-    for c in sorted({c for _, c in pairs}, reverse=True) if open_ else ():
+    for c in sorted({c for _, c in pairs}, reverse=True) if len(tight) > len(found) else ():
         less = {p: v for p, v in left.items() if p[1] != c}
         if any(j == c for _, j in found):
             # only a lower column that is free can stand in
@@ -141,7 +143,8 @@ def best_matching(pairs: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     return found
 
 
-def _one_best(pairs: dict[tuple[int, int], float]) -> tuple[list[tuple[int, int]], bool]:
+def _one_best(pairs: dict[tuple[int, int], float]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """A best matching, and the pairs that it or any other one as good may use."""
     rows = sorted({r for r, _ in pairs})
     cols = sorted({c for _, c in pairs})
     full = np.full((len(rows), len(cols)), 1e4)
@@ -149,16 +152,17 @@ def _one_best(pairs: dict[tuple[int, int], float]) -> tuple[list[tuple[int, int]
     for (r, c), cost in pairs.items():
         full[at_r[r], at_c[c]] = cost
     if len(rows) <= len(cols):
-        owner, open_ = least_cost(full)
+        owner, tight = least_cost(full)
         found = [(rows[r], cols[c]) for c, r in enumerate(owner) if r >= 0]
     else:
-        owner, open_ = least_cost(full.T)
+        owner, tight = least_cost(full.T)
+        tight = tight.T
         found = [(rows[r], cols[c]) for r, c in enumerate(owner) if c >= 0]
-    return sorted(p for p in found if p in pairs), open_
+    return sorted(p for p in found if p in pairs), [p for p in pairs if tight[at_r[p[0]], at_c[p[1]]]]
 
 
-def contested(pairs: dict) -> list[tuple[int, int]]:
-    """Best matching, solved separately for groups of pairs that share a row or column."""
+def _apart(pairs: dict) -> list[dict]:
+    """Groups of pairs that share a row or column."""
     up: dict = {}
 
     def top(x):
@@ -172,7 +176,57 @@ def contested(pairs: dict) -> list[tuple[int, int]]:
     groups: dict = {}
     for p, cost in pairs.items():
         groups.setdefault(top((0, p[0])), {})[p] = cost
-    return sorted(m for g in groups.values() for m in (g if len(g) == 1 else best_matching(g)))
+    return list(groups.values())
+
+
+def contested(pairs: dict) -> list[tuple[int, int]]:
+    """Best matching, solved separately for groups of pairs that share a row or column."""
+    return sorted(m for g in _apart(pairs) for m in (g if len(g) == 1 else best_matching(g)))
+
+
+def frame_matching(pairs: dict[tuple[int, int], float], most: int = 50_000) -> list[tuple[int, int]]:
+    """Best matching of a whole frame, ties settled as a plain walk over its rows settles them.
+
+    Totals are added up row by row over the frame, so they may tell matchings apart that
+    are equal in the groups on their own. Of one set of columns the least total wins, to
+    the last bit, then the lowest rows; of different sets the least total to nine digits,
+    then the one that does without the highest columns. Only pairs that some best matching
+    uses are walked. With more than `most` sets at a time the groups decide alone.
+    """
+    fixed: dict = {}
+    loose: dict = {}
+    skips: dict = {}
+    for k, g in enumerate(_apart(pairs)):
+        found, tight = (list(g), list(g)) if len(g) == 1 else _one_best(g)
+        if len(tight) <= len(found):
+            fixed.update(found)
+            continue
+        for r, c in tight:
+            loose.setdefault(r, (k, []))[1].append(c)
+        skips[k] = len({r for r, _ in tight}) - len(found)
+    if not loose:
+        return sorted(fixed.items())
+    # sets of columns with their total, their pairs and how many rows each group may still pass over
+    states = {0: (0.0, (), skips)}
+    for r in sorted([*fixed, *loose]):
+        if r in fixed:
+            cost = pairs[r, fixed[r]]
+            states = {m: (total + cost, *rest) for m, (total, *rest) in states.items()}
+            continue
+        k, cols = loose[r]
+        after: dict = {}
+        for m, (total, path, left) in states.items():
+            steps = [(m | 1 << c, total + pairs[r, c], (*path, (r, c)), left) for c in cols if not m >> c & 1]
+            if left[k]:
+                steps.append((m, total, path, {**left, k: left[k] - 1}))
+            for to, *state in steps:
+                if to not in after or state[:2] < list(after[to][:2]):
+                    after[to] = tuple(state)
+        states = after
+        if len(states) > most:
+            return contested(pairs)
+    _, _, path = min((np.floor(total * 1e9 + 0.5), m, path) for m, (total, path, _) in states.items())
+    return sorted([*fixed.items(), *path])
 
 
 def candidate_costs(
@@ -246,32 +300,39 @@ def candidate_costs(
 def _matched(pairs: DataFrame, keys: list[str], track: str, number: str, bound: int) -> DataFrame:
     """Least-cost matching of costed pairs, frame by frame.
 
-    Pairs are split into groups that share no track or detection. A pair on its own is a
-    match as it stands; only contested groups go to the helper, streamed in group order,
-    which splits them further by who shares whom.
+    A frame goes to the helper whole, which splits it by who shares whom; a pair on its
+    own is a match as it stands. Frames with more than `WHOLE_PAIRS` pairs are split
+    before into groups that cannot touch, so that no frame has to fit in one place.
     """
-    split = axis_islands(pairs, keys, [track, number], bound)
-    group = [*keys, "_ix", "_iy"]
-    slim = split.withColumn("_n", F.count("*").over(W.partitionBy(*group))).select(*group, track, number, "cost", "_n")
+    if bound <= WHOLE_PAIRS:
+        return _solved(pairs, keys, keys, track, number)
+    pairs = stored_table(pairs)
+    # fewer than rows / WHOLE_PAIRS frames can pass this filter
+    crowded = stored_table(pairs.groupBy(*keys).count().where(F.col("count") > WHOLE_PAIRS).select(*keys))
+    whole = _solved(pairs.join(crowded, keys, "left_anti"), keys, keys, track, number)
+    split = axis_islands(pairs.join(crowded, keys, "left_semi"), keys, [track, number], bound)
+    return whole.unionByName(_solved(split, keys, [*keys, "_ix", "_iy"], track, number))
+
+
+def _solved(pairs: DataFrame, keys: list[str], group: list[str], track: str, number: str) -> DataFrame:
+    """Matching of every group; only groups of more than one pair go to the helper, in group order."""
+    slim = pairs.withColumn("_n", F.count("*").over(W.partitionBy(*group))).select(*group, track, number, "cost", "_n")
     types = dict(slim.dtypes)
     out_cols = [*keys, track, number, "cost"]
     ddl = ", ".join(f"`{c}` {types[c]}" for c in out_cols)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, rows = [], 0
-        for _, t in tables_by(batches, group):
-            # numbers in the order of the ids, so that ties fall as they do for the ids
-            sides = [np.unique(t.column(c).to_numpy(), return_inverse=True)[1].tolist() for c in (track, number)]
-            line = {p: k for k, p in enumerate(zip(*sides))}
-            costs = t.column("cost").to_numpy().tolist()
-            chosen = contested({p: costs[k] for p, k in line.items()})
-            done.append(t.select(out_cols).take(pa.array([line[p] for p in chosen], pa.int64())))
-            rows += len(chosen)
-            if rows >= 8192:
-                yield from pa.concat_tables(done).combine_chunks().to_batches()
-                done, rows = [], 0
-        if done:
-            yield from pa.concat_tables(done).combine_chunks().to_batches()
+        for batch in whole_keys(batches, group):
+            starts = [0, *turns(batch, group).tolist()]
+            ids = [batch.column(c).to_pylist() for c in (track, number)]
+            costs = batch.column("cost").to_pylist()
+            kept = []
+            for a, z in zip(starts, [*starts[1:], batch.num_rows]):
+                # numbers in the order of the ids, so that ties fall as they do for the ids
+                ranks = [{v: k for k, v in enumerate(sorted(set(side[a:z])))} for side in ids]
+                line = {(ranks[0][ids[0][i]], ranks[1][ids[1][i]]): i for i in range(a, z)}
+                kept += [line[p] for p in frame_matching({p: costs[i] for p, i in line.items()})]
+            yield batch.select(out_cols).take(pa.array(kept, pa.int64()))
 
     rivals = slim.where("_n > 1").drop("_n").repartition(*group).sortWithinPartitions(*group)
     return slim.where("_n = 1").select(*out_cols).unionByName(rivals.mapInArrow(match, ddl))

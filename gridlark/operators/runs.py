@@ -34,22 +34,3 @@ def whole_keys(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterat
         last = at(batch.num_rows - 1)
     if held:
         yield pa.concat_batches(held)
-
-
-def tables_by(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Rows that are sorted by `keys` as one table per key; a key may go on from batch to batch."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        places = turns(batch, keys).tolist()
-        for a, z in zip([0, *places], [*places, batch.num_rows]):
-            at = tuple(batch.column(k)[a].as_py() for k in keys)
-            if held and at != last:
-                yield last, pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, z - a))
-            last = at
-    if held:
-        yield last, pa.Table.from_batches(held)
