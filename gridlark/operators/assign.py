@@ -181,7 +181,17 @@ def _apart(pairs: dict) -> list[dict]:
 
 def contested(pairs: dict) -> list[tuple[int, int]]:
     """Best matching, solved separately for groups of pairs that share a row or column."""
-    return sorted(m for g in _apart(pairs) for m in (g if len(g) == 1 else best_matching(g)))
+    return sorted(m for g in _apart(pairs) for m in (g if len(g) == 1 else _one_sided(g) or best_matching(g)))
+
+
+def _one_sided(pairs: dict) -> list[tuple[int, int]]:
+    """`best_matching` where all pairs share one row or one column; empty for others."""
+    (r, c), *rest = pairs
+    if all(i == r for i, _ in rest):
+        return [min(pairs, key=lambda p: (round(pairs[p], 9), p[1]))]
+    if all(j == c for _, j in rest):
+        return [min(pairs, key=lambda p: (pairs[p], p[0]))]
+    return []
 
 
 def frame_matching(pairs: dict[tuple[int, int], float], most: int = 50_000) -> list[tuple[int, int]]:

@@ -243,77 +243,295 @@ def frame_arrays(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list, np.nd
     return boxes, np.array([r[5] for r in det], dtype=float), looks, points
 
 
-def _frames(batches: Iterator[pa.RecordBatch], lead: list[str]) -> Iterator[tuple]:
-    """Key, boxes, confidences, looks and points of each frame, and the numbers of its boxes.
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and place of every element of the runs ``starts .. starts + counts``."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - (np.cumsum(counts) - counts - starts)[owner]
+
+
+def _near_pairs(starts: np.ndarray, counts: np.ndarray, near, most: int = 1_000_000) -> tuple:
+    """Owners, places and values of the pairs that `near` keeps, some owners at a time."""
+    found, a = [], 0
+    upto = np.cumsum(counts)
+    while a < len(counts):
+        z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        owner, place = _ranges(starts[a:z], counts[a:z])
+        keep, value = near(owner + a, place)
+        found.append((owner[keep] + a, place[keep], value))
+        a = z
+    if not found:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def _alone(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Pairs that share neither end with another pair."""
+    if not len(rows):
+        return np.zeros(0, dtype=bool)
+    return (np.bincount(rows)[rows] == 1) & (np.bincount(cols)[cols] == 1)
+
+
+class Frames:
+    """Whole frames of many groups as arrays; rows are sorted by group, frame and kind."""
+
+    def __init__(self, batch: pa.RecordBatch, group: list[str], lead: list[str]) -> None:
+        self.batch = batch
+        self.starts = np.concatenate([[0], turns(batch, lead)]).astype(np.int64)
+        ends = np.append(self.starts[1:], batch.num_rows)
+        plain = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        kind = plain("kind")
+        self.conf, self.no = plain("conf").astype(float), plain("no")
+        self.sides = np.column_stack([plain(c).astype(float) for c in ("x1", "y1", "x2", "y2")])
+        self.index = plain("frame_index")[self.starts]
+        until = lambda k: np.concatenate([[0], np.cumsum(kind == k)])
+        per = lambda k: until(k)[ends] - until(k)[self.starts]
+        self.n_det, self.n_points = per(0), per(1)
+        self.det = self.starts + per(-1)
+        self.points = self.det + self.n_det
+        opens = np.concatenate([[0], turns(batch, group)])
+        self.group = np.searchsorted(opens, self.starts, "right") - 1
+        #: first frame and number of frames of each group
+        self.first = np.searchsorted(self.starts, opens)
+        self.length = np.diff(np.append(self.first, len(self.starts)))
+        #: detections without a track, and tracks born so far in each group
+        self.free = np.ones(batch.num_rows, dtype=bool)
+        self.births = np.zeros(len(self.first), dtype=np.int64)
+        self.vectors = None
+        if batch.column("vector").null_count < batch.num_rows:
+            self.vectors = np.empty(batch.num_rows, dtype=object)
+            self.vectors[:] = [None if v is None else np.asarray(v, dtype=float) for v in batch.column("vector").to_pylist()]
+
+    def texts(self, column: str, known: dict) -> np.ndarray:
+        """The column as numbers; `known` gains the new texts."""
+        codes = self.batch.column(column).dictionary_encode()
+        numbers = np.array([known.setdefault(v, len(known)) for v in codes.dictionary.to_pylist()] + [known[None]], dtype=np.int64)
+        return numbers[codes.indices.fill_null(len(numbers) - 1).to_numpy(zero_copy_only=False)]
 
-    Batches hold whole frames, sorted by kind, and are turned into arrays once.
-    """
+
+def _frames(batches: Iterator[pa.RecordBatch], lead: list[str]) -> Iterator[tuple]:
+    """Key, boxes, confidences, looks and points of each frame, and the numbers of its boxes."""
     for batch in batches:
-        starts = [0, *turns(batch, lead).tolist()]
-        at = zip(*(batch.column(c).take(pa.array(starts)).to_pylist() for c in lead))
-        plain = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-        kind, conf, numbers = plain("kind"), plain("conf").astype(float), plain("no").tolist()
-        sides = np.column_stack([plain(c).astype(float) for c in ("x1", "y1", "x2", "y2")])
-        class_name, name, vector = (
-            [None] * batch.num_rows if batch.column(c).null_count == batch.num_rows else batch.column(c).to_pylist()
-            for c in ("class_name", "name", "vector")
-        )
-        ends = [*starts[1:], batch.num_rows]
-        det = np.concatenate([[0], np.cumsum(kind == 0)])
-        markers = np.concatenate([[0], np.cumsum(kind < 0)])
-        for key, a, z in zip(at, starts, ends):
-            a += int(markers[z] - markers[a])
-            m = a + int(det[z] - det[a])
-            looks = [[class_name[i], name[i], None if vector[i] is None else np.asarray(vector[i], dtype=float)] for i in range(a, m)]
-            yield key, sides[a:m], conf[a:m], looks, sides[m:z, :2], numbers[a:m]
+        f = Frames(batch, lead[:-1], lead)
+        at = zip(*(batch.column(c).take(pa.array(f.starts)).to_pylist() for c in lead))
+        class_name, name = (batch.column(c).to_pylist() for c in ("class_name", "name"))
+        for key, a, m, z in zip(at, f.det, f.points, f.points + f.n_points):
+            looks = [[class_name[i], name[i], None if f.vectors is None else f.vectors[i]] for i in range(a, m)]
+            yield key, f.sides[a:m], f.conf[a:m], looks, f.sides[m:z, :2], f.no[a:m].tolist()
+
 
+# whole-number columns of the live tracks of many groups
+OF, CLASS, NAME, BORN_AT, BORN_NO = range(5)
 
-class Pages:
-    """Blocks of numbers with their frames' keys, written as one batch."""
 
-    def __init__(self, schema: pa.Schema, n_keys: int) -> None:
-        self.schema, self.n_keys = schema, n_keys
+class Streams(Stream):
+    """Live tracks of many groups, one frame of every group at a time.
+
+    A group's frames give what `Stream` gives for them; rows are sorted by group and
+    birth. Texts are numbers of `known`, where None and the empty text come first.
+    """
+
+    def __init__(self, watch: bool) -> None:
+        super().__init__()
+        self.watch = watch
         self.clear()
 
     def clear(self) -> None:
-        self.n, self.at, self.blocks, self.looks, self.born = 0, [], [], [], []
+        """Nothing lives and no group goes on."""
+        self.rows, self.whole, self.vectors = np.zeros((0, WIDTH)), np.zeros((0, 5), dtype=np.int64), np.zeros(0, dtype=object)
+        self.known: dict = {None: 0, "": 1}
+        self.births, self.key = 0, None
+
+    def keep(self, some: np.ndarray) -> None:
+        self.rows, self.whole, self.vectors = self.rows[some], self.whole[some], self.vectors[some]
+
+    def candidates(self, f: Frames, at: np.ndarray, o: TrackerOptions) -> tuple:
+        """Valid pairs of tracks and detections (rows of `f`) with their cost."""
+        s = self.rows.T
+        w, h = s[WID], s[HEI]
+        x1, y1, x2, y2 = s[X] - w / 2, s[Y] - h / 2, s[X] + w / 2, s[Y] + h / 2
+        size, spread = w * h, s[P00] + o.meas_var
+        wide = o.gate * np.minimum(3.0, 1.0 + 0.35 * s[TSU])
+
+        def near(t, j):
+            bx1, by1, bx2, by2 = f.sides[j].T
+            iw = np.minimum(x2[t], bx2) - np.maximum(x1[t], bx1)
+            ih = np.minimum(y2[t], by2) - np.maximum(y1[t], by1)
+            inter = np.where((iw > 0) & (ih > 0), iw * ih, 0.0)
+            union = size[t] + (bx2 - bx1) * (by2 - by1) - inter
+            iou = np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
+            dx, dy = s[X][t] - (bx1 + bx2) / 2, s[Y][t] - (by1 + by2) / 2
+            maha = (dx * dx + dy * dy) / spread[t]
+            ok = (maha <= wide[t]) | (iou >= 0.05)
+            t, j, iou, maha = t[ok], j[ok], iou[ok], maha[ok]
+            cost = o.w_iou * (1 - iou) + o.w_space * (0.5 * np.minimum(maha / np.maximum(wide[t], 1e-6), 2.0))
+            a, b = self.whole[t, NAME], self.names[j]
+            look = np.where((a > 1) & (b > 1), np.where(a == b, 0.1, 0.8), np.nan)
+            if f.vectors is not None:
+                for i, (v, u) in enumerate(zip(self.vectors[t], f.vectors[j])):
+                    if v is not None and u is not None:
+                        look[i] = look_distance([None, None, v], [None, None, u])
+            unseen = np.isnan(look)
+            look = np.where(unseen, 0.0, look)
+            fits = look <= 0.85
+            ok[ok] = fits
+            return ok, np.where(unseen, cost / (o.w_iou + o.w_space), cost + o.w_look * look)[fits]
+
+        return _near_pairs(f.det[at], f.n_det[at], near)
+
+    @staticmethod
+    def matched(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        alone = _alone(rows, cols)
+        rest = ~alone
+        more = contested(dict(zip(zip(rows[rest].tolist(), cols[rest].tolist()), cost[rest].tolist())))
+        more = np.array(more, dtype=int).reshape(-1, 2)
+        return np.concatenate([rows[alone], more[:, 0]]), np.concatenate([cols[alone], more[:, 1]])
+
+    def together(self, f: Frames, now: np.ndarray, o: TrackerOptions) -> None:
+        """One frame, `now`, of every group that still has one."""
+        place = np.zeros(len(f.first), dtype=np.int64)
+        place[f.group[now]] = now
+        at = place[self.whole[:, OF]]
+        self.predict(o)
+        reach = self.reach(o) if self.watch else None
+        _, boxes = _ranges(f.det[now], f.n_det[now])
+        rows, cols, cost = self.candidates(f, at, o)
+        free = f.free
+        if o.two_stage:
+            strong = f.conf[cols] >= o.high
+            hit, by = self.matched(rows[strong], cols[strong], cost[strong])
+            free[by] = False
+            idle = np.ones(len(self.rows), dtype=bool)
+            idle[hit] = False
+            weak = (f.conf[cols] >= o.low) & (f.conf[cols] < o.high) & idle[rows]
+            hit2, by2 = self.matched(rows[weak], cols[weak], cost[weak])
+            hit, by = np.concatenate([hit, hit2]), np.concatenate([by, by2])
+            births = boxes[(f.conf[boxes] >= o.high) & free[boxes]]
+        else:
+            hit, by = self.matched(rows, cols, cost)
+            free[by] = False
+            births = boxes[free[boxes]]
+        if len(hit):
+            x1, y1, x2, y2 = f.sides[by].T
+            self.correct(hit, (x1 + x2) / 2, (y1 + y2) / 2, o.meas_var)
+            self.rows[hit, WID] = 0.8 * self.rows[hit, WID] + 0.2 * np.maximum(4.0, x2 - x1)
+            self.rows[hit, HEI] = 0.8 * self.rows[hit, HEI] + 0.2 * np.maximum(4.0, y2 - y1)
+            self.rows[hit, HITS] += 1
+            self.rows[hit, TSU] = 0
+            self.whole[hit, CLASS] = self.classes[by]
+            self.whole[hit, NAME] = np.where(self.names[by] > 1, self.names[by], self.whole[hit, NAME])
+            if f.vectors is not None:
+                for t, j in zip(hit.tolist(), by.tolist()):
+                    self.vectors[t] = blend([None, None, self.vectors[t]], [None, None, f.vectors[j]])[2]
+        if len(births):
+            x1, y1, x2, y2 = f.sides[births].T
+            new, whole = np.zeros((len(births), WIDTH)), np.zeros((len(births), 5), dtype=np.int64)
+            new[:, X], new[:, Y] = (x1 + x2) / 2, (y1 + y2) / 2
+            new[:, P00], new[:, P11], new[:, HITS] = o.meas_var, 100.0, 1
+            new[:, WID], new[:, HEI] = np.maximum(4.0, x2 - x1), np.maximum(4.0, y2 - y1)
+            frame = np.searchsorted(f.starts, births, "right") - 1
+            g = f.group[frame]
+            new[:, ID] = f.births[g] + 1 + np.arange(len(g)) - np.searchsorted(g, g)
+            f.births += np.bincount(g, minlength=len(f.births))
+            whole[:, OF], whole[:, CLASS], whole[:, NAME] = g, self.classes[births], self.names[births]
+            whole[:, BORN_AT], whole[:, BORN_NO] = f.index[frame], f.no[births]
+            fresh = np.full(len(births), None, dtype=object) if f.vectors is None else f.vectors[births]
+            order = np.argsort(np.concatenate([self.whole[:, OF], g]), kind="stable")
+            self.rows, self.whole, self.vectors = np.vstack([self.rows, new]), np.vstack([self.whole, whole]), np.concatenate([self.vectors, fresh])
+            self.keep(order)
+        if reach is not None:
+            xy, far = self.rows[:, [X, Y]], o.aux_radius
+            self.watched = (np.concatenate([at, place[self.whole[:, OF]]]), np.vstack([reach, np.column_stack([xy - far, xy + far])]))
+        self.attract(f, place[self.whole[:, OF]], o)
+        self.keep(self.rows[:, TSU] <= o.max_age)
 
-    def add(self, at: tuple, block: np.ndarray, looks: list = (), born: list = ()) -> None:
-        if not len(block):
-            return
-        self.n += len(block)
-        self.at.append(at)
-        self.blocks.append(block.copy())
-        self.looks += [(v[0], v[1]) for v in looks]
-        self.born += born
-
-    def flush(self, columns) -> list[pa.RecordBatch]:
-        """What was added, with the `columns` made of it; others are null."""
-        if not self.n:
-            return []
-        frame = pa.array(np.repeat(np.arange(len(self.at)), [len(b) for b in self.blocks]))
-        fields = list(self.schema)
-        lead = fields[: self.n_keys]
-        arrays = {f.name: pa.array(k, f.type).take(frame) for f, k in zip(lead, zip(*self.at))}
-        made = columns(np.vstack(self.blocks), self.looks, self.born)
-        for f in fields[self.n_keys :]:
-            arrays[f.name] = pa.array(made[f.name], f.type) if f.name in made else pa.nulls(self.n, f.type)
-        self.clear()
-        return [pa.RecordBatch.from_arrays([arrays[f.name] for f in fields], schema=self.schema)]
+    def attract(self, f: Frames, at: np.ndarray, o: TrackerOptions) -> None:
+        """Points of each frame: each track in turn takes the nearest one left within reach."""
+
+        def near(t, j):
+            dx, dy = f.sides[j, 0] - self.rows[t, X], f.sides[j, 1] - self.rows[t, Y]
+            d2 = dx * dx + dy * dy
+            ok = d2 < o.aux_radius**2
+            return ok, d2[ok]
+
+        rows, cols, d2 = _near_pairs(f.points[at], f.n_points[at], near)
+        alone = _alone(rows, cols)
+        taken = dict(zip(cols[alone].tolist(), rows[alone].tolist()))
+        now, pick, least = -1, -1, np.inf
+        for i, j, d in zip(*(v[~alone].tolist() for v in (rows, cols, d2))):
+            if i != now:
+                if pick >= 0:
+                    taken[pick] = now
+                now, pick, least = i, -1, np.inf
+            if d < least and j not in taken:
+                pick, least = j, d
+        if pick >= 0:
+            taken[pick] = now
+        if taken:
+            z = f.sides[list(taken)]
+            self.correct(list(taken.values()), z[:, 0], z[:, 1], o.aux_var)
+
+    def walk(self, f: Frames, group: list[str], o: TrackerOptions) -> Iterator[tuple]:
+        """All frames of `f`: the frame, numbers and whole numbers of every live track, and what was watched.
+
+        The last group may go on in the next frames.
+        """
+        key = lambda i: tuple(f.batch.column(c)[i].as_py() for c in group)
+        if self.key != key(0):
+            self.clear()
+        # texts are numbered anew, so that they do not pile up
+        old = list(self.known)
+        self.known = {None: 0, "": 1}
+        again = {k: self.known.setdefault(old[k], len(self.known)) for k in np.unique(self.whole[:, [CLASS, NAME]]).tolist()}
+        for c in (CLASS, NAME):
+            self.whole[:, c] = [again[k] for k in self.whole[:, c].tolist()]
+        self.classes, self.names = f.texts("class_name", self.known), f.texts("name", self.known)
+        f.births[0] = self.births
+        step = np.arange(len(f.starts)) - f.first[f.group]
+        order = np.argsort(step, kind="stable")
+        last, held = len(f.first) - 1, None
+        for now in np.split(order, np.cumsum(np.bincount(step))[:-1]):
+            s = int(step[now[0]])
+            if s and (f.length[self.whole[:, OF]] <= s).any():
+                self.keep(f.length[self.whole[:, OF]] > s)
+            if len(self.rows) or f.n_det[now].any():
+                self.together(f, now, o)
+                yield f.first[self.whole[:, OF]] + s, self.rows, self.whole, self.watched if self.watch else None
+            if s == f.length[last] - 1:
+                mine = self.whole[:, OF] == last
+                held = self.rows[mine], self.whole[mine], self.vectors[mine]
+        self.rows, self.whole, self.vectors = held
+        self.whole[:, OF] = 0
+        self.births, self.key = int(f.births[last]), key(f.batch.num_rows - 1)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.RecordBatch]:
+    """Batches of at least `rows` rows but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
-def _state_columns(m: np.ndarray, looks: list, born: list, o: TrackerOptions) -> dict:
+def _state_columns(m: np.ndarray, n: np.ndarray, texts: list, o: TrackerOptions) -> dict:
     whole = lambda k: m[:, k].astype(np.int64)
+    text = pa.array(texts, pa.string())
     return {
         "track_id": whole(ID), "x": m[:, X], "y": m[:, Y], "vx": m[:, VX], "vy": m[:, VY], "w": m[:, WID], "h": m[:, HEI],
-        "class_name": [v[0] for v in looks], "name": [v[1] for v in looks],
+        "class_name": text.take(pa.array(n[:, CLASS])), "name": text.take(pa.array(n[:, NAME])),
         "hits": whole(HITS), "age": whole(AGE), "time_since_update": whole(TSU), "confirmed": m[:, HITS] >= o.min_hits,
-        "_born_at": [b[0] for b in born], "_born_no": [b[1] for b in born],
+        "_born_at": n[:, BORN_AT], "_born_no": n[:, BORN_NO],
     }
 
 
-def _watch_columns(m: np.ndarray, looks: list, born: list) -> dict:
-    return {c: m[:, k] for k, c in enumerate(("_x1", "_y1", "_x2", "_y2"))}
+def _page(f: Frames, at: np.ndarray, made: dict, lead: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of `made` columns with their frames' keys; others are null."""
+    made.update({c: f.batch.column(c).take(pa.array(f.starts[at])) for c in lead})
+    whole = lambda field: made[field.name].cast(field.type) if isinstance(made[field.name], pa.Array) else pa.array(made[field.name], field.type)
+    return pa.RecordBatch.from_arrays([whole(x) if x.name in made else pa.nulls(len(at), x.type) for x in schema], schema=schema)
 
 
 _NUMBERED = "_born_at bigint, _born_no bigint"
@@ -333,26 +551,28 @@ def _walk(rows: DataFrame, group: list[str], o: TrackerOptions, watch: bool) ->
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, stream, born = None, Stream(), {}
-        states, watched = Pages(schema, len(lead)), Pages(schema, len(lead))
-        for at, boxes, conf, looks, points, numbers in _frames(whole_keys(batches, lead), lead):
-            if at[:-1] != current:
-                current, stream, born = at[:-1], Stream(watched=np.zeros((0, 4)) if watch else None), {}
-            if not len(boxes) and not len(stream.rows):
-                continue
-            before = stream.born
-            stream.advance(boxes, conf, looks, points, o)
-            ids = stream.rows[:, ID].tolist()
-            if stream.born > before:
-                fresh = stream.rows[stream.rows[:, ID] > before]
-                born = {i: born.get(i) for i in ids}
-                born.update({i: (at[-1], numbers[int(f)]) for i, f in zip(fresh[:, ID].tolist(), fresh[:, FROM].tolist())})
-            states.add(at, stream.rows, stream.looks, [born[i] for i in ids])
-            if watch:
-                watched.add(at, stream.watched)
-            if states.n + watched.n >= 8192:
-                yield from (*states.flush(lambda m, v, b: _state_columns(m, v, b, o)), *watched.flush(_watch_columns))
-        yield from (*states.flush(lambda m, v, b: _state_columns(m, v, b, o)), *watched.flush(_watch_columns))
+        streams = Streams(watch)
+
+        def pages(f, states, watched):
+            if states:
+                at, m, n = (np.concatenate(v) for v in zip(*states))
+                # group by group and frame by frame, which packs better
+                order = np.argsort(at, kind="stable")
+                yield _page(f, at[order], _state_columns(m[order], n[order], list(streams.known), o), lead, schema)
+            if watched:
+                at, m = (np.concatenate(v) for v in zip(*watched))
+                yield _page(f, at, {c: m[:, k] for k, c in enumerate(("_x1", "_y1", "_x2", "_y2"))}, lead, schema)
+
+        for batch in _gathered(whole_keys(batches, lead)):
+            f, states, watched, n = Frames(batch, group, lead), [], [], 0
+            for at, m, whole, seen in streams.walk(f, group, o):
+                states.append((at, m.copy(), whole.copy()))
+                watched += [seen] if seen is not None else []
+                n += len(at)
+                if n >= 100_000:
+                    yield from pages(f, states, watched)
+                    states, watched, n = [], [], 0
+            yield from pages(f, states, watched)
 
     slim = rows.select(*lead, *_COLUMNS).repartition(*group).sortWithinPartitions(*order)
     return stored_table(slim.mapInArrow(run, ddl))
