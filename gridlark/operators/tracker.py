@@ -297,12 +297,14 @@ class Frames:
         self.free = np.ones(batch.num_rows, dtype=bool)
         self.births = np.zeros(len(self.first), dtype=np.int64)
         self.vectors = None
-        if batch.column("vector").null_count < batch.num_rows:
+        if "vector" in batch.schema.names and batch.column("vector").null_count < batch.num_rows:
             self.vectors = np.empty(batch.num_rows, dtype=object)
             self.vectors[:] = [None if v is None else np.asarray(v, dtype=float) for v in batch.column("vector").to_pylist()]
 
     def texts(self, column: str, known: dict) -> np.ndarray:
-        """The column as numbers; `known` gains the new texts."""
+        """The column as numbers; `known` gains the new texts. A column that is not there is null."""
+        if column not in self.batch.schema.names:
+            return np.full(self.batch.num_rows, known[None], dtype=np.int64)
         codes = self.batch.column(column).dictionary_encode()
         numbers = np.array([known.setdefault(v, len(known)) for v in codes.dictionary.to_pylist()] + [known[None]], dtype=np.int64)
         return numbers[codes.indices.fill_null(len(numbers) - 1).to_numpy(zero_copy_only=False)]
@@ -574,13 +576,18 @@ def _walk(rows: DataFrame, group: list[str], o: TrackerOptions, watch: bool) ->
                     states, watched, n = [], [], 0
             yield from pages(f, states, watched)
 
-    slim = rows.select(*lead, *_COLUMNS).repartition(*group).sortWithinPartitions(*order)
+    slim = rows.select(*lead, *_given(rows)).repartition(*group).sortWithinPartitions(*order)
     return stored_table(slim.mapInArrow(run, ddl))
 
 
 _COLUMNS = ["kind", "no", "x1", "y1", "x2", "y2", "conf", "class_name", "name", "vector"]
 
 
+def _given(rows: DataFrame) -> list[str]:
+    """The columns of detections and points that `rows` has; looks nobody gave are not carried along."""
+    return [c for c in _COLUMNS if c in rows.columns]
+
+
 def _parts(rows: DataFrame, piece: list[str], o: TrackerOptions, cell: float) -> DataFrame:
     """`rows` of busy pieces with `_part`: groups of detections and points that lie near each other.
 
@@ -613,9 +620,9 @@ def _with_markers(parts: DataFrame, rows: DataFrame, piece: list[str], o: Tracke
     marks = ticks.join(there, [*piece, "_frame"])
     blank = [F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("no")]
     types = dict(parts.dtypes)
-    rest = [F.lit(None).cast(types[c]).alias(c) for c in _COLUMNS[2:]]
+    rest = [F.lit(None).cast(types[c]).alias(c) for c in _given(parts)[2:]]
     columns = [*piece, "_part", "_frame", "frame_index"]
-    return parts.select(*columns, *_COLUMNS).unionByName(marks.select(*columns, *blank, *rest))
+    return parts.select(*columns, *_given(parts)).unionByName(marks.select(*columns, *blank, *rest))
 
 
 def _apart(rows: DataFrame, piece: list[str], o: TrackerOptions, cell: float) -> DataFrame:
@@ -674,16 +681,17 @@ def track_multi(
     """
     o = options or TrackerOptions()
     keys = list(keys)
-    columns = _COLUMNS
     none = lambda ty: F.lit(None).cast(ty)
     looks = {"class_name": "string", "name": "string", "vector": "array<double>"}
+    looks = {c: ty for c, ty in looks.items() if c in detections.columns}
+    columns = [*_COLUMNS[:7], *looks]
     blank = [none(ty).alias(c) for c, ty in looks.items()]
     every = frames.select(*keys, "frame_index", F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("no"), *[none("double").alias(c) for c in columns[2:7]], *blank)
     rows = every.unionByName(
         detections.select(
             *keys, "frame_index", F.lit(0).alias("kind"), F.col("det_no").cast("bigint").alias("no"),
             *[F.col(c).cast("double").alias(c) for c in columns[2:7]],
-            *[(F.col(c) if c in detections.columns else F.lit(None)).cast(ty).alias(c) for c, ty in looks.items()],
+            *[F.col(c).cast(ty).alias(c) for c, ty in looks.items()],
         )
     )
     if points is not None:
