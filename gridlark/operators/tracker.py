@@ -286,16 +286,19 @@ class Frames:
         until = lambda k: np.concatenate([[0], np.cumsum(kind == k)])
         per = lambda k: until(k)[ends] - until(k)[self.starts]
         self.n_det, self.n_points = per(0), per(1)
-        self.det = self.starts + per(-1)
+        self.det = self.starts + per(-1) + per(-2)
         self.points = self.det + self.n_det
         opens = np.concatenate([[0], turns(batch, group)])
         self.group = np.searchsorted(opens, self.starts, "right") - 1
         #: first frame and number of frames of each group
         self.first = np.searchsorted(self.starts, opens)
         self.length = np.diff(np.append(self.first, len(self.starts)))
-        #: detections without a track, and tracks born so far in each group
+        #: detections without a track, tracks born so far in each group, and before it
         self.free = np.ones(batch.num_rows, dtype=bool)
         self.births = np.zeros(len(self.first), dtype=np.int64)
+        self.before = np.zeros(len(self.first), dtype=np.int64)
+        told = np.flatnonzero(kind == -2)
+        self.before[np.searchsorted(opens, told, "right") - 1] = self.no[told]
         self.vectors = None
         if "vector" in batch.schema.names and batch.column("vector").null_count < batch.num_rows:
             self.vectors = np.empty(batch.num_rows, dtype=object)
@@ -341,7 +344,7 @@ class Streams(Stream):
         """Nothing lives and no group goes on."""
         self.rows, self.whole, self.vectors = np.zeros((0, WIDTH)), np.zeros((0, 5), dtype=np.int64), np.zeros(0, dtype=object)
         self.known: dict = {None: 0, "": 1}
-        self.births, self.key = 0, None
+        self.births, self.before, self.key = 0, 0, None
 
     def keep(self, some: np.ndarray) -> None:
         self.rows, self.whole, self.vectors = self.rows[some], self.whole[some], self.vectors[some]
@@ -487,7 +490,9 @@ class Streams(Stream):
         for c in (CLASS, NAME):
             self.whole[:, c] = [again[k] for k in self.whole[:, c].tolist()]
         self.classes, self.names = f.texts("class_name", self.known), f.texts("name", self.known)
-        f.births[0] = self.births
+        f.births[0] = f.carried = self.births
+        if self.key is not None:
+            f.before[0] = self.before
         step = np.arange(len(f.starts)) - f.first[f.group]
         order = np.argsort(step, kind="stable")
         last, held = len(f.first) - 1, None
@@ -503,7 +508,7 @@ class Streams(Stream):
                 held = self.rows[mine], self.whole[mine], self.vectors[mine]
         self.rows, self.whole, self.vectors = held
         self.whole[:, OF] = 0
-        self.births, self.key = int(f.births[last]), key(f.batch.num_rows - 1)
+        self.births, self.before, self.key = int(f.births[last]), int(f.before[last]), key(f.batch.num_rows - 1)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.RecordBatch]:
@@ -540,16 +545,52 @@ _NUMBERED = "_born_at bigint, _born_no bigint"
 _REACH = "_x1 double, _y1 double, _x2 double, _y2 double"
 
 
+def _sorted_groups(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Slim rows of every group in one place, in the order of the walk."""
+    slim = rows.select(*group, "frame_index", *_given(rows))
+    return slim.repartition(*group).sortWithinPartitions(*group, "frame_index", "kind", "no")
+
+
+def _births(rows: DataFrame, piece: list[str], o: TrackerOptions) -> DataFrame:
+    """Tracks that are born in every piece, `_n`; the states themselves are not kept."""
+    types = dict(rows.dtypes)
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in piece) + ", _n bigint"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    lead = [*piece, "frame_index"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        streams = Streams(watch=False)
+        for batch in _gathered(whole_keys(batches, lead)):
+            f = Frames(batch, piece, lead)
+            for _ in streams.walk(f, piece, o):
+                pass
+            counts = f.births.copy()
+            counts[0] -= f.carried
+            firsts = batch.select(piece).take(pa.array(f.starts[f.first]))
+            yield pa.RecordBatch.from_arrays([*firsts.columns, pa.array(counts, pa.int64())], schema=schema)
+
+    counted = _sorted_groups(rows, piece).mapInArrow(run, ddl)
+    return stored_table(counted.groupBy(*piece).agg(F.sum("_n").alias("_n")))
+
+
+def _told(rows: DataFrame, before: DataFrame, piece: list[str]) -> DataFrame:
+    """`rows` and, ahead of each piece, a row with the number of tracks `_before` it."""
+    types = dict(rows.dtypes)
+    columns = [*piece, "frame_index", *_given(rows)]
+    own = {"frame_index": F.col("_piece"), "kind": F.lit(-2), "no": F.col("_before")}
+    told = before.select(*[F.col(c) if c in piece else own.get(c, F.lit(None)).cast(types[c]).alias(c) for c in columns])
+    return rows.select(*columns).unionByName(told)
+
+
 def _walk(rows: DataFrame, group: list[str], o: TrackerOptions, watch: bool) -> DataFrame:
-    """Stored track states of every group's frames; ids count from 1 in each group.
+    """Track states of every group's frames; ids count from the number told, else from 1, in each group.
 
     With `watch`, rows without a track tell where the tracks of the frame could have met
     a detection or a point.
     """
-    order = [*group, "frame_index", "kind", "no"]
     lead = [*group, "frame_index"]
     types = dict(rows.dtypes)
-    ddl = ", ".join(f"`{c}` {types[c]}" for c in lead) + f", {OUT_DDL}, {_NUMBERED}, {_REACH}"
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in lead) + f", {OUT_DDL}" + (f", {_NUMBERED}, {_REACH}" if watch else "")
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -568,7 +609,9 @@ def _walk(rows: DataFrame, group: list[str], o: TrackerOptions, watch: bool) ->
         for batch in _gathered(whole_keys(batches, lead)):
             f, states, watched, n = Frames(batch, group, lead), [], [], 0
             for at, m, whole, seen in streams.walk(f, group, o):
-                states.append((at, m.copy(), whole.copy()))
+                m, whole = m.copy(), whole.copy()
+                m[:, ID] += f.before[whole[:, OF]]
+                states.append((at, m, whole))
                 watched += [seen] if seen is not None else []
                 n += len(at)
                 if n >= 100_000:
@@ -576,8 +619,7 @@ def _walk(rows: DataFrame, group: list[str], o: TrackerOptions, watch: bool) ->
                     states, watched, n = [], [], 0
             yield from pages(f, states, watched)
 
-    slim = rows.select(*lead, *_given(rows)).repartition(*group).sortWithinPartitions(*order)
-    return stored_table(slim.mapInArrow(run, ddl))
+    return _sorted_groups(rows, group).mapInArrow(run, ddl)
 
 
 _COLUMNS = ["kind", "no", "x1", "y1", "x2", "y2", "conf", "class_name", "name", "vector"]
@@ -636,7 +678,7 @@ def _apart(rows: DataFrame, piece: list[str], o: TrackerOptions, cell: float) ->
     parts = stored_table(_parts(rows, piece, o, cell))
     group, todo, done = [*piece, "_part"], parts, None
     while True:
-        walked = _walk(_with_markers(todo, rows, piece, o), group, o, watch=True)
+        walked = stored_table(_walk(_with_markers(todo, rows, piece, o), group, o, watch=True))
         frame = [*piece, "frame_index"]
         seen = walked.where("track_id is null").select(*frame, "_part", *[F.col("_" + c).alias(c) for c in ("x1", "y1", "x2", "y2")])
         hair = F.lit(1e-6)
@@ -686,53 +728,60 @@ def track_multi(
     looks = {c: ty for c, ty in looks.items() if c in detections.columns}
     columns = [*_COLUMNS[:7], *looks]
     blank = [none(ty).alias(c) for c, ty in looks.items()]
-    every = frames.select(*keys, "frame_index", F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("no"), *[none("double").alias(c) for c in columns[2:7]], *blank)
-    rows = every.unionByName(
-        detections.select(
-            *keys, "frame_index", F.lit(0).alias("kind"), F.col("det_no").cast("bigint").alias("no"),
-            *[F.col(c).cast("double").alias(c) for c in columns[2:7]],
-            *[F.col(c).cast(ty).alias(c) for c, ty in looks.items()],
-        )
+    things = detections.select(
+        *keys, "frame_index", F.lit(0).alias("kind"), F.col("det_no").cast("bigint").alias("no"),
+        *[F.col(c).cast("double").alias(c) for c in columns[2:7]],
+        *[F.col(c).cast(ty).alias(c) for c, ty in looks.items()],
     )
     if points is not None:
-        rows = rows.unionByName(
+        things = things.unionByName(
             points.select(
                 *keys, "frame_index", F.lit(1).alias("kind"), F.col("point_no").cast("bigint").alias("no"), F.col("x").cast("double").alias("x1"),
                 F.col("y").cast("double").alias("y1"), *[none("double").alias(c) for c in columns[4:7]], *blank,
             )
         )
-    order = ["frame_index", "kind", "no"]
-    ordered = {**ordered, "size": largest_group(rows, keys)}
+    # streams are cut by what their frames hold, one narrow row for each
+    every = frames.select(*keys, "frame_index", F.lit(-1).alias("kind")).union(things.select(*keys, "frame_index", "kind"))
+    place = [*keys, "frame_index"]
+    every = stored_table(every.groupBy(*place).agg(F.max(F.col("kind") == 0).alias("_det"), F.count("*").alias("_rows")))
+    size = largest_group(every, keys)
+    ordered = {**ordered, "size": size}
     # tracks age by frames that are there, not by what their indices say
-    before = running(rows, keys, order, {"_prev": ("last", F.col("frame_index"), False)}, **ordered)
-    opens = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("frame_index")), 1).otherwise(0)
-    counted = running(before, keys, order, {"_frame": ("sum", opens.cast("bigint"), True)}, **ordered)
-    active = F.when(F.col("kind") == 0, F.col("_frame"))
-    seen = running(counted, keys, order, {"_last": ("last", active, False)}, **ordered)
+    counted = number_rows(every, keys, ["frame_index"], "_frame", **ordered)
+    seen = running(counted, keys, ["frame_index"], {"_last": ("last", F.when(F.col("_det"), F.col("_frame")), False)}, **ordered)
     # tracks retire at the end of the frame max_age + 1 frames after their last one
-    fresh = (F.col("kind") == 0) & (F.col("_last").isNull() | (F.col("_frame") - F.col("_last") >= o.max_age + 2))
-    cut = running(seen, keys, order, {"_piece": ("last", F.when(fresh, F.col("frame_index")), True)}, **ordered)
-    # a frame's own marker row sorts before its detections; give it the piece of its frame
-    start = F.when(fresh, F.col("frame_index"))
-    firsts = cut.where(start.isNotNull()).select(*keys, "frame_index", F.lit(True).alias("_opens")).distinct()
-    pieces = cut.join(firsts, [*keys, "frame_index"], "left")
-    pieces = pieces.withColumn("_piece", F.when(F.col("_opens"), F.col("frame_index")).otherwise(F.col("_piece"))).where("_piece IS NOT NULL")
+    fresh = F.col("_det") & (F.col("_last").isNull() | (F.col("_frame") - F.col("_last") >= o.max_age + 2))
+    cut = running(seen, keys, ["frame_index"], {"_piece": ("last", F.when(fresh, F.col("frame_index")), True)}, **ordered)
+    cut = stored_table(cut.where("_piece IS NOT NULL").select(*place, "_frame", "_piece", "_rows"))
     piece = [*keys, "_piece"]
-    base = pieces.select(*piece, "_frame", "frame_index", *columns)
-    busy = None
-    if ordered["size"] > busy_rows:
-        base = stored_table(base)
-        # fewer than rows / busy_rows pieces can pass this filter, so the table is small
-        busy = base.groupBy(*piece).count().where(F.col("count") > busy_rows).select(*piece)
-        busy = stored_table(busy)
+    marks = cut.select(
+        *piece, "_frame", "frame_index", F.lit(-1).alias("kind"), F.lit(0).cast("bigint").alias("no"), *[none("double").alias(c) for c in columns[2:7]], *blank
+    )
+    base = things.join(cut.drop("_rows"), place).select(*piece, "_frame", "frame_index", *columns).unionByName(marks)
+    # read by both walks
+    base = stored_table(base)
+    # fewer than rows / busy_rows pieces can pass this filter, so the table is small
+    busy = stored_table(cut.groupBy(*piece).agg(F.sum("_rows").alias("_n")).where(F.col("_n") > busy_rows).select(*piece))
+    crowded = None if busy.isEmpty() else base.join(F.broadcast(busy), piece, "left_semi")
+    whole = base if crowded is None else base.join(F.broadcast(busy), piece, "left_anti")
+    # pieces follow each other and so do their tracks' numbers
+    born = _births(whole, piece, o)
     group = [*piece, "_part"]
-    whole = base if busy is None else base.join(F.broadcast(busy), piece, "left_anti")
-    states = _walk(whole.withColumn("_part", F.lit(0).cast("bigint")), group, o, watch=False).drop("_x1", "_y1", "_x2", "_y2")
-    if busy is not None and not busy.isEmpty():
-        crowded = base.join(F.broadcast(busy), piece, "left_semi")
-        states = states.unionByName(_apart(crowded, piece, o, cell or 2 * o.aux_radius))
-    tracks = states.groupBy(*group, "track_id", "_born_at", "_born_no").agg(F.count("*").alias("_n"))
-    tracks = stored_table(tracks)
-    ids = number_rows(tracks, keys, ["_born_at", "_born_no", "_piece", "_part", "track_id"], "_id", **ordered)
-    named = states.join(ids.select(*group, "track_id", "_id"), [*group, "track_id"])
-    return named.withColumn("track_id", F.col("_id")).select(*keys, "frame_index", *OUT_COLUMNS)
+    if crowded is not None:
+        walked = _apart(crowded, piece, o, cell or 2 * o.aux_radius)
+        # a track has one state in the frame of its birth
+        tracks = stored_table(walked.where("frame_index = _born_at").select(*group, "track_id", "_born_at", "_born_no"))
+        born = born.unionByName(tracks.groupBy(*piece).agg(F.count("*").alias("_n")))
+    before = running(born, keys, ["_piece"], {"_before": ("sum", F.col("_n"), False)}, **{**ordered, "size": size})
+    before = before.select(*piece, F.coalesce("_before", F.lit(0)).cast("bigint").alias("_before"))
+    if crowded is not None:
+        before = stored_table(before)
+    told = before if crowded is None else before.join(F.broadcast(busy), piece, "left_anti")
+    columns = [*keys, "frame_index", *OUT_COLUMNS]
+    states = _walk(_told(whole, told, piece), piece, o, watch=False).select(*columns)
+    if crowded is None:
+        return states
+    ids = number_rows(tracks, piece, ["_born_at", "_born_no", "_part", "track_id"], "_id", **{k: v for k, v in ordered.items() if k != "size"})
+    ids = ids.join(before, piece).select(*group, "track_id", (F.col("_id") + F.col("_before")).alias("_id"))
+    named = walked.join(ids, [*group, "track_id"]).withColumn("track_id", F.col("_id"))
+    return states.unionByName(named.select(*columns))

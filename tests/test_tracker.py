@@ -184,3 +184,56 @@ def test_frames_torn_between_batches_come_out_whole():
     assert [g[0] for g in want] == [(1, 0), (1, 1), (1, 2), (2, 2), (2, 3), (2, 4)]
     assert [len(g[1]) + len(g[4]) for g in want] == [9, 9, 3, 6, 9, 9]
     assert want[0][5] == [3, 4, 5, 6, 7, 8] and want[0][3][0] == [None, "c3", None]
+
+
+@pytest.mark.parametrize("rows", [1, 7, 60, 10_000])
+def test_groups_walked_together_equal_walks_of_their_own(rows):
+    """Groups that are cut between batches go on where they were, texts, vectors and numbers included."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gridlark.operators import tracker
+    from gridlark.operators.runs import whole_keys
+
+    rng = random.Random(11)
+    o = TrackerOptions(max_age=3)
+    data, want = [], []
+    for s in (1, 2, 3, 4):
+        data.append((s, 0, -2, 100 * s, *[None] * 8))
+        stream = tracker.Stream()
+        for f in range(rng.choice([5, 30])):
+            now = [(s, f, -1, 0, *[None] * 8)]
+            for d in range(rng.randrange(0, 5)):
+                x, y = rng.uniform(0, 60), rng.uniform(0, 60)
+                vector = rng.choice([None, [1.0, 0.0], [0.6, 0.8]])
+                now.append((s, f, 0, d, x, y, x + 20, y + 20, rng.random(), rng.choice("ab"), rng.choice(["p", "q", "", None]), vector))
+            now += [(s, f, 1, p, rng.uniform(0, 60), rng.uniform(0, 60), *[None] * 6) for p in range(rng.randrange(0, 4))]
+            data += now
+            stream.advance(*tracker.frame_arrays([r[2:3] + r[4:] for r in now]), o)
+            want += [(s, f, t[0] + 100 * s, *t[1:]) for t in stream.states(o)]
+    types = dict(zip(("s", "frame_index", "kind", "no"), [pa.int64(), pa.int64(), pa.int32(), pa.int64()]))
+    types |= {c: pa.float64() for c in ("x1", "y1", "x2", "y2", "conf")} | {"class_name": pa.string(), "name": pa.string(), "vector": pa.list_(pa.float64())}
+    table = pa.table({c: pa.array(v, ty) for (c, ty), v in zip(types.items(), zip(*data))})
+    streams, got = tracker.Streams(watch=False), []
+    for batch in tracker._gathered(whole_keys(iter(table.to_batches(max_chunksize=9)), ["s", "frame_index"]), rows):
+        f = tracker.Frames(batch, ["s"], ["s", "frame_index"])
+        for at, m, whole in ((a, m.copy(), w.copy()) for a, m, w, _ in streams.walk(f, ["s"], o)):
+            m[:, tracker.ID] += f.before[whole[:, tracker.OF]]
+            texts = tracker._state_columns(m, whole, list(streams.known), o)
+            key = batch.column("s").to_numpy()[f.starts[at]]
+            columns = [np.asarray(texts[c]).tolist() if c not in ("class_name", "name") else texts[c].to_pylist() for c in tracker.OUT_COLUMNS]
+            got += list(zip(key.tolist(), f.index[at].tolist(), *columns))
+    assert len(want) > 100 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_states_of_quiet_pieces_are_neither_stored_nor_shuffled(spark, monkeypatch):
+    from gridlark.operators import tracker
+
+    stored, keep = [], tracker.stored_table
+    monkeypatch.setattr(tracker, "stored_table", lambda df: stored.append(df.columns) or keep(df))
+    det = spark.createDataFrame(random_scene(4), DET)
+    out = track_multi(frames_of(spark, 120, (1, 2)), det, ["stream_id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert stored and not any("vx" in columns for columns in stored)
+    # nothing is exchanged after the walk
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
