@@ -599,8 +599,8 @@ def _walk(rows: DataFrame, group: list[str], o: TrackerOptions, watch: bool) ->
         def pages(f, states, watched):
             if states:
                 at, m, n = (np.concatenate(v) for v in zip(*states))
-                # group by group and frame by frame, which packs better
-                order = np.argsort(at, kind="stable")
+                # track by track, as a track's neighbouring states are alike and pack well
+                order = np.lexsort((at, m[:, ID], n[:, OF]))
                 yield _page(f, at[order], _state_columns(m[order], n[order], list(streams.known), o), lead, schema)
             if watched:
                 at, m = (np.concatenate(v) for v in zip(*watched))
