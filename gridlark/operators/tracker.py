@@ -718,8 +718,8 @@ def track_multi(
     the pieces are tracked apart. A piece of more than `busy_rows` rows is cut in space as
     well, by neighbouring cells of side `cell` (twice the reach of points unless given),
     and the cut is checked, so both give the states of one walk. Tracks are numbered per
-    stream by birth: frame, then `det_no`. Rows reach the helper frame by frame in Arrow
-    batches, so a stream is never held whole.
+    stream by birth: frame, then `det_no`. Rows reach the helper in Arrow batches of
+    whole frames, so a stream is never held whole.
     """
     o = options or TrackerOptions()
     keys = list(keys)
